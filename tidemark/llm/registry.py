@@ -8,6 +8,8 @@ from importlib import import_module
 #: express it, its ``ORACLE_SQL``.
 MODULES = {
     "op1_quality_rules": "quality",
+    "op3_token_files": "token_files",
+    "op10_simhash": "simhash",
 }
 
 
