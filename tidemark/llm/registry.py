@@ -9,6 +9,7 @@ from importlib import import_module
 MODULES = {
     "op1_quality_rules": "quality",
     "op3_token_files": "token_files",
+    "op4_source_mix": "mixing",
     "op10_simhash": "simhash",
 }
 
