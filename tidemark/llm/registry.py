@@ -10,6 +10,7 @@ MODULES = {
     "op1_quality_rules": "quality",
     "op3_token_files": "token_files",
     "op4_source_mix": "mixing",
+    "op5_decontaminate": "decontaminate",
     "op10_simhash": "simhash",
 }
 
