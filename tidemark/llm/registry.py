@@ -8,9 +8,11 @@ from importlib import import_module
 #: express it, its ``ORACLE_SQL``.
 MODULES = {
     "op1_quality_rules": "quality",
+    "op2_toxicity": "toxicity",
     "op3_token_files": "token_files",
     "op4_source_mix": "mixing",
     "op5_decontaminate": "decontaminate",
+    "op7_language_spans": "langid",
     "op10_simhash": "simhash",
 }
 
