@@ -1,9 +1,10 @@
 """Operator 2: toxic passages as maximum-scoring segments of token log-odds.
 
-Training, on a bounded sample of labelled rows: document frequencies of words
+Training, on a bounded sample of labelled rows: counts of the contexts of words
 and of word beginnings in toxic and in clean texts give log-odds ratios with
 an informative Dirichlet prior (the background frequency of the token), kept
-where they are ``MIN_Z`` standard deviations from zero.  A word without an
+where they are ``MIN_Z`` standard deviations above zero and, drawn towards
+zero by ``SHRINK`` of them, still ``MIN_WEIGHT``.  A word without an
 entry takes that of its longest beginning with one, else the neutral drift,
 which is negative.
 
@@ -26,6 +27,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +41,9 @@ SAMPLE_ROWS = 16_000
 #: Tokens of the model at most.
 MODEL_TOKENS = 50_000
 MIN_Z = 3.0
+MIN_WEIGHT = 1.0
+#: Standard deviations by which log-odds are drawn towards zero.
+SHRINK = 2.0
 #: The prior's weight against the data.
 PRIOR_SHARE = 0.1
 #: Score of a word of which nothing is known.
@@ -166,36 +171,46 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS)
 
 
 def token_counts(sample: DataFrame) -> DataFrame:
-    """``token, t0, c0, t, c``: toxic and clean texts with the token, in folds
-    other than 0 and in all."""
+    """``token, t0, c0, t, c``: contexts of the token in toxic and in clean
+    texts, in folds other than 0 and in all.
+
+    A context is the word before it: copies of one text, however many and
+    however slightly edited, repeat the contexts of their words and so count
+    about once, while words used in many texts have many contexts.
+    """
     small_batches(sample.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[bytes, list[int]] = {}
+        seen: dict[tuple[bytes, bytes], int] = {}
 
         def flush() -> pa.RecordBatch:
-            cols = list(zip(*seen.values(), strict=True))
-            out = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), *[pa.array(c, pa.int64()) for c in cols]], ["token", "t0", "c0", "t", "c"])
+            bits = np.fromiter(seen.values(), np.int64, len(seen))
+            cols = [pa.array([w for w, _ in seen], pa.binary()), pa.array([crc32(p) for _, p in seen], pa.int64()), *[pa.array(bits >> k & 1) for k in range(4)]]
             seen.clear()
-            return out
+            return pa.RecordBatch.from_arrays(cols, ["word", "before", "t0", "c0", "t", "c"])
 
         for batch in batches:
             for text, toxic, fold in rows_of(batch):
-                own = {t for w in set(words_of(text)) for t in tokens_of(w)}
-                for t in own:
-                    n = seen.get(t)
-                    if n is None:
-                        n = seen[t] = [0, 0, 0, 0]
-                    n[3 - toxic] += 1
-                    if fold:
-                        n[1 - toxic] += 1
+                words = words_of(text)
+                bit = 1 << 3 - toxic | (1 << 1 - toxic if fold else 0)
+                for pair in set(zip(words, [b"", *words], strict=False)):
+                    seen[pair] = seen.get(pair, 0) | bit
                 if len(seen) > 300_000:
                     yield flush()
         if seen:
             yield flush()
 
-    counted = sample.mapInArrow(run, "token binary, t0 long, c0 long, t long, c long")
-    return counted.groupBy("token").agg(*[F.sum(x).alias(x) for x in ("t0", "c0", "t", "c")])
+    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [tokens_of(w) for w in batch.column(0).to_pylist()]
+            row = np.repeat(np.arange(len(found)), [len(f) for f in found])
+            rest = [pa.array(c.to_numpy(zero_copy_only=False)[row]) for c in batch.columns[1:]]
+            yield pa.RecordBatch.from_arrays([pa.array([t for f in found for t in f], pa.binary()), *rest], ["token", "t0", "c0", "t", "c"])
+
+    kinds = ("t0", "c0", "t", "c")
+    pairs = sample.mapInArrow(run, "word binary, before long, t0 long, c0 long, t long, c long").groupBy("word", "before").agg(*[F.max(x).alias(x) for x in kinds])
+    words = pairs.groupBy("word").agg(*[F.sum(x).alias(x) for x in kinds])
+    return words.mapInArrow(tokens, "token binary, t0 long, c0 long, t long, c long").groupBy("token").agg(*[F.sum(x).alias(x) for x in kinds])
 
 
 def log_odds(counts: DataFrame, toxic: str, clean: str, totals) -> DataFrame:
@@ -205,12 +220,13 @@ def log_odds(counts: DataFrame, toxic: str, clean: str, totals) -> DataFrame:
     mass = PRIOR_SHARE * (nt + nc)
     t, c = F.col(toxic) + prior, F.col(clean) + prior
     weight = F.log(t / (nt + mass - t)) - F.log(c / (nc + mass - c))
-    z = weight / F.sqrt(1 / t + 1 / c)
-    return counts.where(F.col(toxic) + F.col(clean) > 0).select("token", weight.alias("weight"), z.alias("z")).where(F.abs("z") >= MIN_Z)
+    spread = F.sqrt(1 / t + 1 / c)
+    shy = weight - F.signum(weight) * SHRINK * spread
+    return counts.where(F.col(toxic) + F.col(clean) > 0).select("token", shy.alias("weight"), (weight / spread).alias("z")).where((F.col("z") >= MIN_Z) & (F.col("weight") >= MIN_WEIGHT))
 
 
 def _weights(counts: DataFrame, toxic: str, clean: str, totals) -> dict[bytes, float]:
-    best = log_odds(counts, toxic, clean, totals).orderBy(F.abs("z").desc(), "token").limit(MODEL_TOKENS)
+    best = log_odds(counts, toxic, clean, totals).orderBy(F.col("z").desc(), "token").limit(MODEL_TOKENS)
     return {bytes(r["token"]): r["weight"] for r in best.collect()}
 
 
