@@ -22,6 +22,7 @@ read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -160,13 +161,13 @@ def removal_spans(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     small_batches(spark)
     kind = dict(docs.dtypes)[doc_id]
     rows = columns(docs, doc_id, text).toDF("doc_id", "text")
-    blocks = iter(list(_blocks(benchmark, item_id, item_text)))
+    blocks = _blocks(benchmark, item_id, item_text)
     first, second = next(blocks), next(blocks, None)
     if second is None:
         return _search(rows, first, window, f"doc_id {kind}")
     # rows are told apart by place, so that repeated rows stay apart over passes
     rows = cut(rows.withColumn("row", F.monotonically_increasing_id()))
-    passes = [_search(rows.select("row", "doc_id", "text"), block, window, f"row long, doc_id {kind}") for block in (first, second, *blocks)]
+    passes = [_search(rows.select("row", "doc_id", "text"), block, window, f"row long, doc_id {kind}") for block in chain((first, second), blocks)]
     every = passes[0]
     for one in passes[1:]:
         every = every.unionByName(one)

@@ -12,7 +12,9 @@ MODULES = {
     "op3_token_files": "token_files",
     "op4_source_mix": "mixing",
     "op5_decontaminate": "decontaminate",
+    "op6_token_counts": "separators",
     "op7_language_spans": "langid",
+    "op8_license_scan": "licenses",
     "op10_simhash": "simhash",
 }
 
