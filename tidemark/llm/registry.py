@@ -15,6 +15,7 @@ MODULES = {
     "op6_token_counts": "separators",
     "op7_language_spans": "langid",
     "op8_license_scan": "licenses",
+    "op9_chat_format": "chat",
     "op10_simhash": "simhash",
 }
 
