@@ -223,6 +223,31 @@ def _search(rows: DataFrame, items: list, window: int, head: str) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
+    """Rows of ``docs`` without any phrase of the benchmark, all columns.  One
+    pass for each block of the benchmark, no shuffle; a batch is a shard."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    at = docs.columns.index(text)
+
+    def without(rows: DataFrame, items: list) -> DataFrame:
+        phrases = spark.sparkContext.broadcast(Phrases.build(items, window))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                texts = batch.column(at)
+                found, _, _ = find_occurrences([word_ids(texts[i].as_py(), phrases.value.vocabulary) for i in range(batch.num_rows)], phrases.value)
+                keep = np.ones(batch.num_rows, bool)
+                keep[found] = False
+                yield batch.filter(pa.array(keep))
+
+        return rows.mapInArrow(run, docs.schema)
+
+    for items in _blocks(benchmark, item_id, item_text):
+        docs = without(docs, items)
+    return docs
+
+
 def contamination(found: DataFrame) -> DataFrame:
     """The digest of ``removal_spans`` of each document."""
     hits = F.expr("aggregate(spans, 0L, (a, x) -> a + x.end - x.start)")

@@ -76,14 +76,14 @@ def source_targets(sizes: DataFrame, max_repeats: int = 3, n_weights: int = 3) -
 
 def positions(sized: DataFrame, seed: int = 0) -> DataFrame:
     """Adds ``start``: words of the source before the row in shuffled order.
-    ``sized`` has ``k, doc_id, size``, rows of size 0 excluded."""
+    ``sized`` has ``k, doc_id, size`` and more, rows of size 0 excluded."""
     mixed = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
     rows = sized.withColumn("h", mixed).withColumn("bucket", F.conv(F.substring("h", 1, 3), 16, 10).cast("int"))
     before = lambda w: F.coalesce(F.sum(w[0]).over(w[1].rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     totals = rows.groupBy("k", "bucket").agg(F.sum("size").alias("t"))
     base = totals.select("k", "bucket", before(("t", Window.partitionBy("k").orderBy("bucket"))).alias("base"))
     local = rows.withColumn("local", before(("size", Window.partitionBy("k", "bucket").orderBy("h", "doc_id", "size"))))
-    return local.join(base, ["k", "bucket"]).select("k", "doc_id", "size", (F.col("base") + F.col("local")).alias("start"))
+    return local.join(base, ["k", "bucket"]).withColumn("start", F.col("base") + F.col("local")).drop("h", "bucket", "base", "local")
 
 
 def schedule(targets: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -131,21 +131,44 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     ``taken`` counts the words that the schedule plays of a row, repeats
     included: the sum over the blocks that the row overlaps.
     """
-    sized = cut(columns(docs, doc_id, text, source).toDF("doc_id", "text", "source").select("doc_id", word_count("text").alias("size"), "source"))
+    return _mixed(docs, doc_id, text, source, max_repeats, block_words, seed).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def _mixed(docs: DataFrame, doc_id: str, text: str, source: str, max_repeats: int, block_words: int, seed: int, *keys: Column) -> DataFrame:
+    """The columns of ``mix``, ``source``, and ``keys`` of the rows of ``docs``."""
+    read = columns(docs, doc_id, text, source).toDF("doc_id", "text", "source")
+    sized = cut(read.select("doc_id", word_count("text").alias("size"), "source", *keys))
+    more = sized.columns[3:]
     targets = cut(source_targets(sized, max_repeats))
-    keys = targets.select("k", F.col("source").alias("named"), "source_size", "target")
-    keyed = sized.join(keys, F.col("source").eqNullSafe(F.col("named"))).select("k", "doc_id", "size")
+    named = targets.select("k", F.col("source").alias("named"), "source_size", "target")
+    keyed = sized.join(named, F.col("source").eqNullSafe(F.col("named"))).select("k", "doc_id", "size", *more)
     placed = positions(keyed.where("size > 0"), seed)
     plays = schedule(targets, block_words).groupBy("k", "block", "words").agg(F.count("*").alias("times"))
     blocks = F.sequence(F.floor(F.col("start") / block_words), F.floor((F.col("start") + F.col("size") - 1) / block_words))
-    pieces = placed.select("k", "doc_id", "size", "start", F.explode(blocks).alias("block"))
+    row = ["k", "doc_id", "size", "start", *more]
+    pieces = placed.select(*row, F.explode(blocks).alias("block"))
     from_ = F.greatest(F.col("start"), F.col("block") * block_words)
     to = F.least(F.col("start") + F.col("size"), F.col("block") * block_words + F.col("words"))
-    taken = pieces.join(plays, ["k", "block"], "left").select("k", "doc_id", "size", "start", (F.greatest(to - from_, F.lit(0)) * F.col("times")).alias("w"))
-    taken = taken.groupBy("k", "start", "doc_id", "size").agg(F.coalesce(F.sum("w"), F.lit(0)).cast("long").alias("taken"))
-    none = keyed.where("size = 0").select("k", "doc_id", "size", F.lit(0).cast("long").alias("taken"))
-    rows = taken.select("k", "doc_id", "size", "taken").unionByName(none)
-    return rows.join(keys, "k").select("doc_id", "size", "source_size", "target", "taken")
+    taken = pieces.join(plays, ["k", "block"], "left").select(*row, (F.greatest(to - from_, F.lit(0)) * F.col("times")).alias("w"))
+    taken = taken.groupBy(*row).agg(F.coalesce(F.sum("w"), F.lit(0)).cast("long").alias("taken")).drop("start")
+    none = keyed.where("size = 0").withColumn("taken", F.lit(0).cast("long"))
+    return taken.unionByName(none).join(named.withColumnRenamed("named", "source"), "k").drop("k")
+
+
+def resample(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", max_repeats: int = 3, block_words: int = BLOCK_WORDS, seed: int = 0) -> DataFrame:
+    """Rows of ``docs`` as often as the mix takes them, whole, all columns.
+
+    Copies are the words taken over the row's size, rounded; they differ from
+    the mix by one document for each source at most.  Rows equal in id, text
+    and source share what is taken of them.
+    """
+    hashed = F.xxhash64("text").alias("_key_text")
+    mixed = _mixed(docs, doc_id, text, source, max_repeats, block_words, seed, hashed)
+    per_key = mixed.where("size > 0").groupBy("doc_id", "source", "_key_text").agg(F.round(F.sum("taken") / F.sum("size")).cast("int").alias("_copies")).where("_copies > 0")
+    kept = per_key.toDF("_kept_id", "_kept_source", "_kept_text", "_copies")
+    same = F.col(f"`{doc_id}`").eqNullSafe(F.col("_kept_id")) & F.col(f"`{source}`").eqNullSafe(F.col("_kept_source")) & (F.xxhash64(F.col(f"`{text}`")) == F.col("_kept_text"))
+    played = docs.join(kept, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies")))
+    return played.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

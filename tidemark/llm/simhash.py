@@ -35,6 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import columns, cut, small_batches, table
 
@@ -70,18 +71,19 @@ def fingerprint(text: str | None) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, fp``: the fingerprint's bits as a signed long."""
-    small_batches(docs.sparkSession)
+def fingerprints(rows: DataFrame) -> DataFrame:
+    """``rows``, whose last column is ``text``, with ``fp``, the fingerprint's
+    bits as a signed long, in its place."""
+    small_batches(rows.sparkSession)
+    schema = StructType([*rows.schema.fields[:-1], StructField("fp", LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1)
+            texts = batch.columns[-1]
             fps = np.array([fingerprint(texts[i].as_py()) for i in range(batch.num_rows)], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(fps.view(np.int64))], schema.names)
 
-    kind = dict(docs.dtypes)[doc_id]
-    return columns(docs, doc_id, text).toDF("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp long")
+    return rows.mapInArrow(run, schema)
 
 
 class VantageTree:
@@ -201,17 +203,41 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select("v", "v")).distinct()
 
 
+def rooted(signed: DataFrame) -> DataFrame:
+    """``fp, least, root`` of each distinct fingerprint of ``doc_id, fp``: its
+    least id, and the fingerprint that stands for its component."""
+    groups = cut(signed.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    roots = components(links(groups))
+    return groups.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, fingerprint, component_id`` of every row of ``docs``;
     ``component_id`` is the least id reachable over links."""
-    signed = cut(fingerprints(docs, doc_id, text))
-    groups = cut(signed.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = components(links(groups))
-    named = groups.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    signed = cut(fingerprints(columns(docs, doc_id, text).toDF("doc_id", "text")))
+    named = rooted(signed)
     by_root = named.groupBy("root").agg(F.min("least").alias("component_id"))
     found = named.join(by_root, "root").select("fp", "component_id")
     return signed.join(found, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of each component, all columns: the one with the least id (and
+    hash of the text, where ids repeat); repeated rows count as one.  The texts
+    are shuffled once, to meet the keys of the rows that stay."""
+    keyed = docs.withColumns({"_key_id": F.col(f"`{doc_id}`"), "_key_text": F.xxhash64(F.col(f"`{text}`"))})
+    signed = cut(fingerprints(keyed.select(F.col("_key_id").alias("doc_id"), "_key_text", F.col(f"`{text}`").alias("text"))))
+    rows = signed.groupBy("fp", "doc_id", "_key_text").agg(F.count("*").alias("n"))
+    best = rows.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_key_text", "n")).alias("best"))
+    kept = cut(best.join(rooted(signed).select("fp", "root"), "fp").groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.doc_id").alias("kept_id"), F.col("best._key_text").alias("kept_text"), F.col("best.n").alias("kept_n")))
+    same = F.col("_key_id").eqNullSafe(F.col("kept_id")) & (F.col("_key_text") == F.col("kept_text"))
+    found = keyed.join(kept, same)
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    if kept.where("kept_n > 1").isEmpty():
+        return found.select(*names)
+    again = found.where("kept_n > 1").dropDuplicates(["_key_id", "_key_text"])
+    return found.where("kept_n = 1").unionByName(again).select(*names)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))

@@ -328,6 +328,21 @@ def score_toxicity(docs: DataFrame, model: Model, doc_id: str = "doc_id", text:
     return map_rows(columns(docs, doc_id, text).toDF("doc_id", "text"), f"doc_id {kind}, score double, predicted int, passages array<struct<start:long,end:long,bits:double>>", make)
 
 
+def drop_toxic(docs: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """Rows of ``docs`` scored below ``threshold``, all columns: one pass, no shuffle."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(shared.value)
+        for batch in batches:
+            texts = batch.column(at)
+            yield batch.filter(pa.array([scorer.model.score(scorer.passages(texts[i].as_py())) < threshold for i in range(batch.num_rows)], pa.bool_()))
+
+    small_batches(docs.sparkSession)
+    return docs.mapInArrow(run, docs.schema)
+
+
 def trained(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> Model:
     """A model from the labels whose rows may be learned from."""
     usable = columns(labels, "doc_id", "toxic").where(id_bucket("doc_id", 4) != 2)
