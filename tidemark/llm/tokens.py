@@ -10,13 +10,19 @@ from __future__ import annotations
 
 import json
 import re
+from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
 
 #: A space that stands between two characters that aren't white space.
 _JOINT = re.compile(r"(?<=\S) (?=\S)")
-_TIGHT = re.compile(r"\s | \s|^ | $")
+
+
+@lru_cache(maxsize=2)
+def worker_encoder(path: str, end_id: int | None) -> Encoder:
+    """The encoder of this Python worker, kept with its memo from task to task."""
+    return Encoder(path, end_id)
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -30,7 +36,7 @@ def byte_alphabet() -> dict[int, str]:
 class Encoder:
     """Texts to ids as little-endian bytes, ``width`` bytes for each id."""
 
-    def __init__(self, path: str, end_id: int | None = None, memo: int = 1_000_000):
+    def __init__(self, path: str, end_id: int | None = None, memo: int = 700_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -56,7 +62,9 @@ class Encoder:
             return self.end
         if self.words is None:
             return self.whole(text) + self.end
-        chunks = _JOINT.split(text) if _TIGHT.search(text) else text.split(" ")
+        # lengths agree if all runs of white space are single characters inside the text
+        single = len(" ".join(text.split())) == len(text)
+        chunks = text.split(" ") if single else _JOINT.split(text)
         if len(chunks) == 1:
             return self.words.encode(text) + self.end
         first, chunks[0] = self.words.encode(chunks[0]), ""
