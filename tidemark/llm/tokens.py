@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 from functools import lru_cache
 from pathlib import Path
 
@@ -36,7 +37,7 @@ def byte_alphabet() -> dict[int, str]:
 class Encoder:
     """Texts to ids as little-endian bytes, ``width`` bytes for each id."""
 
-    def __init__(self, path: str, end_id: int | None = None, memo: int = 700_000):
+    def __init__(self, path: str, end_id: int | None = None, memo: int = 1_200_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -73,42 +74,64 @@ class Encoder:
 
 
 class _Words(dict):
-    """Ids of a word with a space before it."""
+    """Ids of a word with a space before it.
+
+    Two generations bound the memo: when this dictionary is full it becomes the
+    older one, from which words in use come back.
+    """
 
     #: Below this code point, letters and digits are the same in every library's
     #: Unicode tables.
-    SETTLED = "Ԁ"
+    SETTLED = "\u0500"
     LONGEST = 256
 
     def __init__(self, encoder: Encoder, memo: int):
         import public_tokenizers
         import regex
 
-        self.encoder, self.memo = encoder, memo
+        self.encoder, self.memo = encoder, memo // 2
+        self.older: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
         self.split = regex.compile(public_tokenizers.PATTERN).findall
         self.shown = str.maketrans({chr(b): c for b, c in byte_alphabet().items()})
-        self.model = encoder.tokenizer.model
+        self.tokenize = encoder.tokenizer.model.tokenize
+        code = {2: "H", 4: "I"}[encoder.width]
+        self.packs = [struct.Struct(f"<{n}{code}").pack for n in range(4 * self.LONGEST + 1)]
 
     def __missing__(self, word: str) -> bytes:
-        ids = self.encode(" " + word)
+        ids = self.older.get(word)
+        if ids is None:
+            if word.isascii() and word.isalpha() and len(word) <= self.LONGEST:
+                ids = self.piece(" " + word)
+            else:
+                ids = self.encode(" " + word)
         if len(word) <= self.LONGEST:
             if len(self) >= self.memo:
+                self.older = dict(self)
                 self.clear()
             self[word] = ids
         return ids
 
+    def piece(self, piece: str) -> bytes:
+        found = self.tokenize(piece.encode().decode("latin-1").translate(self.shown))
+        return self.packs[len(found)](*[t.id for t in found])
+
     def encode(self, text: str) -> bytes:
         if len(text) > self.LONGEST or not text.isascii() and max(text) >= self.SETTLED:
             return self.encoder.whole(text)
+        pieces = self.split(text)
+        if len(pieces) == 1:
+            return self.piece(text)
         out = b""
-        for piece in self.split(text):
+        for piece in pieces:
+            if piece[0] == " " and piece[1:].isalpha():
+                out += self[piece[1:]]
+                continue
             ids = self.pieces.get(piece)
             if ids is None:
-                ids = self.encoder.pack([t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.shown))])
-                if len(self.pieces) >= self.memo:
+                if len(self.pieces) >= self.memo // 4:
                     self.pieces.clear()
-                self.pieces[piece] = ids
+                ids = self.pieces[piece] = self.piece(piece)
             out += ids
         return out
 
