@@ -1,9 +1,50 @@
 """Queries of the attribution engine and their SQL counterparts."""
 
+from __future__ import annotations
 
-def queries() -> dict:
-    return {}
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
 
-def oracle_sql() -> dict:
-    return {}
+from . import oracle, queries as q
+
+NAMES = (
+    "attribution_asof_30m",
+    "attribution_asof_24h",
+    "attribution_join_form",
+    "attribution_watermarked",
+    "attribution_ties",
+    "running_watermark",
+    "late_events",
+    "partition_watermarks",
+    "global_min_watermark",
+    "watermark_upsert",
+    "pending_views",
+    "pending_status",
+    "click_classification",
+    "first_arrival_views",
+    "input_ledger",
+    "conflict_letters",
+    "validation_split",
+    "invalid_records",
+    "evict_clicks",
+    "click_state_counts",
+    "active_clicks_scan",
+    "archive_clicks_batch",
+    "archive_clicks_remaining",
+    "archive_ledger_batch",
+    "ledger_semi_join",
+    "insert_if_absent",
+    "output_conflicts",
+    "state_or_history_lookup",
+    "output_contract_json",
+)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {name: getattr(q, name) for name in NAMES}
+
+
+def oracle_sql() -> dict[str, str]:
+    known = queries()
+    return {k: v for k, v in oracle.oracle_sql().items() if k in known}
