@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import tempfile
+
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import TIME_FORMAT
@@ -47,3 +49,12 @@ def click_archive_minutes(lag_minutes: Column) -> Column:
     of lag, else three times the lag, 90 at most."""
     lag = F.greatest(lag_minutes, F.lit(0))
     return F.when(lag < 10, 30).otherwise(F.least(3 * lag, F.lit(90)))
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share; one of our own only
+    where the session names none."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-"))
+    return sc.getCheckpointDir()

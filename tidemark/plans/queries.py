@@ -218,3 +218,25 @@ def output_contract_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = attribution_asof_24h(spark, sf_dir)
     texts = [F.col(c).cast("string").alias(c) if c != "event_time" else format_time(c).alias(c) for c in rows.columns]
     return rows.select("page_view_id", F.to_json(F.struct(*texts), {"ignoreNullFields": "false"}).alias("json"))
+
+
+def stream_exact_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exact streaming mode over the events in three micro-batches."""
+    from uuid import uuid4
+
+    from ..schema import Settings
+    from ..streaming import exact, sink
+    from ..functions.columns import shared_dir
+
+    root = f"{shared_dir(spark)}/replay-{uuid4().hex}"
+    rows = events.load(spark, sf_dir)
+    topic = F.when(F.col("kind") == "click", CLICKS_TOPIC).otherwise(VIEWS_TOPIC)
+    sent = rows.withColumn("topic", topic).withColumn("arrival", F.unix_micros(F.col("arrival").cast("timestamp"))).withColumn("ts", F.col("ts").cast("timestamp"))
+    third = sent.select(F.percentile_approx("arrival", [0.33, 0.66]).alias("c")).first()["c"]
+    parts = (sent.where(F.col("arrival") <= third[0]), sent.where((F.col("arrival") > third[0]) & (F.col("arrival") <= third[1])), sent.where(F.col("arrival") > third[1]))
+    for n, part in enumerate(parts):
+        part.coalesce(1).write.mode("append").parquet(f"{root}/in/part={n}")
+        stream = spark.readStream.schema(sent.schema).parquet(f"{root}/in/part=*")
+        records = exact.attribution_records(stream, Settings(allowed_lateness_minutes=L, attribution_window_minutes=DAY))
+        sink.start(records, f"{root}/out", f"{root}/checkpoint", available_now=True).awaitTermination()
+    return sink.read_table(spark, f"{root}/out", "output").withColumn("event_time", F.col("event_time").cast("timestamp_ntz"))

@@ -38,6 +38,7 @@ NAMES = (
     "output_conflicts",
     "state_or_history_lookup",
     "output_contract_json",
+    "stream_exact_replay",
 )
 
 
