@@ -8,8 +8,8 @@ came before, and where the last one was) stitches documents that cross block
 edges, over any number of blocks.
 
 Defined results: a document without ids counts 0; ids after the last end of a
-shard are a document that is not closed; a null or empty text has no ids; null
-document ids come first; repeated rows are separate documents; empty tables
+shard are a document that is not closed; a null or empty text has no ids; a
+null document id stays null; repeated rows are separate documents; empty tables
 give an empty result; other columns are never read.
 """
 
@@ -36,9 +36,10 @@ _SCHEMA = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("width", pa.
 
 
 def write_flat_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, doc_id: str = "doc_id", text: str = "text", block_tokens: int = BLOCK_TOKENS) -> None:
-    """Encode texts in ascending id order; one range shuffle.  Rows hold either
-    a block of ids or the names of the shard's documents in order, which say
-    nothing about where those begin."""
+    """Encode texts in the order in which they come, a shard for each input
+    partition, without a shuffle.  Rows hold either a block of ids or the names
+    of the shard's documents in order, which say nothing about where those
+    begin."""
     small_batches(docs.sparkSession)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -67,9 +68,7 @@ def write_flat_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = E
             yield row(shard, -1, encoder.width, None, named, names)
 
     rows = columns(docs, doc_id, text).toDF("doc_id", "text")
-    tie = F.xxhash64("text")
-    ordered = rows.repartitionByRange("doc_id", tie).sortWithinPartitions("doc_id", tie, "text")
-    ordered.mapInArrow(encode, _DDL).write.option("compression", "zstd").option("parquet.enable.dictionary", "false").option("parquet.block.size", str(16 << 20)).parquet(path)
+    rows.mapInArrow(encode, _DDL).write.option("compression", "zstd").option("parquet.enable.dictionary", "false").option("parquet.block.size", str(16 << 20)).parquet(path)
 
 
 def count_tokens(blocks: DataFrame, end_id: int = END_ID) -> DataFrame:
