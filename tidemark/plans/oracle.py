@@ -146,7 +146,7 @@ def oracle_sql() -> dict[str, str]:
         "stream_exact_replay": sql(rows, watermarked(15), select="SELECT page_view_id::VARCHAR AS page_view_id, user_id::VARCHAR AS user_id, event_time, url, attributed_campaign_id, attributed_click_id::VARCHAR AS attributed_click_id FROM output"),
         "running_watermark": sql(rows, marked, select="SELECT id, p, wm_before, wm_after FROM marked"),
         "late_events": sql(rows, marked, select="SELECT id, kind, p, ts, wm_before FROM marked WHERE ts < wm_before"),
-        "partition_watermarks": sql(rows, select="SELECT p AS partition_no, max(ts) AS max_event_time, epoch_ms(max(ts)) AS max_event_time_epoch_ms FROM rows GROUP BY p"),
+        "partition_watermarks": sql(rows, select="SELECT p AS partition_no, max(ts) AS max_event_time, epoch_us(max(ts)) // 1000 AS max_event_time_epoch_ms FROM rows GROUP BY p"),
         "global_min_watermark": sql(rows, select="SELECT min(m) AS min_event_time FROM (SELECT max(ts) AS m FROM rows GROUP BY p)"),
         "watermark_upsert": sql(rows, select="SELECT p, max(ts) AS max_event_time FROM rows GROUP BY p"),
         "pending_views": sql(rows, marked, select="SELECT id, p, user_id, ts, url FROM accepted a WHERE kind = 'view' AND ts > (SELECT max(ts) FROM rows r WHERE r.p = a.p) - INTERVAL 15 MINUTE"),
