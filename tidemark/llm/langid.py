@@ -163,6 +163,9 @@ class Guess(NamedTuple):
 
 def identify(texts: list[str | None], model: Model, with_spans: bool = True) -> list[Guess]:
     """Language, its share of letters, and spans of words, of each text."""
+    unknown = Guess(UNKNOWN, 0.0, [])
+    if not model.langs:
+        return [unknown] * len(texts)
     emissions, letters, sizes = [], [], np.zeros(len(texts), np.int64)
     has_letter = np.zeros(len(texts), bool)
     group: list[int] = []
@@ -184,8 +187,7 @@ def identify(texts: list[str | None], model: Model, with_spans: bool = True) ->
             group, chars = [], 0
     if group:
         close()
-    unknown = Guess(UNKNOWN, 0.0, [])
-    if not emissions or not model.langs:
+    if not emissions:
         return [unknown] * len(texts)
     label = viterbi(np.concatenate(emissions), sizes)
     weight = np.concatenate(letters)
