@@ -71,6 +71,30 @@ def test_guests_reach_every_leaf_they_must():
     assert {r for r, _ in a & b} == set(range(len(halves)))
 
 
+@pytest.mark.parametrize("depth", [0, 3])
+def test_large_leaves_are_split_where_they_are(spark, monkeypatch, depth):
+    monkeypatch.setattr(simhash, "LEAF", 16)
+    monkeypatch.setattr(simhash, "MAX_DEPTH", depth)
+    fps = dict(enumerate(planted(500, depth)))
+    df = spark.createDataFrame([(k, v - (1 << 64) if v >> 63 else v) for k, v in fps.items()], "doc_id long, fp long")
+    named = simhash.rooted(df)
+    found = {r.least: r.c for r in named.join(named.groupBy("root").agg(F.min("least").alias("c")), "root").collect()}
+    assert found == brute_components(fps)
+
+
+def test_dense_groups_do_not_multiply():
+    rng = random.Random(2)
+    centre = rng.getrandbits(64)
+    dense = {centre ^ (1 << a) ^ (1 << b) for a in range(64) for b in range(64)}
+    fps = np.array(sorted(dense | {rng.getrandbits(64) for _ in range(4000)}), np.uint64)
+    halves = (fps >> np.uint64(32)).astype(np.uint32)
+    row, _ = simhash.VantageTree(halves, 6, 1).route(halves)
+    assert len(row) < 8 * len(fps)
+    a, b = simhash.tree_stars(fps, 32)
+    joined = {int(x) for x in a[b == b[np.flatnonzero(a == np.uint64(centre))[0]]]} if (a == np.uint64(centre)).any() else {int(x) for x in a}
+    assert len(joined & dense) >= len(dense) - 1
+
+
 def test_components_of_long_chains(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 101), (5, 5)]
     found = {r.node: r.root for r in simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}

@@ -47,6 +47,11 @@ SEED = 42
 #: Fingerprints of a leaf aimed at, and those that the driver builds trees from.
 LEAF = 1024
 TREE_SAMPLE = 100_000
+#: Levels of the trees that are broadcast: 65,535 nodes of six bytes each, at
+#: most.  Larger leaves are split further by the task that searches them.
+MAX_DEPTH = 16
+#: A split that leaves more than this share of the pairs isn't made.
+USELESS = 0.9
 
 
 def fingerprint(text: str | None) -> int:
@@ -110,7 +115,12 @@ class VantageTree:
                     cost = (inner + band) ** 2 + (len(own) - inner) ** 2
                     if best is None or cost < best[0]:
                         best = cost, vp, m, d
-            _, self.vantage[node], self.mu[node], d = best
+            cost, self.vantage[node], self.mu[node], d = best
+            if cost > USELESS * len(own) ** 2:
+                # a dense group: whatever the split, most of it would visit both sides
+                self.mu[node] = 40
+                groups[2 * node + 1] = own
+                continue
             inside = d <= self.mu[node]
             groups[2 * node + 1], groups[2 * node + 2] = own[inside], own[~inside]
 
@@ -156,12 +166,28 @@ def leaf_stars(fps: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.nd
     return np.concatenate([none, *members]), np.concatenate([none, *reps])
 
 
+def tree_stars(fps: np.ndarray, shift: int) -> tuple[np.ndarray, np.ndarray]:
+    """``leaf_stars`` of a leaf of any size, which is split further over the
+    same half (``shift``: its first bit) if it is large."""
+    fps = np.unique(fps)
+    if len(fps) <= 4 * LEAF:
+        return leaf_stars(fps)
+    halves = (fps >> np.uint64(shift)).astype(np.uint32)
+    depth = math.ceil(math.log2(len(fps) / LEAF))
+    sample = np.random.default_rng(shift).choice(halves, min(len(halves), 32 << depth), replace=False)
+    row, leaf = VantageTree(sample, depth, len(fps)).route(halves)
+    order = np.argsort(leaf, kind="stable")
+    row, leaf = row[order], leaf[order]
+    found = [leaf_stars(fps[part]) for part in np.split(row, np.flatnonzero(leaf[1:] != leaf[:-1]) + 1)]
+    return np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found])
+
+
 def links(distinct: DataFrame, fp: str = "fp") -> DataFrame:
     """Edges ``a, b`` that connect exactly the fingerprints linked, directly or
     through others, at ``RADIUS`` or fewer bits.  ``distinct``: one row each."""
     spark = distinct.sparkSession
     n = distinct.count()
-    depth = max(0, math.ceil(math.log2(max(1, n) / LEAF)))
+    depth = min(MAX_DEPTH, max(0, math.ceil(math.log2(max(1, n) / LEAF))))
     part = distinct if n <= TREE_SAMPLE else distinct.sample(TREE_SAMPLE / n, seed=5)
     sample = np.array([r[0] for r in part.select(fp).limit(2 * TREE_SAMPLE).collect()], np.int64).view(np.uint64)
     trees = spark.sparkContext.broadcast([VantageTree((sample >> np.uint64(s)).astype(np.uint32), depth, s) for s in (0, 32)])
@@ -175,7 +201,8 @@ def links(distinct: DataFrame, fp: str = "fp") -> DataFrame:
 
     def search(group: pa.Table) -> pa.Table:
         fps = group.column("fp").to_numpy()
-        a, b = leaf_stars(fps.view(np.uint64))
+        shift = 32 * (group.column("leaf")[0].as_py() & 1)
+        a, b = tree_stars(fps.view(np.uint64), shift)
         return pa.table({"a": pa.array(a.view(np.int64)), "b": pa.array(b.view(np.int64))})
 
     visits = distinct.select(fp).mapInArrow(route, "leaf long, fp long")
