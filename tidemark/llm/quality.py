@@ -110,7 +110,7 @@ RULES: tuple[Rule, ...] = (
     Rule("exclamations_per_word", lambda t: 5 * t.text.count("!") > 2 * t.n_words),
     Rule("ellipses_per_line", lambda t: 10 * t.text.count("...") > 3 * max(1, len(t.lines)) + 10),
     Rule("upper_case", lambda t: 2 * len(_UPPER.findall(t.text)) > len(_ALPHA.findall(t.text))),
-    Rule("words_without_letters", lambda t: 10 * sum(1 for w in t.words if _LETTER.search(w)) < 7 * t.n_words),
+    Rule("words_without_letters", lambda t: 10 * sum(1 for w in t.words if _LETTER.search(w)) < 6 * t.n_words),
     Rule("duplicate_lines", lambda t: 2 * t.n_dup_lines > len(t.lines)),
     Rule("bullet_lines", lambda t: 10 * len(_BULLET.findall(t.text)) > 9 * max(1, len(t.lines))),
 )
@@ -227,7 +227,7 @@ SELECT doc_id, n::BIGINT AS n_words, chars::BIGINT AS word_chars, syms::BIGINT A
        AND 5 * length(regexp_replace(text, '[^!]', '', 'g')) <= 2 * n
        AND 10 * len(regexp_extract_all(text, '\.\.\.')) <= 3 * greatest(1, n_lines) + 10
        AND 2 * length(regexp_replace(text, '[^A-Z]', '', 'g')) <= length(regexp_replace(text, '[^A-Za-z]', '', 'g'))
-       AND 10 * len(list_filter(w, lambda x: regexp_matches(x, '[A-Za-z\x{80}-\x{10FFFF}]'))) >= 7 * n
+       AND 10 * len(list_filter(w, lambda x: regexp_matches(x, '[A-Za-z\x{80}-\x{10FFFF}]'))) >= 6 * n
        AND 2 * n_dup <= n_lines
        AND 10 * len(regexp_extract_all(text, '(?:^|\n)[ \t]*[-*\x{2022}]')) <= 9 * greatest(1, n_lines) AS kept
 FROM v
