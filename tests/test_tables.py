@@ -128,3 +128,27 @@ def test_state_before_history(spark):
     state = spark.createDataFrame([("a", 1)], "id string, v int")
     history = spark.createDataFrame([("a", 2), ("b", 3)], "id string, v int")
     assert {r["id"]: (r["v"], r["found_in"]) for r in dedup.lookup_with_history(state, history, "id").collect()} == {"a": (1, "state"), "b": (3, "history")}
+
+
+def test_restore_fails_on_broken_state(spark):
+    good = ("c", "u", "a", T, "ACTIVE")
+    schema = "click_id string, user_id string, campaign_id string, ts timestamp_ntz, state_status string"
+    assert tables.restored_clicks(spark.createDataFrame([good, ("d", "u", " ", T, "EVICTED")], schema)).count() == 1
+    with pytest.raises(Exception, match="click state holds"):
+        tables.restored_clicks(spark.createDataFrame([good, ("d", "u", " ", T, "ACTIVE")], schema)).collect()
+
+
+def test_ledger_skips_recorded_places(spark):
+    schema = "topic string, partition_no int, offset_no long"
+    new = spark.createDataFrame([("ad_clicks", 0, 1), ("ad_clicks", 1, 1), ("page_views", 0, 1)], schema)
+    old = spark.createDataFrame([("ad_clicks", 0, 1)], schema)
+    assert tables.skip_recorded(new, old).count() == 2
+    history = old.selectExpr("*", "current_timestamp() AS archived_at")
+    assert tables.latest_ledger(new, history).count() == 3
+
+
+def test_unknown_topic_is_its_own_type(spark):
+    from tidemark.functions.columns import event_type
+
+    df = spark.createDataFrame([("ad_clicks",), ("page_views",), ("other",)], "t string")
+    assert [r[0] for r in df.select(event_type("t")).collect()] == ["ad_clicks", "page_views", "other"]

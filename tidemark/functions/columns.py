@@ -7,7 +7,7 @@ import tempfile
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-from ..schema import TIME_FORMAT
+from ..schema import CLICKS_TOPIC, TIME_FORMAT, VIEWS_TOPIC
 
 
 def col(x: str | Column) -> Column:
@@ -44,6 +44,12 @@ def differs(left: str, right: str, columns: tuple[str, ...]) -> Column:
     return out
 
 
+def event_type(topic: str | Column) -> Column:
+    """The event type of a topic; an unknown topic is its own type."""
+    t = col(topic)
+    return F.when(t == CLICKS_TOPIC, CLICKS_TOPIC).when(t == VIEWS_TOPIC, VIEWS_TOPIC).otherwise(t)
+
+
 def click_archive_minutes(lag_minutes: Column) -> Column:
     """How long evicted clicks are kept, by watermark lag: 30 below 10 minutes
     of lag, else three times the lag, 90 at most."""
@@ -51,6 +57,14 @@ def click_archive_minutes(lag_minutes: Column) -> Column:
     return F.when(lag < 10, 30).otherwise(F.least(3 * lag, F.lit(90)))
 
 
+def click_archive_cutoff(now: Column, watermark: Column) -> Column:
+    """Evicted clicks strictly before it are archived; a watermark ahead of the
+    clock counts as no lag, and a lag counts in whole minutes."""
+    lag = F.floor((F.unix_micros(now.cast("timestamp")) - F.unix_micros(watermark.cast("timestamp"))) / 60_000_000)
+    kept = click_archive_minutes(F.coalesce(lag, F.lit(0)))
+    return now - F.make_dt_interval(F.lit(0), F.lit(0), kept.cast("int"))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share; one of our own only
     where the session names none."""

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from ..functions.columns import is_blank, parse_time
+from ..functions.columns import event_type, is_blank, parse_time
 from ..schema import AD_CLICK, CLICKS_TOPIC, INVALID_RECORD, PAGE_VIEW, VIEWS_TOPIC
 
 _METADATA = ("partition", "offset")
@@ -54,7 +54,7 @@ def parse(records: DataFrame, strict_fields: bool = False) -> DataFrame:
     checked = timed.withColumn("reason", F.when(click, reasons(CLICKS_TOPIC)).otherwise(reasons(VIEWS_TOPIC)))
     readable = F.col("reason").isNull() | F.col("reason").endswith("is missing")
     return (
-        checked.withColumn("event_type", F.when(click, CLICKS_TOPIC).otherwise(VIEWS_TOPIC))
+        checked.withColumn("event_type", event_type("topic"))
         .withColumn("event_key", F.when(readable, F.when(click, F.col("click_id")).otherwise(F.col("event_id"))))
         .withColumn("event_time", F.when(readable, F.col("event_time")))
         .drop("is_object", "_time")

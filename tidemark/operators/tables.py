@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import differs, is_blank
-from ..schema import ACTIVE, EMITTED, EVICTED, OUTPUT, PENDING
+from ..schema import ACTIVE, EMITTED, EVICTED, LEDGER_KEY, OUTPUT, PENDING
 
 
 def insert_if_absent(new: DataFrame, stored: DataFrame, key: Sequence[str]) -> DataFrame:
@@ -52,5 +52,23 @@ def evict(clicks: DataFrame, cutoff: Column) -> DataFrame:
     return clicks.withColumn("state_status", F.when(gone, EVICTED).otherwise(F.col("state_status")))
 
 
+def skip_recorded(new: DataFrame, ledger: DataFrame) -> DataFrame:
+    """Events whose place in the log has no ledger row yet."""
+    return new.join(ledger.select(*LEDGER_KEY), list(LEDGER_KEY), "left_anti")
+
+
+def latest_ledger(current: DataFrame, history: DataFrame) -> DataFrame:
+    """Ledger rows of both tables, for look-ups past retention."""
+    return current.unionByName(history.drop("archived_at"), allowMissingColumns=True).dropDuplicates(list(LEDGER_KEY))
+
+
+def restored_clicks(clicks: DataFrame) -> DataFrame:
+    """Active clicks for a restart, in order; a broken row fails the restart
+    rather than being left out."""
+    broken = is_blank("click_id") | is_blank("user_id") | is_blank("campaign_id") | F.col("ts").isNull()
+    checked = active_clicks(clicks).withColumn("user_id", F.when(broken, F.raise_error(F.lit("click state holds a row without id, user, campaign or time"))).otherwise(F.col("user_id")))
+    return checked.orderBy("user_id", "ts", "click_id")
+
+
 def active_clicks(clicks: DataFrame) -> DataFrame:
     return clicks.where(F.col("state_status") == ACTIVE)

@@ -172,8 +172,11 @@ UNION ALL SELECT CASE kind WHEN 'click' THEN 'ad_clicks' ELSE 'page_views' END,
         "archive_clicks_remaining": sql(rows, marked, ARCHIVE, select="SELECT click_id, state_status FROM state WHERE click_id NOT IN (SELECT click_id FROM batch)"),
         "archive_ledger_batch": sql(rows, LEDGER, select="SELECT *, TIMESTAMP '2024-01-20 00:00:00' AS archived_at FROM book WHERE coalesce(processed_at, received_at) < TIMESTAMP '2024-01-20 00:00:00' - INTERVAL 12 HOUR ORDER BY coalesce(processed_at, received_at), topic, partition_no, offset_no LIMIT 500"),
         "ledger_semi_join": sql(rows, LEDGER, select="SELECT topic, partition_no, offset_no FROM book WHERE offset_no % 7 = 0"),
+        "offset_replay_skip": sql(rows, LEDGER, select="SELECT topic, partition_no, offset_no FROM book WHERE offset_no % 7 <> 0"),
+        "restored_clicks": sql(rows, marked, ARCHIVE, select="SELECT user_id::VARCHAR AS user_id, ts, click_id::VARCHAR AS click_id, campaign_id FROM state WHERE state_status = 'ACTIVE'"),
+        "click_archive_cutoffs": sql(rows, select="SELECT p, lag, m + to_minutes(lag) - to_minutes(CASE WHEN lag < 10 THEN 30 ELSE least(3 * lag, 90) END) AS cutoff FROM (SELECT p, max(ts) AS m FROM rows GROUP BY p), (SELECT unnest([-5, 5, 10, 15, 30, 45]) AS lag)"),
         "insert_if_absent": sql(rows, day, select="SELECT * FROM output WHERE page_view_id % 3 <> 0"),
         "output_conflicts": sql(rows, day, select="SELECT page_view_id, user_id, event_time, url || '/y' AS url, attributed_campaign_id, attributed_click_id FROM output WHERE page_view_id % 9 = 0"),
         "state_or_history_lookup": sql(rows, select="SELECT id AS click_id, user_id, CASE WHEN id % 4 <> 0 THEN campaign_id ELSE campaign_id || '_old' END AS campaign_id, CASE WHEN id % 4 <> 0 THEN 'state' ELSE 'history' END AS found_in FROM rows WHERE kind = 'click'"),
-        "output_contract_json": sql(rows, day, select="SELECT page_view_id, json_object('page_view_id', page_view_id::VARCHAR, 'user_id', user_id::VARCHAR, 'event_time', strftime(event_time, '%Y-%m-%dT%H:%M:%SZ'), 'url', url, 'attributed_campaign_id', attributed_campaign_id, 'attributed_click_id', attributed_click_id::VARCHAR)::VARCHAR AS json FROM output"),
+        "output_contract_json": sql(rows, day, select="SELECT json_object('page_view_id', page_view_id::VARCHAR, 'user_id', user_id::VARCHAR, 'event_time', strftime(event_time, '%Y-%m-%dT%H:%M:%SZ'), 'url', url, 'attributed_campaign_id', attributed_campaign_id, 'attributed_click_id', attributed_click_id::VARCHAR)::VARCHAR AS json FROM output"),
     }

@@ -215,9 +215,28 @@ def state_or_history_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def output_contract_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = attribution_asof_24h(spark, sf_dir)
-    texts = [F.col(c).cast("string").alias(c) if c != "event_time" else format_time(c).alias(c) for c in rows.columns]
-    return rows.select("page_view_id", F.to_json(F.struct(*texts), {"ignoreNullFields": "false"}).alias("json"))
+    from ..streaming.sink import json_lines
+
+    return json_lines(attribution_asof_24h(spark, sf_dir)).withColumnRenamed("value", "json")
+
+
+def offset_replay_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    book = _ledger(spark, sf_dir)
+    return tables.skip_recorded(book, book.where("offset_no % 7 = 0")).select(*LEDGER_KEY)
+
+
+def restored_clicks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clicks = _clicks(spark, sf_dir).withColumn("state_status", F.when(F.col("click_id") % 5 == 0, ACTIVE).otherwise(EVICTED))
+    return tables.restored_clicks(clicks.withColumn("click_id", F.col("click_id").cast("string")).withColumn("user_id", F.col("user_id").cast("string"))).select("user_id", "ts", "click_id", "campaign_id")
+
+
+def click_archive_cutoffs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..functions.columns import click_archive_cutoff
+
+    marks = watermark.final_watermarks(events.load(spark, sf_dir))
+    lags = spark.sql("SELECT explode(array(-5, 5, 10, 15, 30, 45)) AS lag")
+    now = F.col("max_event_time") + F.make_dt_interval(F.lit(0), F.lit(0), F.col("lag"))
+    return marks.crossJoin(F.broadcast(lags)).select("p", "lag", click_archive_cutoff(now, F.col("max_event_time")).alias("cutoff"))  # six rows
 
 
 def stream_exact_replay(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,6 +34,9 @@ NAMES = (
     "archive_clicks_remaining",
     "archive_ledger_batch",
     "ledger_semi_join",
+    "offset_replay_skip",
+    "restored_clicks",
+    "click_archive_cutoffs",
     "insert_if_absent",
     "output_conflicts",
     "state_or_history_lookup",

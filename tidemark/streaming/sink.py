@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from ..schema import LEDGER_KEY
+from ..functions.columns import format_time
+from ..schema import LEDGER_KEY, OUTPUT
 
 _TABLES = {
     "output": ("page_view_id STRING, user_id STRING, event_time TIMESTAMP, url STRING, attributed_campaign_id STRING, attributed_click_id STRING", ["page_view_id"]),
@@ -55,6 +56,17 @@ def split(records: DataFrame) -> dict[str, DataFrame]:
     }
 
 
+def json_lines(output: DataFrame) -> DataFrame:
+    """Output rows as one column ``value`` of JSON text, nulls written out."""
+    fields = [format_time(c).alias(c) if c == "event_time" else F.col(c).cast("string").alias(c) for c in OUTPUT]
+    return output.select(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("value"))
+
+
+def start_json_lines(output: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Append a stream of output rows to text files of JSON lines."""
+    return json_lines(output).writeStream.format("text").outputMode("append").option("checkpointLocation", checkpoint).start(path)
+
+
 def batch_writer(root: str) -> Callable[[DataFrame, int], None]:
     def write(records: DataFrame, batch_id: int) -> None:
         records.persist()
