@@ -2,13 +2,14 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from tidemark.llm import separators, token_files
-from tidemark.llm.tokens import Encoder
+from tidemark.llm.tokens import Encoder, WordTable
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 LIBRARY = Tokenizer.from_file(PATH)
@@ -26,6 +27,28 @@ def test_memo_equals_library(text):
     assert ENCODER(text) == ENCODER.pack(LIBRARY.encode(text, add_special_tokens=False).ids + [2])
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.none() | st.text(st.sampled_from("ab  Z1\n\t.,'sÉß　中😀"), max_size=40), max_size=8))
+def test_batches_equal_single_texts(texts):
+    array = pa.array([None, *texts], pa.string())
+    for part in (array, array.slice(1)):
+        assert ENCODER.batch(part) == [ENCODER(t) for t in part.to_pylist()]
+        assert all(isinstance(x, bytes) for x in ENCODER.batch(part))
+
+
+def test_word_table_starts_anew_and_keeps_colliding_words_apart(monkeypatch):
+    monkeypatch.setattr(WordTable, "FULL", 40)
+    monkeypatch.setattr(WordTable, "SLOTS", 1 << 21)
+    encoder = Encoder(PATH, 2)
+    texts = [" ".join(f"w{i * j % 31}" for j in range(1, 30)) for i in range(60)]
+    assert encoder.batch(pa.array(texts)) == [ENCODER(t) for t in texts]
+    one_hash = Encoder(PATH, 2)
+    one_hash.table.factors[0] = 0  # all words agree in the first hash
+    assert one_hash.batch(pa.array(texts[:3])) == [ENCODER(t) for t in texts[:3]]
+    long = "a " + "b" * 300 + " c"
+    assert encoder.batch(pa.array([long, "a b", long])) == [ENCODER(t) for t in (long, "a b", long)]
+
+
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
 def test_other_tokenizers(name):
     path = public_tokenizers.path(name)

@@ -51,9 +51,8 @@ def write_flat_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = E
             return pa.RecordBatch.from_arrays([pa.array([v], type=f.type) for v, f in zip(values, _SCHEMA, strict=True)], schema=_SCHEMA)
 
         for batch in batches:
-            texts = batch.column(1)
-            for i, key in enumerate(batch.column(0).to_pylist()):
-                held += encoder(texts[i].as_py())
+            for key, got in zip(batch.column(0).to_pylist(), encoder.batch(batch.column(1)), strict=True):
+                held += got
                 names.append(key)
                 while len(held) >= size:
                     yield row(shard, block, encoder.width, bytes(held[:size]), None, None)

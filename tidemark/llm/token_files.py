@@ -123,9 +123,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
             return pa.RecordBatch.from_arrays([pa.array([v], type=f.type) for v, f in zip(row, _BLOCK, strict=True)], schema=_BLOCK)
 
         for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), batch.column(1)
-            for i, key in enumerate(keys):
-                got = encoder(texts[i].as_py())
+            for key, got in zip(batch.column(0).to_pylist(), encoder.batch(batch.column(1)), strict=True):
                 if held and size[-1] + len(got) // encoder.width > BLOCK_TOKENS:
                     yield close()
                     block, first, held, ids, size = block + 1, first + size[-1], [], [], [0]

@@ -15,9 +15,19 @@ from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 
 #: A space that stands between two characters that aren't white space.
 _JOINT = re.compile(r"(?<=\S) (?=\S)")
+#: Characters whose words are looked up together.
+_GROUP_CHARS = 1 << 20
+#: Without any of these inside, and without a space at either end, every space
+#: of a text is a joint.
+_UNEVEN = ("  ", " \n", "\n ", *(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"))
+
+
+def _even(text: str) -> bool:
+    return text[:1] != " " and text[-1:] != " " and not any(map(text.__contains__, _UNEVEN))
 
 
 @lru_cache(maxsize=2)
@@ -37,7 +47,7 @@ def byte_alphabet() -> dict[int, str]:
 class Encoder:
     """Texts to ids as little-endian bytes, ``width`` bytes for each id."""
 
-    def __init__(self, path: str, end_id: int | None = None, memo: int = 1_200_000):
+    def __init__(self, path: str, end_id: int | None = None, memo: int = 300_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -46,6 +56,8 @@ class Encoder:
         self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         self.end = b"" if end_id is None else np.array([end_id], self.dtype).tobytes()
         self.words = _Words(self, memo) if _splits_at_spaces(path) else None
+        self.firsts: dict[bytes, bytes] = {}
+        self.table = WordTable(self.words.fresh, self.dtype) if self.words is not None else None
 
     @property
     def width(self) -> int:
@@ -63,9 +75,7 @@ class Encoder:
             return self.end
         if self.words is None:
             return self.whole(text) + self.end
-        # lengths agree if all runs of white space are single characters inside the text
-        single = len(" ".join(text.split())) == len(text)
-        chunks = text.split(" ") if single else _JOINT.split(text)
+        chunks = text.split(" ") if _even(text) else _JOINT.split(text)
         if len(chunks) == 1:
             return self.words.encode(text) + self.end
         first, chunks[0] = self.words.encode(chunks[0]), ""
@@ -73,6 +83,137 @@ class Encoder:
         return first + b"".join(map(self.words.__getitem__, chunks)) + self.end
 
 
+    def batch(self, texts: pa.Array) -> list[bytes]:
+        """Ids of each text of an Arrow array, as if called one by one, with
+        words looked up in NumPy arrays for many texts at once."""
+        strings = texts.to_pylist()
+        out: list[bytes] = [b""] * len(strings)
+        group: list[int] = []
+        size = 0
+        for row, t in enumerate(strings):
+            if not t or self.words is None or len(t) > _GROUP_CHARS or not _even(t):
+                out[row] = self(t)
+                continue
+            group.append(row)
+            size += len(t)
+            if size > _GROUP_CHARS:
+                self._group(strings, group, out)
+                group, size = [], 0
+        if group:
+            self._group(strings, group, out)
+        return out
+
+    def _group(self, strings: list[str], group: list[int], out: list[bytes]) -> None:
+        flat = [strings[row].encode() for row in group]
+        joined = b" ".join(flat) + b" "
+        ends = np.flatnonzero(np.frombuffer(joined, np.uint8) == 0x20)
+        starts = np.concatenate([[0], ends[:-1] + 1])
+        # each text's first and last word: texts lie one after another
+        lasts = np.searchsorted(ends, np.cumsum([len(x) + 1 for x in flat]) - 1) + 1
+        firsts = np.concatenate([[0], lasts[:-1]])
+        if int((ends - starts).max()) > WordTable.LONGEST:
+            long = np.maximum.reduceat(ends - starts, firsts) > WordTable.LONGEST
+            for row in np.array(group)[long].tolist():
+                out[row] = self(strings[row])
+            if not long.all():
+                self._group(strings, np.array(group)[~long].tolist(), out)
+            return
+        ids, edges = self.table.look_up(joined, starts, ends)
+        width, data = self.width, memoryview(ids.tobytes())
+        begin, end = edges[firsts + 1] * width, edges[lasts] * width
+        for row, a, b, i in zip(group, begin.tolist(), end.tolist(), firsts.tolist(), strict=True):
+            word = joined[starts[i] : ends[i]]
+            own = self.firsts.get(word)
+            if own is None:
+                if len(self.firsts) >= 50_000:
+                    self.firsts.clear()
+                own = self.firsts[word] = self.words.encode(word.decode())
+            out[row] = b"".join((own, data[a:b], self.end))
+
+
+class WordTable:
+    """Ids of words with a space before them, in an open hash table of NumPy
+    arrays; a whole block of words is hashed, found and gathered at once.
+
+    Words are told apart by two multilinear hashes of 64 bits each, with fixed
+    random multipliers: two different words agree in both with probability
+    2**-126.  A full table starts anew.
+    """
+
+    SLOTS = 1 << 21
+    FULL = 1_100_000
+    LONGEST = 255
+
+    def __init__(self, encode, dtype: np.dtype):
+        rng = np.random.default_rng(20_240_101)
+        self.factors = rng.integers(0, 1 << 63, (2, self.LONGEST + 1), np.uint64) * np.uint64(2) + np.uint64(1)
+        self.encode, self.dtype = encode, dtype
+        self.clear()
+
+    def clear(self) -> None:
+        self.n, self.used = 0, 0
+        self.keys = np.zeros((2, self.SLOTS), np.uint64)
+        self.at = np.zeros(self.SLOTS, np.int64)
+        self.size = np.zeros(self.SLOTS, np.int32)  # every word has an id: 0 is an empty slot
+        self.pool = np.empty(1 << 16, self.dtype)
+
+    def hashes(self, joined: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        value = np.frombuffer(joined, np.uint8).astype(np.uint64)
+        place = np.arange(len(value)) - np.repeat(starts, ends - starts + 1)
+        return np.stack([np.add.reduceat(value * f[place], starts) for f in self.factors])
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Slot of each key, -1 where it isn't there."""
+        out = np.full(keys.shape[1], -1)
+        todo = np.arange(keys.shape[1])
+        slot = (keys[0] >> np.uint64(43)).astype(np.int64)
+        while len(todo):
+            there = self.size[slot] > 0
+            same = there & (self.keys[0][slot] == keys[0][todo]) & (self.keys[1][slot] == keys[1][todo])
+            out[todo[same]] = slot[same]
+            more = there & ~same
+            todo, slot = todo[more], (slot[more] + 1) % self.SLOTS
+        return out
+
+    def insert(self, keys: np.ndarray, ids: list[bytes]) -> None:
+        size = np.array([len(x) for x in ids]) // self.dtype.itemsize
+        fresh = np.frombuffer(b"".join(ids), self.dtype)
+        if self.used + len(fresh) > len(self.pool):
+            self.pool = np.concatenate([self.pool[: self.used], np.empty(len(fresh) + self.used + (1 << 16), self.dtype)])
+        self.pool[self.used : self.used + len(fresh)] = fresh
+        at = self.used + np.cumsum(size) - size
+        self.used += len(fresh)
+        self.n += len(ids)
+        todo = np.arange(len(ids))
+        slot = (keys[0] >> np.uint64(43)).astype(np.int64)
+        while len(todo):
+            _, winner = np.unique(slot, return_index=True)
+            winner = winner[self.size[slot[winner]] == 0]
+            to, own = slot[winner], todo[winner]
+            self.keys[:, to], self.at[to], self.size[to] = keys[:, own], at[own], size[own]
+            rest = np.ones(len(todo), bool)
+            rest[winner] = False
+            todo, slot = todo[rest], slot[rest]
+            slot = np.where(self.size[slot] > 0, (slot + 1) % self.SLOTS, slot)
+
+    def look_up(self, joined: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words, one after another, and where each word's begin."""
+        keys = self.hashes(joined, starts, ends)
+        slot = self.find(keys)
+        missing = np.flatnonzero(slot < 0)
+        if self.n + len(missing) > self.FULL:
+            self.clear()
+            missing = np.arange(len(starts))
+        while len(missing):  # once more only if two new words agree in one hash
+            new = missing[np.unique(keys[0][missing], return_index=True)[1]]
+            self.insert(keys[:, new], [self.encode(joined[a:b].decode()) for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True)])
+            slot[missing] = self.find(keys[:, missing])
+            missing = missing[slot[missing] < 0]
+        size = self.size[slot]
+        edges = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
+        return self.pool[np.repeat(self.at[slot] - edges[:-1], size) + np.arange(edges[-1])], edges
+
+
 class _Words(dict):
     """Ids of a word with a space before it.
 
@@ -94,6 +235,7 @@ class _Words(dict):
         self.pieces: dict[str, bytes] = {}
         self.split = regex.compile(public_tokenizers.PATTERN).findall
         self.shown = str.maketrans({chr(b): c for b, c in byte_alphabet().items()})
+        self.space = byte_alphabet()[0x20]
         self.tokenize = encoder.tokenizer.model.tokenize
         code = {2: "H", 4: "I"}[encoder.width]
         self.packs = [struct.Struct(f"<{n}{code}").pack for n in range(4 * self.LONGEST + 1)]
@@ -101,10 +243,7 @@ class _Words(dict):
     def __missing__(self, word: str) -> bytes:
         ids = self.older.get(word)
         if ids is None:
-            if word.isascii() and word.isalpha() and len(word) <= self.LONGEST:
-                ids = self.piece(" " + word)
-            else:
-                ids = self.encode(" " + word)
+            ids = self.fresh(word)
         if len(word) <= self.LONGEST:
             if len(self) >= self.memo:
                 self.older = dict(self)
@@ -112,8 +251,16 @@ class _Words(dict):
             self[word] = ids
         return ids
 
+    def fresh(self, word: str) -> bytes:
+        """Ids of a word with a space before it, whether it is known or not."""
+        if word.isascii() and word.isalpha() and len(word) <= self.LONGEST:
+            return self.packed(self.tokenize(self.space + word))
+        return self.encode(" " + word)
+
     def piece(self, piece: str) -> bytes:
-        found = self.tokenize(piece.encode().decode("latin-1").translate(self.shown))
+        return self.packed(self.tokenize(piece.encode().decode("latin-1").translate(self.shown)))
+
+    def packed(self, found: list) -> bytes:
         return self.packs[len(found)](*[t.id for t in found])
 
     def encode(self, text: str) -> bytes:
