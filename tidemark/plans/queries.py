@@ -150,8 +150,8 @@ def _clicks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def evict_clicks(spark: SparkSession, sf_dir: str) -> DataFrame:
     least = watermark.global_minimum(watermark.final_watermarks(events.load(spark, sf_dir)))
-    clicks = _clicks(spark, sf_dir).crossJoin(F.broadcast(least))  # one row
-    return tables.evict(clicks, watermark.eviction_cutoff(F.col("min_event_time"), L, DAY)).select("click_id", "ts", "state_status")
+    cutoff = watermark.eviction_cutoff(least.scalar(), L, DAY)
+    return tables.evict(_clicks(spark, sf_dir), cutoff).select("click_id", "ts", "state_status")
 
 
 def click_state_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -234,9 +234,9 @@ def click_archive_cutoffs(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..functions.columns import click_archive_cutoff
 
     marks = watermark.final_watermarks(events.load(spark, sf_dir))
-    lags = spark.sql("SELECT explode(array(-5, 5, 10, 15, 30, 45)) AS lag")
+    lagged = marks.select("*", F.explode(F.array(*[F.lit(x) for x in (-5, 5, 10, 15, 30, 45)])).alias("lag"))
     now = F.col("max_event_time") + F.make_dt_interval(F.lit(0), F.lit(0), F.col("lag"))
-    return marks.crossJoin(F.broadcast(lags)).select("p", "lag", click_archive_cutoff(now, F.col("max_event_time")).alias("cutoff"))  # six rows
+    return lagged.select("p", "lag", click_archive_cutoff(now, F.col("max_event_time")).alias("cutoff"))
 
 
 def stream_exact_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
