@@ -145,7 +145,8 @@ def read_token_files(spark: SparkSession, path: str, with_ids: bool = False) ->
     asked for, ``ids``.  ``start`` counts the ids of all documents before it.
 
     Offsets inside a shard are in the files; only one number per shard, its
-    total, goes through a prefix sum and is broadcast.
+    total, goes through a prefix sum and is broadcast.  The writer's range
+    shuffle makes at most ``spark.sql.shuffle.partitions`` shards.
     """
     small_batches(spark)
     blocks = spark.read.schema(_DDL).parquet(path)
