@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 from tidemark.llm import quality
+from tidemark.llm.common import bounded_sample, columns
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 
@@ -47,5 +48,14 @@ def test_verdict_does_not_depend_on_the_order(make_docs):
     assert a == b and a[3] and not a[2]
 
 
+def test_sample_of_files_and_of_anything_else(spark, make_docs, tmp_path):
+    make_docs([(i, f"text {i}") for i in range(400)], clash=False).repartition(16).write.parquet(f"{tmp_path}/d")
+    docs = spark.read.parquet(f"{tmp_path}/d")
+    some = bounded_sample(columns(docs, "text"), 1000)
+    assert 0 < some.count() < 400 and some.columns == ["text"]
+    other = docs.selectExpr("upper(text) AS text")
+    assert bounded_sample(other, 1000).count() == 400 and bounded_sample(other, 1000).first().text.startswith("TEXT")
+
+
 def test_empty(make_docs):
     assert quality.quality_filter(make_docs([])).count() == 0

@@ -8,6 +8,7 @@ folder of our own is chosen only where that setting is unset, as in tests.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -112,15 +113,21 @@ def to_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     )
 
 
+#: Lines of a plan that only reads columns of Parquet files.
+_PLAIN = re.compile(r"[ +-]*(Project \[[\w#, ]*\]|Relation \[[\w#, ]*\] parquet)")
+
+
 def bounded_sample(df: DataFrame, rows: int, seed: int = 17, files: int = 4) -> DataFrame:
     """About ``rows`` rows of ``df``, at most four times as many in expectation.
 
-    A table read from files is sampled from ``files`` files spread over it, so
-    that planning does not scan a large table twice; anything else is sampled
-    as a whole.
+    Plain columns of a Parquet table are sampled from ``files`` files spread
+    over it, so that planning does not scan a large table twice; anything else
+    is sampled as a whole.
     """
     spark = df.sparkSession
-    paths = sorted(df.inputFiles())
+    plan = df._jdf.queryExecution().analyzed().toString().strip().split("\n")
+    plain = all(_PLAIN.fullmatch(line) for line in plan)
+    paths = sorted(df.inputFiles()) if plain else []
     if len(paths) > files:
         step = len(paths) / files
         df = spark.read.schema(df.schema).parquet(*[paths[int(i * step)] for i in range(files)])

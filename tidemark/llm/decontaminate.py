@@ -35,7 +35,7 @@ from .fmindex import FMIndex
 
 WINDOW = 10
 SHARD_WORDS = 1 << 19
-BLOCK_ITEMS_WORDS = 2_000_000
+BLOCK_ITEMS_WORDS = 500_000
 
 #: A-Z to a-z; every other ASCII character that isn't a letter or digit to a space.
 _FOLD = bytes(
