@@ -26,6 +26,7 @@ AD_CLICK = StructType([StructField("user_id", StringType()), StructField("event_
 OUTPUT = ("page_view_id", "user_id", "event_time", "url", "attributed_campaign_id", "attributed_click_id")
 LEDGER_KEY = ("topic", "partition_no", "offset_no")
 
+# Topics, statuses, error types and messages, time format
 VIEWS_TOPIC, CLICKS_TOPIC = "page_views", "ad_clicks"
 
 # classes of a click whose id is known
