@@ -103,6 +103,17 @@ def test_calls_wait_for_results_they_need(spark):
     assert {r.kind for r in found if r.conv_id == 2} == {"cycle"}
 
 
+def test_long_chains_are_no_cycles(spark):
+    n = 150
+    rows = [(1, k, "assistant", call((f"c{k}", "say", {"x": {"$result": f"c{k + 1}"}} if k < n - 1 else {}))) for k in range(n)]
+    rows += [(1, n + k, "tool", result(f"c{k}")) for k in range(n)]
+    rows += [(2, 0, "assistant", call(("a", "say", {"x": {"$result": "b"}}))), (2, 1, "assistant", call(("b", "say", {"x": {"$result": "a"}})))]
+    found = formatted(spark, rows)
+    assert [r.turn for r in found if r.conv_id == 1] == [t for k in reversed(range(n)) for t in (k, n + k)]
+    assert all(r.valid for r in found if r.conv_id == 1)
+    assert {r.kind for r in found if r.conv_id == 2} == {"cycle"}
+
+
 def test_odd_turns(spark):
     rows = [(1, 0, None, None), (1, 1, "tool", "{broken"), (1, 2, "assistant", "{}"), (1, 3, "tool", "[1]"), (None, 0, "user", "é\n\"x\""), (None, 0, "user", "é\n\"x\""), (3, 0, "assistant", call(("d", "say", {}))), (3, 1, "assistant", call(("d", "say", {}))), (4, None, "user", "no turn"), (5, 0, "assistant", '{"tool_calls": [1, null]}')]
     found = formatted(spark, [r for r in rows if r[1] is not None])

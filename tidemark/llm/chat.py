@@ -114,12 +114,12 @@ def parse_turn(role: str | None, text: str | None, schemas: Mapping[str, Mapping
     return "plain", canonical({"role": role, "content": text}), None, [], []
 
 
-def format_chats(turns: DataFrame, schemas: Mapping[str, Mapping] | None = None, max_rounds: int = 64) -> DataFrame:
+def format_chats(turns: DataFrame, schemas: Mapping[str, Mapping] | None = None) -> DataFrame:
     """``conv_id, turn, anchor, depth, slot, kind, valid, errors, message``.
 
     Ordering each conversation by ``(anchor, depth, slot, turn)`` gives a
-    topological order.  ``max_rounds`` bounds the length of chains of calls
-    that need each other's results; longer chains count as cycles.
+    topological order, however long chains of calls that need each other's
+    results are.
     """
     schemas = dict(schemas or {})
     kind = dict(turns.dtypes)
@@ -139,7 +139,7 @@ def format_chats(turns: DataFrame, schemas: Mapping[str, Mapping] | None = None,
     key = F.col("conv_id").eqNullSafe(F.col("cc"))
     first = called.groupBy("conv_id", "call_id").agg(F.min(F.struct("turn", "slot", "needs")).alias("f"), F.count("*").alias("times"))
     calls = cut(first.select(F.col("conv_id").alias("cc"), "call_id", F.col("f.turn").alias("call_turn"), F.col("f.slot").alias("call_slot"), F.col("f.needs").alias("needs"), "times"))
-    depths = _depths(calls, max_rounds)
+    depths = _depths(calls)
     # a turn's depth is that of its deepest call
     own = calls.join(depths, ["cc", "call_id"], "left") if depths is not None else calls.withColumn("depth", F.lit(0)).withColumn("anchor", F.col("call_turn"))
     per_turn = own.groupBy("cc", "call_turn").agg(F.max("depth").alias("call_depth"), F.max("anchor").alias("call_anchor"), F.max(F.col("depth").isNull()).alias("in_cycle"), F.max(F.col("times") > 1).alias("again"))
@@ -169,31 +169,45 @@ def format_chats(turns: DataFrame, schemas: Mapping[str, Mapping] | None = None,
     return every.select("conv_id", "turn", "anchor", "depth", F.col("slot").cast("int").alias("slot"), "kind", valid.alias("valid"), "errors", "message")
 
 
-def _depths(calls: DataFrame, max_rounds: int) -> DataFrame | None:
-    """``cc, call_id, depth, anchor``: rounds that a call waits for those it
-    needs, and the latest turn among them; None if no call needs another."""
+def _depths(calls: DataFrame) -> DataFrame | None:
+    """``cc, call_id, depth, anchor``: how long a chain of calls a call waits
+    for, and the latest turn among them; None if no call needs another."""
     known = calls.select("cc", "call_id", "call_turn")
-    needs = calls.select("cc", "call_id", F.explode("needs").alias("need"))
+    needs = calls.select("cc", "call_id", "call_turn", F.explode("needs").alias("need"))
     there = known.select(F.col("cc").alias("nc"), F.col("call_id").alias("need"))
-    needs = cut(needs.join(there, F.col("cc").eqNullSafe(F.col("nc")) & (needs["need"] == there["need"])).select("cc", "call_id", needs["need"]))
+    needs = cut(needs.join(there, F.col("cc").eqNullSafe(F.col("nc")) & (needs["need"] == there["need"])).select("cc", "call_id", "call_turn", needs["need"]))
     if needs.isEmpty():
         return None
-    waiting = needs.select("cc", "call_id").distinct()
-    done = cut(known.join(waiting, known["cc"].eqNullSafe(waiting["cc"]) & (known["call_id"] == waiting["call_id"]), "left_anti").select("cc", "call_id", F.lit(0).alias("depth"), F.col("call_turn").alias("anchor")))
-    edges = needs.groupBy("cc", "call_id").agg(F.collect_set("need").alias("all"))
+    free = known.select("cc", F.col("call_id").alias("x"), F.lit(None).cast("string").alias("y"), F.lit(0).cast("long").alias("w"), F.col("call_turn").alias("a"))
+    bound = needs.select("cc", F.col("call_id").alias("x"), F.col("need").alias("y"), F.lit(1).cast("long").alias("w"), F.col("call_turn").alias("a"))
+    return _longest(free.unionByName(bound)).withColumnRenamed("x", "call_id")
+
+
+def _longest(edges: DataFrame) -> DataFrame:
+    """``cc, x, depth, anchor`` of every node that no cycle leads to: the weight
+    of the heaviest path to it and the latest turn on any path.
+
+    ``edges`` are ``cc, x, y, w, a``: ``x`` comes ``w`` after ``y``, or after the
+    start if ``y`` is null, and ``a`` is the latest turn on the way.  Each round
+    replaces an edge from a node that waits for one other at most by that node's
+    own edges, so that chains halve and rounds grow with the log of their length;
+    edges never get more than there were with one from the start for each node.
+    A round that settles no node leaves cycles and what waits for them.
+    """
     size = -1
-    for _ in range(max_rounds):
-        if (now := done.count()) == size:
+    while True:
+        edges = cut(edges.groupBy("cc", "x", "y").agg(F.max("w").alias("w"), F.max("a").alias("a")))
+        open_ = edges.groupBy("cc", "x").agg(F.count("y").alias("n"))
+        if (now := open_.where("n = 0").count()) == size:
             break
         size = now
-        got = done.select(F.col("cc").alias("dc"), F.col("call_id").alias("need"), F.col("depth").alias("d"), F.col("anchor").alias("a"))
-        met = needs.join(got, needs["cc"].eqNullSafe(F.col("dc")) & (needs["need"] == got["need"])).groupBy("cc", "call_id").agg(F.count("*").alias("n"), F.max("d").alias("d"), F.max("a").alias("a"))
-        ready = met.join(edges.select(F.col("cc").alias("ec"), F.col("call_id").alias("eid"), "all"), F.col("cc").eqNullSafe(F.col("ec")) & (F.col("call_id") == F.col("eid"))).where(F.size("all") == F.col("n"))
-        turn = known.select(F.col("cc").alias("kc"), F.col("call_id").alias("kid"), "call_turn")
-        ready = ready.join(turn, F.col("cc").eqNullSafe(F.col("kc")) & (F.col("call_id") == F.col("kid"))).select("cc", "call_id", (F.col("d") + 1).alias("depth"), F.greatest("a", "call_turn").alias("anchor"))
-        free = done.where("depth = 0")
-        done = cut(free.unionByName(ready))
-    return done
+        light = open_.where("n <= 1").select(F.col("cc").alias("oc"), F.col("x").alias("ox"))
+        light = edges.join(light, F.col("cc").eqNullSafe(F.col("oc")) & (F.col("x") == F.col("ox"))).select(F.col("cc").alias("lc"), F.col("x").alias("via"), F.col("y").alias("ly"), F.col("w").alias("lw"), F.col("a").alias("la"))
+        # weights on cycles double; no path of a table is as long as the bound
+        on = edges.join(light, F.col("cc").eqNullSafe(F.col("lc")) & (F.col("y") == F.col("via")), "left")
+        edges = on.select("cc", "x", F.when(F.col("via").isNull(), F.col("y")).otherwise(F.col("ly")).alias("y"), F.least(F.col("w") + F.coalesce("lw", F.lit(0)), F.lit(1 << 40)).alias("w"), F.greatest("a", "la").alias("a"))
+    settled = open_.where("n = 0").select(F.col("cc").alias("oc"), F.col("x").alias("ox"))
+    return edges.join(settled, F.col("cc").eqNullSafe(F.col("oc")) & (F.col("x") == F.col("ox"))).select("cc", "x", F.col("w").alias("depth"), F.col("a").alias("anchor"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
