@@ -114,6 +114,36 @@ def test_long_chains_are_no_cycles(spark):
     assert {r.kind for r in found if r.conv_id == 2} == {"cycle"}
 
 
+def test_turns_with_calls_of_several_depths(spark):
+    need = lambda *ids: {"xs": [{"$result": i} for i in ids]}
+    rows = [
+        (1, 1, "assistant", call(("x", "say", {}))),
+        (1, 2, "tool", result("x")),
+        (1, 3, "assistant", call(("a", "say", {}), ("b", "say", need("x")))),
+        (1, 4, "tool", result("a")),
+        (1, 5, "tool", result("b")),
+        # waits for a's result, so for the whole turn 3, though it comes first
+        (1, 0, "assistant", call(("c", "say", need("a")))),
+        (1, 6, "tool", result("c")),
+        # needs inside a turn put its results in order
+        (2, 0, "assistant", call(("q", "say", need("p")), ("p", "say", {}))),
+        (2, 1, "tool", result("q")),
+        (2, 2, "tool", result("p")),
+        # each turn waits for the other, though no call waits for itself
+        (3, 0, "assistant", call(("d", "say", need("f")), ("e", "say", {}))),
+        (3, 1, "assistant", call(("f", "say", need("e")))),
+        (3, 2, "tool", result("e")),
+        # nothing to wait for beside such conversations
+        (4, 0, "tool", result("g")),
+        (4, 1, "assistant", call(("g", "say", {}))),
+    ]
+    found = formatted(spark, rows)
+    assert [r.turn for r in found if r.conv_id == 1] == [1, 2, 3, 4, 5, 0, 6]
+    assert [(r.turn, r.valid) for r in found if r.conv_id == 2] == [(0, True), (2, True), (1, True)]
+    assert [(r.turn, r.kind) for r in found if r.conv_id == 3] == [(0, "cycle"), (2, "result"), (1, "cycle")]
+    assert [(r.turn, r.kind) for r in found if r.conv_id == 4] == [(1, "call"), (0, "result")]
+
+
 def test_odd_turns(spark):
     rows = [(1, 0, None, None), (1, 1, "tool", "{broken"), (1, 2, "assistant", "{}"), (1, 3, "tool", "[1]"), (None, 0, "user", "é\n\"x\""), (None, 0, "user", "é\n\"x\""), (3, 0, "assistant", call(("d", "say", {}))), (3, 1, "assistant", call(("d", "say", {}))), (4, None, "user", "no turn"), (5, 0, "assistant", '{"tool_calls": [1, null]}')]
     found = formatted(spark, [r for r in rows if r[1] is not None])

@@ -9,8 +9,9 @@ topological order of the conversation:
 
 * a result is linked to its call by a hash join on conversation and call id
   and placed after the call's turn, whatever its own turn;
-* a call whose arguments name another call's result, as
-  ``{"$result": "<call id>"}``, is placed after it.
+* a turn with calls whose arguments name other calls' results, as
+  ``{"$result": "<call id>"}``, is placed after all of them; results that calls
+  of one turn need of each other are put in order after the turn.
 
 The place is a key, ``(anchor, depth, slot, turn)``, computed per turn: no
 conversation is gathered in a task, however long it is.
@@ -18,8 +19,8 @@ conversation is gathered in a task, however long it is.
 Defined results: null role or text is a JSON null; an unparsable tool turn is a
 plain turn; of several calls with one id in a conversation the first is linked
 and the others are ``duplicate_call``; a result without call is
-``orphan_result`` and keeps its own turn; calls that wait for each other are
-``cycle`` and keep theirs; null conversation ids form one conversation;
+``orphan_result`` and keeps its own turn; turns whose calls wait for each other,
+or for such calls, are ``cycle`` and keep theirs, with their results after them; null conversation ids form one conversation;
 repeated rows stay; empty tables give an empty result; other columns are never
 read.
 """
@@ -139,26 +140,35 @@ def format_chats(turns: DataFrame, schemas: Mapping[str, Mapping] | None = None)
     key = F.col("conv_id").eqNullSafe(F.col("cc"))
     first = called.groupBy("conv_id", "call_id").agg(F.min(F.struct("turn", "slot", "needs")).alias("f"), F.count("*").alias("times"))
     calls = cut(first.select(F.col("conv_id").alias("cc"), "call_id", F.col("f.turn").alias("call_turn"), F.col("f.slot").alias("call_slot"), F.col("f.needs").alias("needs"), "times"))
-    depths = _depths(calls)
-    # a turn's depth is that of its deepest call
-    own = calls.join(depths, ["cc", "call_id"], "left") if depths is not None else calls.withColumn("depth", F.lit(0)).withColumn("anchor", F.col("call_turn"))
-    per_turn = own.groupBy("cc", "call_turn").agg(F.max("depth").alias("call_depth"), F.max("anchor").alias("call_anchor"), F.max(F.col("depth").isNull()).alias("in_cycle"), F.max(F.col("times") > 1).alias("again"))
+    places = _places(calls)
+    if places is None:
+        own = calls.withColumns({"depth": F.lit(1), "anchor": F.col("call_turn"), "turn_depth": F.lit(0), "turn_anchor": F.col("call_turn")})
+    else:
+        own = calls
+        for node, depth, anchor in ((_turn_node(), "turn_depth", "turn_anchor"), (_call_node(), "depth", "anchor")):
+            at = places.select(F.col("cc").alias("pc"), F.col("x").alias("px"), F.col("depth").alias(depth), F.col("anchor").alias(anchor))
+            own = own.join(at, F.col("cc").eqNullSafe(F.col("pc")) & (node == F.col("px")), "left").drop("pc", "px")
+    # a turn with a call in a cycle keeps its place, and so do all its results
+    per_turn = own.groupBy("cc", "call_turn").agg(F.max("turn_depth").alias("call_depth"), F.max("turn_anchor").alias("call_anchor"), F.max(F.col("depth").isNull()).alias("in_cycle"))
+    stuck = per_turn.where("in_cycle").select(F.col("cc").alias("sc"), F.col("call_turn").alias("st"))
+    placed = own.join(stuck, F.col("cc").eqNullSafe(F.col("sc")) & F.col("call_turn").eqNullSafe(F.col("st")), "left").withColumn("kept", F.col("st").isNotNull()) if places is not None else own.withColumn("kept", F.lit(False))
+    placed = placed.select("cc", "call_id", "call_turn", "call_slot", F.when(F.col("kept"), F.col("call_turn")).otherwise(F.col("anchor")).alias("call_anchor"), F.when(F.col("kept"), 1).otherwise(F.col("depth")).alias("result_depth"))
     plain = parsed.where("kind = 'plain'").select("conv_id", "turn", F.col("turn").alias("anchor"), F.lit(0).alias("depth"), F.lit(0).alias("slot"), "kind", "errors", "message")
     made = parsed.where("kind = 'call'").join(per_turn, key & (F.col("turn") == F.col("call_turn")), "left").select(
         "conv_id",
         "turn",
         F.when(F.coalesce("in_cycle", F.lit(False)), F.col("turn")).otherwise(F.coalesce("call_anchor", "turn")).alias("anchor"),
-        F.when(F.coalesce("in_cycle", F.lit(False)), 0).otherwise(2 * F.coalesce("call_depth", F.lit(0))).cast("int").alias("depth"),
+        F.when(F.coalesce("in_cycle", F.lit(False)), 0).otherwise(F.coalesce("call_depth", F.lit(0))).cast("int").alias("depth"),
         F.lit(0).alias("slot"),
         F.when(F.coalesce("in_cycle", F.lit(False)), "cycle").when(F.col("call_turn").isNull() & (F.size("calls") > 0), "duplicate_call").otherwise(F.lit("call")).alias("kind"),
         "errors",
         "message",
     )
-    linked = parsed.where("kind = 'result'").join(own, key & (F.col("result_of") == F.col("call_id")), "left").select(
+    linked = parsed.where("kind = 'result'").join(placed, key & (F.col("result_of") == F.col("call_id")), "left").select(
         "conv_id",
         "turn",
-        F.coalesce("anchor", "call_turn", "turn").alias("anchor"),
-        F.when(F.col("call_id").isNull(), 0).otherwise(2 * F.coalesce("depth", F.lit(0)) + 1).cast("int").alias("depth"),
+        F.coalesce("call_anchor", "turn").alias("anchor"),
+        F.when(F.col("call_id").isNull(), 0).otherwise(F.col("result_depth")).cast("int").alias("depth"),
         F.coalesce("call_slot", F.lit(0)).alias("slot"),
         F.when(F.col("call_id").isNull(), "orphan_result").otherwise(F.lit("result")).alias("kind"),
         "errors",
@@ -169,18 +179,36 @@ def format_chats(turns: DataFrame, schemas: Mapping[str, Mapping] | None = None)
     return every.select("conv_id", "turn", "anchor", "depth", F.col("slot").cast("int").alias("slot"), "kind", valid.alias("valid"), "errors", "message")
 
 
-def _depths(calls: DataFrame) -> DataFrame | None:
-    """``cc, call_id, depth, anchor``: how long a chain of calls a call waits
-    for, and the latest turn among them; None if no call needs another."""
-    known = calls.select("cc", "call_id", "call_turn")
+def _turn_node():
+    return F.concat(F.lit("t"), F.coalesce(F.col("call_turn").cast("string"), F.lit("")))
+
+
+def _call_node():
+    return F.concat(F.lit("c"), F.col("call_id"))
+
+
+def _places(calls: DataFrame) -> DataFrame | None:
+    """``cc, x, depth, anchor`` of turns with calls and of the calls' results;
+    None if no call needs another.  A result
+    comes after its call's turn; a turn after the results that any of its calls
+    needs; the result of a call that needs one of its own turn after that."""
+    there = calls.select(F.col("cc").alias("nc"), F.col("call_id").alias("need"), F.col("call_turn").alias("need_turn"))
     needs = calls.select("cc", "call_id", "call_turn", F.explode("needs").alias("need"))
-    there = known.select(F.col("cc").alias("nc"), F.col("call_id").alias("need"))
-    needs = cut(needs.join(there, F.col("cc").eqNullSafe(F.col("nc")) & (needs["need"] == there["need"])).select("cc", "call_id", "call_turn", needs["need"]))
+    needs = cut(needs.join(there, F.col("cc").eqNullSafe(F.col("nc")) & (needs["need"] == there["need"])).select("cc", "call_id", "call_turn", needs["need"], "need_turn"))
     if needs.isEmpty():
         return None
-    free = known.select("cc", F.col("call_id").alias("x"), F.lit(None).cast("string").alias("y"), F.lit(0).cast("long").alias("w"), F.col("call_turn").alias("a"))
-    bound = needs.select("cc", F.col("call_id").alias("x"), F.col("need").alias("y"), F.lit(1).cast("long").alias("w"), F.col("call_turn").alias("a"))
-    return _longest(free.unionByName(bound)).withColumnRenamed("x", "call_id")
+    some = needs.select(F.col("cc").alias("nc")).distinct()
+    live = calls.join(some, F.col("cc").eqNullSafe(F.col("nc")), "left_semi")
+    edge = lambda x, y, w: ("cc", x.alias("x"), y.alias("y"), F.lit(w).cast("long").alias("w"), F.col("call_turn").alias("a"))
+    inside = F.col("need_turn").eqNullSafe(F.col("call_turn"))
+    turns = live.select(*edge(_turn_node(), F.lit(None).cast("string"), 0))
+    results = live.select(*edge(_call_node(), _turn_node(), 1))
+    waits = needs.select(*edge(F.when(inside, _call_node()).otherwise(_turn_node()), F.concat(F.lit("c"), F.col("need")), 1))
+    found = _longest(turns.unionByName(results).unionByName(waits))
+    # conversations without needs take no part in the rounds
+    rest = calls.join(some, F.col("cc").eqNullSafe(F.col("nc")), "left_anti")
+    place = lambda x, depth: rest.select("cc", x.alias("x"), F.lit(depth).cast("long").alias("depth"), F.col("call_turn").alias("anchor"))
+    return found.unionByName(place(_turn_node(), 0).distinct()).unionByName(place(_call_node(), 1))
 
 
 def _longest(edges: DataFrame) -> DataFrame:
