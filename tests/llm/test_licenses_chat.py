@@ -39,6 +39,30 @@ def test_scan_equals_brute_force(make_docs, odd):
     assert licenses.scan(make_docs([])).count() == 0
 
 
+def test_embedded_notices(make_docs):
+    mit = licenses.TEMPLATES["MIT-permission"]
+    block = "\n".join(["/*", " * Some program.", " *", *(f" * {mit[i : i + 70]}" for i in (0, 70)), " *", " */", "int main() { return 0; }"])
+    prose = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen."
+    header = "# A tool that does things, by its authors.\n# " + licenses.TEMPLATES["GPL-header"].replace("redistribute", "redistribute\n#").replace("Foundation,", "Foundation,\n#") + "\n#\n# More."
+    words = mit.split()
+    whole = "\n".join(["/*", " * Some program.", " *", *(" * " + " ".join(words[i : i + 9]) for i in range(0, len(words), 9)), " *", " * " + "more words follow here " * 40, " */"])
+    rows = [
+        (1, "Copyright (c) 2019 Example Corporation. All rights reserved."),
+        (2, "See the documentation for details. Released under the MIT License."),
+        (3, f"{prose} {licenses.TEMPLATES['CC-BY-4.0']} {prose}"),
+        (4, whole),
+        (5, header),
+        (6, block),  # not enough of the notice
+        (7, f"{prose}\nThis project is licensed under the MIT License.\n{prose}"),
+        (8, f"{prose} The rights of the license holder are reserved by the following persons."),
+        (9, f"{prose} " * 2000 + "All rights reserved. " + prose),
+    ]
+    found = {r.doc_id: r for r in licenses.best_license(licenses.scan(make_docs(rows))).collect()}
+    assert [found[i].license for i in range(1, 10)] == ["all-rights-reserved", "MIT", "CC-BY-4.0", "MIT-permission", "GPL-header", None, "MIT-line", None, "all-rights-reserved"]
+    assert [found[i].dice for i in (1, 2, 3, 4, 5, 7)] == [1.0] * 6
+    assert found[7].n_licenses == 1  # a line that is a notice is no other
+
+
 def test_native_plan(make_docs):
     plan = licenses.scan(make_docs([(1, "a")]))._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Arrow", "Exchange", "Join"))

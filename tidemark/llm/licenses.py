@@ -9,6 +9,13 @@ any ``m - ceil(t m / (2 - t)) + 1`` bigrams of the template, and the longer
 word of it.  Units without such a word are dropped before bigrams are made,
 templates of other sizes before bigrams are compared.  Nothing is lost.
 
+Notices inside longer lines or blocks are found in windows over the words of
+the whole text, line ends and comment marks being gaps like any other; lines
+that are a template word for word are left out, so that no part of one counts
+as another notice.  A window has at most ``m (2 - t) / t`` bigrams and begins
+and ends with one of the template's: trimming others only raises the
+coefficient.  The same bounds drop texts, templates and starts of windows.
+
 All of it happens inside a row: no join, no shuffle, nothing that a common
 licence line could skew.  Templates are a parameter, held in the plan.
 
@@ -72,8 +79,9 @@ def gate_words(bigrams: list[str], threshold: float) -> set[str]:
 
 
 def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, threshold: float = THRESHOLD, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, matches`` of every row: each unit's coefficient with each
-    template that it reaches ``threshold`` with, as ``license, dice, unit``."""
+    """``doc_id, matches, embedded`` of every row: each unit's coefficient with
+    each template that it reaches ``threshold`` with, as ``license, dice, unit``,
+    and of the best window of each template, as ``license, dice, bigrams``."""
     sets = {k: b for k, v in sorted(templates.items()) if (b := template_bigrams(v))}
     low, high = lambda m: math.ceil(threshold * m / (2 - threshold) - 1e-9), lambda m: math.floor(m * (2 - threshold) / threshold + 1e-9)
     strings = lambda xs: F.array(*[F.lit(x) for x in xs])
@@ -85,21 +93,47 @@ def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, threshold: f
     body = F.coalesce(F.col("text"), F.lit(""))
     lines = F.split(body, "\n")
     paragraphs = F.filter(F.split(body, "\n[ \\t\\r]*\n"), lambda p: F.instr(p, "\n") > 0)
-    words: Column = F.transform(F.concat(lines, paragraphs), lambda u: F.split(F.trim(F.regexp_replace(F.lower(u), GAP, " ")), " "))
-    likely = F.filter(words, lambda w: (F.size(w) >= fewest) & F.arrays_overlap(w, gates))
-    bigrams = F.transform(likely, lambda w: F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(w) - 2), lambda i: F.concat_ws(" ", F.get(w, i), F.get(w, i + 1)))))
+    plain = lambda u: F.trim(F.regexp_replace(F.lower(u), GAP, " "))
+    words: Column = F.transform(F.concat(lines, paragraphs), lambda u: F.split(plain(u), " "))
+    likely = F.filter("gated", lambda w: F.size(w) >= fewest)
+    pairs = lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - 2), lambda i: F.concat_ws(" ", F.get(w, i), F.get(w, i + 1)))
+    bigrams = F.transform(likely, lambda w: F.array_distinct(pairs(w)))
 
     def against(unit: Column, at: Column) -> Column:
         sized = F.filter(known, lambda t: F.size(unit).between(t["low"], t["high"]))
         scored = F.transform(sized, lambda t: F.struct(t["license"].alias("license"), (2 * F.size(F.array_intersect(unit, t["bigrams"])) / (F.size(unit) + F.size(t["bigrams"]))).alias("dice"), at.alias("unit")))
         return F.filter(scored, lambda x: x["dice"] >= threshold)
 
+    whole = strings(sorted({re.sub(GAP, " ", v.lower()).strip() for v in templates.values()}))
+    rest = F.split(F.concat_ws(" ", F.filter(F.transform(lines, plain), lambda u: (u != "") & ~F.array_contains(whole, u))), " ")
+    every = strings(sorted(set().union(*sets.values())))
+    run = F.col("run")
+
+    def windows(t: Column) -> Column:
+        """The best window of a template, or null."""
+        ours = F.filter(F.sequence(F.lit(0), F.size(run) - 1), lambda i: F.array_contains(t["bigrams"], F.get(run, i)))
+        # arrays of one, here and below, so that their element is computed once
+        reach = F.flatten(F.transform(F.array(ours), lambda p: F.transform(p, lambda s, k: F.struct(s.alias("start"), F.filter(F.slice(p, k + 1, t["high"]), lambda e: e - s < t["high"]).alias("ends")))))
+        enough = F.filter(reach, lambda x: F.size(F.array_distinct(F.transform(x["ends"], lambda e: F.get(run, e)))) >= t["low"])
+        cut_ = lambda s, n: F.slice(run, s + 1, n)
+        dice = lambda w: 2 * F.size(F.array_intersect(w, t["bigrams"])) / (F.size(F.array_distinct(w)) + F.size(t["bigrams"]))
+        scored = F.transform(enough, lambda x: F.array_max(F.transform(F.filter(x["ends"], lambda e: e - x["start"] + 1 >= t["low"]), lambda e: F.struct(dice(cut_(x["start"], e - x["start"] + 1)).alias("dice"), (-x["start"]).alias("at"), (e - x["start"] + 1).alias("n")))))
+        best = F.array_max(scored)
+        return F.transform(F.filter(F.array(best), lambda b: b["dice"] >= threshold), lambda b: F.struct(t["license"].alias("license"), b["dice"].alias("dice"), cut_(-b["at"], b["n"]).alias("bigrams")))
+
     rows = columns(docs, doc_id, text).toDF("doc_id", "text")
-    return rows.select("doc_id", bigrams.alias("units")).select("doc_id", F.flatten(F.transform("units", against)).alias("matches"))
+    rows = rows.select("doc_id", "text", F.filter(words, lambda w: F.arrays_overlap(w, gates)).alias("gated"))
+    rows = rows.select("doc_id", bigrams.alias("units"), F.when(F.size("gated") > 0, rest).alias("rest"))
+    rows = rows.select("doc_id", F.flatten(F.transform("units", against)).alias("matches"), F.when((F.size("rest") >= fewest) & F.arrays_overlap("rest", gates), pairs(F.col("rest"))).alias("run"))
+    rows = rows.select("doc_id", "matches", "run", F.array_intersect("run", every).alias("hits"))
+    rows = rows.select("doc_id", "matches", "run", F.when(F.size("hits") >= fewest - 1, F.filter(known, lambda t: F.size(F.array_intersect("hits", t["bigrams"])) >= t["low"])).alias("sought"))
+    none = F.array().cast("array<struct<license:string,dice:double,bigrams:array<string>>>")
+    return rows.select("doc_id", "matches", F.coalesce(F.flatten(F.transform("sought", windows)), none).alias("embedded"))
 
 
 def best_license(found: DataFrame) -> DataFrame:
     """``doc_id, license, dice, n_licenses``: the best match of each row."""
+    found = found.select("doc_id", F.expr("concat(transform(matches, x -> struct(x.license, x.dice)), transform(embedded, x -> struct(x.license, x.dice)))").alias("matches"))
     best = F.expr("array_max(transform(matches, x -> x.dice))")
     name = F.expr("array_min(transform(filter(matches, x -> x.dice = best), x -> x.license))")
     return found.withColumn("best", best).select("doc_id", name.alias("license"), F.col("best").alias("dice"), F.size(F.array_distinct(F.col("matches.license"))).cast("long").alias("n_licenses"))
