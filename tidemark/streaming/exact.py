@@ -8,8 +8,9 @@ the content of every id seen, without expiry, since the horizon of duplicates
 is unlimited.
 
 The first arrival of a view id wins, as for clicks; a later one with other
-content is a dead letter.  A click id that reappears in another partition
-belongs to another user and is caught by the sink (see ``sink``).
+content is a dead letter.  Ids are known per partition: a click or view id that
+reappears in another partition is not detected, neither here nor by the sink,
+whereas the batch ledger (``dedup.classify``) compares ids over all partitions.
 """
 
 from __future__ import annotations
