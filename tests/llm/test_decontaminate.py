@@ -86,6 +86,17 @@ def test_long_text_in_chunks(monkeypatch):
     assert d.word_ids(text, known).tolist() == [1, 2, 3, 0] * 50
 
 
+def test_items_of_several_blocks_count_once(spark, make_docs, monkeypatch):
+    benchmark = spark.createDataFrame([(1, "one two"), (None, "three four"), (1, "five six"), (None, "seven eight"), (2, "nine ten")], "item_id long, text string").coalesce(1)
+    docs = make_docs([(1, "one two three four five six seven eight"), (2, "five six nine ten"), (3, "none")])
+    whole, blocks = [], []
+    for size, out in ((500_000, whole), (8, blocks)):
+        monkeypatch.setattr(d, "BLOCK_ITEMS_WORDS", size)
+        out += sorted(tuple(r) for r in d.contamination(d.removal_spans(docs, benchmark)).collect())
+    assert whole == blocks
+    assert [r[3] for r in blocks] == [2, 2, 0]
+
+
 def test_empty(spark, make_docs):
     none = spark.createDataFrame([], "item_id long, text string")
     assert d.removal_spans(make_docs([]), none).count() == 0

@@ -171,12 +171,14 @@ def removal_spans(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     every = passes[0]
     for one in passes[1:]:
         every = every.unionByName(one)
-    merged = every.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("all"), F.flatten(F.collect_list("items")).alias("items"), F.sum("n_items").cast("long").alias("n_items"))
+    merged = every.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("all"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.max(F.col("n_items") > F.size("items")).alias("unnamed"))
     joined = F.expr("""aggregate(all, cast(array() as array<struct<start:bigint,end:bigint>>), (a, x) ->
         case when size(a) > 0 and element_at(a, -1).end >= x.start
         then concat(slice(a, 1, size(a) - 1), array(named_struct('start', element_at(a, -1).start, 'end', greatest(element_at(a, -1).end, x.end))))
         else concat(a, array(x)) end)""")
-    return merged.select("doc_id", "n_words", joined.alias("spans"), "items", "n_items")
+    # a name found in several blocks counts once, as do all items without one
+    n_items = F.size("items").cast("long") + F.col("unnamed").cast("long")
+    return merged.select("doc_id", "n_words", joined.alias("spans"), "items", n_items.alias("n_items"))
 
 
 def _search(rows: DataFrame, items: list, window: int, head: str) -> DataFrame:
