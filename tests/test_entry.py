@@ -25,3 +25,12 @@ def test_against_sql(spark, name):
     assert sorted(found.columns) == sorted(expected.columns)
     rows = lambda d: sorted(tuple("" if pd.isna(v) else str(v).removesuffix(".0") for v in r) for r in d[sorted(d.columns)].astype(object).values.tolist())
     assert rows(found) == rows(expected)
+
+
+def test_all_attributions_are_looked_up(spark, monkeypatch):
+    from tidemark.plans import queries
+
+    seen = {}
+    monkeypatch.setattr(queries.tables, "conflicts", lambda new, stored, key, content: seen.update(new=new) or new)
+    queries.output_conflicts(spark, SF)
+    assert seen["new"].where("page_view_id % 3 <> 0").count() > 0

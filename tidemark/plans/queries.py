@@ -200,7 +200,7 @@ def insert_if_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def output_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    changed = _stored(spark, sf_dir).withColumn("url", F.when(F.col("page_view_id") % 9 == 0, F.concat("url", F.lit("/y"))).otherwise(F.col("url")))
+    changed = attribution_asof_24h(spark, sf_dir).withColumn("url", F.when(F.col("page_view_id") % 9 == 0, F.concat("url", F.lit("/y"))).otherwise(F.col("url")))
     return tables.conflicts(changed, _stored(spark, sf_dir), ["page_view_id"], attribution_columns())
 
 
