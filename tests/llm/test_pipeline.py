@@ -85,7 +85,7 @@ def test_empty_tables(spark, tables, tmp_path):
 def test_queries_against_sql(spark, name):
     found = registry.queries()[name](spark, SF).toPandas()
     with duckdb.connect() as c:
-        for t in ("documents", "benchmark"):
+        for t in ("documents", "benchmark", "conversations"):
             c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
         expected = c.execute(registry.oracle_sql()[name]).df()
     assert sorted(found.columns) == sorted(expected.columns)

@@ -16,18 +16,23 @@ topological order of the conversation:
 The place is a key, ``(anchor, depth, slot, turn)``, computed per turn: no
 conversation is gathered in a task, however long it is.
 
-Defined results: null role or text is a JSON null; an unparsable tool turn is a
-plain turn; of several calls with one id in a conversation the first is linked
-and the others are ``duplicate_call``; a result without call is
-``orphan_result`` and keeps its own turn; turns whose calls wait for each other,
-or for such calls, are ``cycle`` and keep theirs, with their results after them; null conversation ids form one conversation;
-repeated rows stay; empty tables give an empty result; other columns are never
-read.
+Defined results: null role or text is a JSON null; a text that isn't JSON is a
+plain turn, and ``malformed`` if it names calls or a result but is no strict JSON
+(NaN, numbers that overflow, half surrogate pairs, nesting beyond what the JSON
+library follows); whole numbers of any size are integers; of several calls with
+one id in a conversation the first is linked and the others are
+``duplicate_call``; a result without call is ``orphan_result`` and keeps its own
+turn; turns whose calls wait for each other, or for such calls, are ``cycle`` and
+keep theirs, with their results after them; null conversation ids form one
+conversation and null turns of a conversation are one place, before all others;
+very long texts are parsed whole; repeated rows stay; empty tables give an empty
+result; other columns are never read.
 """
 
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
@@ -40,18 +45,27 @@ def canonical(value: object) -> str:
     return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
 
 
-_KINDS = {"string": str, "boolean": bool, "object": dict, "array": list, "null": type(None)}
+def _kinds(value: object) -> set[str]:
+    """The JSON schema types that a value has."""
+    if isinstance(value, bool):
+        return {"boolean"}
+    if isinstance(value, (int, float)):
+        whole = isinstance(value, int) or value.is_integer()
+        return {"number", "integer"} if whole else {"number"}
+    return {"string"} if isinstance(value, str) else {"object"} if isinstance(value, dict) else {"array"} if isinstance(value, list) else {"null"}
 
 
 def problems(value: object, schema: Mapping, at: str = "$") -> list[str]:
     """What ``value`` violates of a JSON schema's ``type``, ``enum``,
-    ``properties``, ``required``, ``additionalProperties`` and ``items``."""
-    kind = schema.get("type")
-    number = isinstance(value, (int, float)) and not isinstance(value, bool)
-    fits = {"number": number, "integer": number and float(value).is_integer()}.get(kind, isinstance(value, _KINDS.get(kind, object))) if kind else True
-    if not fits:
-        return [f"{at}: not of type {kind}"]
-    out = [] if "enum" not in schema or value in schema["enum"] else [f"{at}: not in enum"]
+    ``minLength``, ``properties``, ``required``, ``additionalProperties`` and
+    ``items``.  It goes no deeper than the schema does."""
+    wanted = schema.get("type")
+    wanted = [wanted] if isinstance(wanted, str) else wanted
+    if wanted and not _kinds(value) & set(wanted):
+        return [f"{at}: not of type {' or '.join(wanted)}"]
+    out = [] if "enum" not in schema or canonical(value) in map(canonical, schema["enum"]) else [f"{at}: not in enum"]
+    if isinstance(value, str) and len(value) < schema.get("minLength", 0):
+        out.append(f"{at}: shorter than {schema['minLength']}")
     if isinstance(value, dict):
         known = schema.get("properties", {})
         out += [f"{at}.{k}: missing" for k in schema.get("required", []) if k not in value]
@@ -62,7 +76,7 @@ def problems(value: object, schema: Mapping, at: str = "$") -> list[str]:
             elif schema.get("additionalProperties", True) is False:
                 out.append(f"{at}.{k}: not expected")
     if isinstance(value, list) and "items" in schema:
-        out += [p for i, v in enumerate(value) for p in problems(v, schema["items"], f"{at}[{i}]")]
+        out += [p for i, v in enumerate(value) if _reference(v) is None for p in problems(v, schema["items"], f"{at}[{i}]")]
     return out
 
 
@@ -74,45 +88,84 @@ def _reference(value: object) -> str | None:
 
 
 def _references(value: object) -> set[str]:
-    if (own := _reference(value)) is not None:
-        return {own}
-    inner = value.values() if isinstance(value, dict) else value if isinstance(value, list) else ()
-    return {r for v in inner for r in _references(v)}
+    """All call ids that a value names, however deep."""
+    out, todo = set(), [value]
+    while todo:
+        x = todo.pop()
+        if (own := _reference(x)) is not None:
+            out.add(own)
+        else:
+            todo += x.values() if isinstance(x, dict) else x if isinstance(x, list) else ()
+    return out
+
+
+def _refuse(what: str):
+    raise ValueError(f"{what} is no JSON")
+
+
+def _finite(digits: str) -> float:
+    return x if math.isfinite(x := float(digits)) else _refuse("a number out of range")
+
+
+def strict_json(text: str) -> object:
+    """The value of a JSON text.  ValueError for whatever the format or UTF-8
+    can't hold again (NaN, numbers that overflow, halves of surrogate pairs) and
+    for texts nested deeper than the JSON library follows."""
+    try:
+        value = json.loads(text, parse_constant=_refuse, parse_float=_finite)
+        if "\\ud" in text.lower():
+            canonical(value).encode()
+    except RecursionError:
+        _refuse("so deep a nesting")
+    return value
 
 
 def _object(text: str | None) -> dict | None:
     if not text or not text.lstrip().startswith("{"):
         return None
     try:
-        found = json.loads(text)
-    except (ValueError, RecursionError):
+        found = strict_json(text)
+    except ValueError:
         return None
     return found if isinstance(found, dict) else None
 
 
 def parse_turn(role: str | None, text: str | None, schemas: Mapping[str, Mapping]) -> tuple[str, str, str | None, list, list[str]]:
     """``kind, message, result_of, calls, errors`` of one turn."""
-    found = _object(text) if role in ("assistant", "tool") else None
-    if found is not None and role == "tool" and isinstance(found.get("tool_call_id"), str):
-        return "result", canonical({"role": role, **found}), found["tool_call_id"], [], []
-    if found is not None and role == "assistant" and isinstance(found.get("tool_calls"), list):
-        calls, errors, seen = [], [], []
-        for call in found["tool_calls"]:
-            call = call if isinstance(call, dict) else {}
-            name, id_, args = call.get("name"), call.get("id"), call.get("arguments", {})
-            if isinstance(args, str):
-                args = _object(args) if _object(args) is not None else args
-            own = ["no id"] if not isinstance(id_, str) else []
-            if name not in schemas:
-                own += [f"unknown tool {name}"] if schemas else []
-            else:
-                own += problems(args, {"type": "object", **schemas[name]})
-            errors += [f"{id_}: {e}" for e in own]
-            seen.append({**call, "arguments": args})
-            if isinstance(id_, str):
-                calls.append({"id": id_, "needs": sorted(_references(args) - {id_})})
-        return "call", canonical({"role": role, **found, "tool_calls": seen}), None, calls, errors
-    return "plain", canonical({"role": role, "content": text}), None, [], []
+    plain = canonical({"role": role, "content": text})
+    if role not in ("assistant", "tool") or not text or not text.lstrip().startswith("{"):
+        return "plain", plain, None, [], []
+    try:
+        found = strict_json(text)
+        if role == "tool" and isinstance(found.get("tool_call_id"), str):
+            return "result", canonical({"role": role, **found}), found["tool_call_id"], [], []
+        if role == "assistant" and isinstance(found.get("tool_calls"), list):
+            return _calls(found, schemas)
+    except (ValueError, RecursionError) as e:
+        if '"tool_calls"' in text or '"tool_call_id"' in text:
+            return "malformed", plain, None, [], [str(e)]
+    return "plain", plain, None, [], []
+
+
+def _calls(found: dict, schemas: Mapping[str, Mapping]) -> tuple[str, str, None, list, list[str]]:
+    calls, errors, seen = [], [], []
+    for call in found["tool_calls"]:
+        call = call if isinstance(call, dict) else {}
+        name, id_, args = call.get("name"), call.get("id"), call.get("arguments", {})
+        if isinstance(args, str) and (read := _object(args)) is not None:
+            args = read
+        own = ["no id"] if not isinstance(id_, str) else []
+        if not isinstance(name, str):
+            own.append("no name")
+        elif name in schemas:
+            own += problems(args, {"type": "object", **schemas[name]})
+        elif schemas:
+            own.append(f"unknown tool {name}")
+        errors += [f"{id_ if isinstance(id_, str) else canonical(id_)}: {e}" for e in own]
+        seen.append({**call, "arguments": args})
+        if isinstance(id_, str):
+            calls.append({"id": id_, "needs": sorted(_references(args) - {id_})})
+    return "call", canonical({"role": "assistant", **found, "tool_calls": seen}), None, calls, errors
 
 
 def format_chats(turns: DataFrame, schemas: Mapping[str, Mapping] | None = None) -> DataFrame:
@@ -150,17 +203,17 @@ def format_chats(turns: DataFrame, schemas: Mapping[str, Mapping] | None = None)
             own = own.join(at, F.col("cc").eqNullSafe(F.col("pc")) & (node == F.col("px")), "left").drop("pc", "px")
     # a turn with a call in a cycle keeps its place, and so do all its results
     per_turn = own.groupBy("cc", "call_turn").agg(F.max("turn_depth").alias("call_depth"), F.max("turn_anchor").alias("call_anchor"), F.max(F.col("depth").isNull()).alias("in_cycle"))
-    stuck = per_turn.where("in_cycle").select(F.col("cc").alias("sc"), F.col("call_turn").alias("st"))
-    placed = own.join(stuck, F.col("cc").eqNullSafe(F.col("sc")) & F.col("call_turn").eqNullSafe(F.col("st")), "left").withColumn("kept", F.col("st").isNotNull()) if places is not None else own.withColumn("kept", F.lit(False))
+    stuck = per_turn.where("in_cycle").select(F.col("cc").alias("sc"), F.col("call_turn").alias("st"), F.col("in_cycle").alias("kept"))
+    placed = own.join(stuck, F.col("cc").eqNullSafe(F.col("sc")) & F.col("call_turn").eqNullSafe(F.col("st")), "left").withColumn("kept", F.coalesce("kept", F.lit(False))) if places is not None else own.withColumn("kept", F.lit(False))
     placed = placed.select("cc", "call_id", "call_turn", "call_slot", F.when(F.col("kept"), F.col("call_turn")).otherwise(F.col("anchor")).alias("call_anchor"), F.when(F.col("kept"), 1).otherwise(F.col("depth")).alias("result_depth"))
-    plain = parsed.where("kind = 'plain'").select("conv_id", "turn", F.col("turn").alias("anchor"), F.lit(0).alias("depth"), F.lit(0).alias("slot"), "kind", "errors", "message")
-    made = parsed.where("kind = 'call'").join(per_turn, key & (F.col("turn") == F.col("call_turn")), "left").select(
+    plain = parsed.where("kind IN ('plain', 'malformed')").select("conv_id", "turn", F.col("turn").alias("anchor"), F.lit(0).alias("depth"), F.lit(0).alias("slot"), "kind", "errors", "message")
+    made = parsed.where("kind = 'call'").join(per_turn, key & F.col("turn").eqNullSafe(F.col("call_turn")), "left").select(
         "conv_id",
         "turn",
         F.when(F.coalesce("in_cycle", F.lit(False)), F.col("turn")).otherwise(F.coalesce("call_anchor", "turn")).alias("anchor"),
         F.when(F.coalesce("in_cycle", F.lit(False)), 0).otherwise(F.coalesce("call_depth", F.lit(0))).cast("int").alias("depth"),
         F.lit(0).alias("slot"),
-        F.when(F.coalesce("in_cycle", F.lit(False)), "cycle").when(F.col("call_turn").isNull() & (F.size("calls") > 0), "duplicate_call").otherwise(F.lit("call")).alias("kind"),
+        F.when(F.coalesce("in_cycle", F.lit(False)), "cycle").when(F.col("in_cycle").isNull() & (F.size("calls") > 0), "duplicate_call").otherwise(F.lit("call")).alias("kind"),
         "errors",
         "message",
     )
@@ -238,6 +291,50 @@ def _longest(edges: DataFrame) -> DataFrame:
     return edges.join(settled, F.col("cc").eqNullSafe(F.col("oc")) & (F.col("x") == F.col("ox"))).select("cc", "x", F.col("w").alias("depth"), F.col("a").alias("anchor"))
 
 
+#: The tool of ``as_tool_calls``, and the schema of its arguments.
+ANSWER = {"answer": {"properties": {"question": {"type": "string", "minLength": 1}, "after": {"type": "object"}}, "required": ["question"], "additionalProperties": False}}
+
+
+def as_tool_calls(turns: DataFrame) -> DataFrame:
+    """Plain conversations as calls of one tool, row for row: what a user says
+    is a call of ``answer`` that needs the result of the call two turns before,
+    what the assistant says is the result of the call one turn before."""
+    turn = F.col("turn").cast("string")
+    id_ = lambda back: F.concat(F.lit("u"), (F.col("turn") - back).cast("string"))
+    after = F.when(F.col("turn") >= 2, F.struct(id_(2).alias("$result")))
+    call = F.struct(F.concat(F.lit("u"), turn).alias("id"), F.lit("answer").alias("name"), F.struct(F.col("text").alias("question"), after.alias("after")).alias("arguments"))
+    made = F.to_json(F.struct(F.array(call).alias("tool_calls")))
+    given = F.to_json(F.struct(id_(1).alias("tool_call_id"), F.col("text").alias("content")))
+    user, assistant = F.col("role") == "user", F.col("role") == "assistant"
+    role = F.when(user, "assistant").when(assistant, "tool").otherwise(F.col("role"))
+    return columns(turns, "conv_id", "turn", "role", "text").select("conv_id", "turn", role.alias("role"), F.when(user, made).when(assistant, given).otherwise(F.col("text")).alias("text"))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = format_chats(table(spark, sf_dir, "conversations"))
-    return found.select("conv_id", "turn", "anchor", "depth", "slot", "kind", "valid", "message")
+    """The given conversations hold no tool calls, so their turns enter as calls
+    and results (``as_tool_calls``): each is linked, ordered and validated."""
+    found = format_chats(as_tool_calls(table(spark, sf_dir, "conversations")), ANSWER)
+    return found.select("conv_id", "turn", "anchor", "depth", "slot", "kind", "valid", F.size("errors").cast("long").alias("n_errors"), "message")
+
+
+ORACLE_SQL = r"""
+WITH u AS (  -- runs of user turns two apart: each needs the one before
+  SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id, run ORDER BY turn) - 1 AS j
+  FROM (SELECT conv_id, turn, turn - 2 * row_number() OVER (PARTITION BY conv_id, turn % 2 ORDER BY turn) AS run FROM conversations WHERE role = 'user')
+), x AS (
+  SELECT c.*, o.j AS own, p.j AS call, to_json(c.text)::VARCHAR AS t
+  FROM conversations c LEFT JOIN u o ON o.conv_id = c.conv_id AND o.turn = c.turn LEFT JOIN u p ON p.conv_id = c.conv_id AND p.turn = c.turn - 1
+)
+SELECT conv_id, turn,
+  CASE WHEN role = 'assistant' AND call IS NOT NULL THEN turn - 1 ELSE turn END AS anchor,
+  CASE role WHEN 'user' THEN 2 * own WHEN 'assistant' THEN coalesce(2 * call + 1, 0) ELSE 0 END::BIGINT AS depth,
+  0 AS slot,
+  CASE role WHEN 'user' THEN 'call' WHEN 'assistant' THEN CASE WHEN call IS NULL THEN 'orphan_result' ELSE 'result' END ELSE 'plain' END AS kind,
+  NOT (role = 'user' AND coalesce(text, '') = '') AND NOT (role = 'assistant' AND call IS NULL) AS valid,
+  CASE WHEN role = 'user' AND coalesce(text, '') = '' THEN 1 ELSE 0 END::BIGINT AS n_errors,
+  CASE role
+    WHEN 'user' THEN '{"role":"assistant","tool_calls":[{"arguments":{' || CASE WHEN turn >= 2 THEN '"after":{"$result":"u' || (turn - 2) || '"},' ELSE '' END || '"question":' || t || '},"id":"u' || turn || '","name":"answer"}]}'
+    WHEN 'assistant' THEN '{"content":' || t || ',"role":"tool","tool_call_id":"u' || (turn - 1) || '"}'
+    ELSE '{"content":' || t || ',"role":' || to_json(role) || '}' END AS message
+FROM x
+"""
