@@ -9,22 +9,31 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from tidemark.llm import separators, token_files
-from tidemark.llm.tokens import Encoder, WordTable
+from tidemark.llm.tokens import Block, Encoder, WordTable
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
-LIBRARY = Tokenizer.from_file(PATH)
-LIBRARY.encode_special_tokens = True
+LIBRARY = Tokenizer.from_file(PATH)  # as it comes: strings of special tokens become these
+PLAIN = Tokenizer.from_file(PATH)
+PLAIN.encode_special_tokens = True
 ENCODER = Encoder(PATH, 2, memo=50)
+TEXT_ENCODER = Encoder(PATH, 2, memo=50, special_as_text=True)
 
 
 @settings(max_examples=400, deadline=None)
-@given(st.text(st.sampled_from("ab Z1\n\t .,'sÉß　中́\x1c\x85😀<|>")) | st.text())
+@given(st.text(st.sampled_from("ab Z1\n\t .,'sÉß　中́\x1c\x85😀<|>")) | st.text() | st.lists(st.sampled_from(["<|endoftext|>", " ", "a", "\n", "<|end", "É"])).map("".join))
 def test_memo_equals_library(text):
     try:
         text.encode()
     except UnicodeEncodeError:
         return
-    assert ENCODER(text) == ENCODER.pack(LIBRARY.encode(text, add_special_tokens=False).ids + [2])
+    for encoder, library in ((ENCODER, LIBRARY), (TEXT_ENCODER, PLAIN)):
+        expected = encoder.pack(library.encode(text, add_special_tokens=False).ids + [2])
+        assert encoder(text) == expected and encoder.batch(pa.array([text]))[0] == expected
+
+
+def test_strings_of_special_tokens():
+    assert ENCODER("a <|endoftext|> b") == ENCODER.pack([64, 220, 50256, 275, 2])
+    assert 50256 not in np.frombuffer(TEXT_ENCODER("a <|endoftext|> b"), "<u2")
 
 
 @settings(max_examples=200, deadline=None)
@@ -42,8 +51,8 @@ def test_word_table_starts_anew_and_keeps_colliding_words_apart(monkeypatch):
     encoder = Encoder(PATH, 2)
     texts = [" ".join(f"w{i * j % 31}" for j in range(1, 30)) for i in range(60)]
     assert encoder.batch(pa.array(texts)) == [ENCODER(t) for t in texts]
+    monkeypatch.setattr(Block, "keys", lambda self: self.sizes.astype(np.uint64))  # all words of a length agree in the hash
     one_hash = Encoder(PATH, 2)
-    one_hash.table.factors[0] = 0  # all words agree in the first hash
     assert one_hash.batch(pa.array(texts[:3])) == [ENCODER(t) for t in texts[:3]]
     long = "a " + "b" * 300 + " c"
     assert encoder.batch(pa.array([long, "a b", long])) == [ENCODER(t) for t in (long, "a b", long)]
@@ -53,7 +62,6 @@ def test_word_table_starts_anew_and_keeps_colliding_words_apart(monkeypatch):
 def test_other_tokenizers(name):
     path = public_tokenizers.path(name)
     lib = Tokenizer.from_file(path)
-    lib.encode_special_tokens = True
     e = Encoder(path, 2)
     for text in ("Hello  World, it's 12!", " x ", "<|endoftext|> a"):
         assert e(text) == e.pack(lib.encode(text, add_special_tokens=False).ids + [2])
@@ -75,14 +83,28 @@ def test_elias_fano_is_small():
     assert 8 * (len(ef.low) + len(ef.high) + len(ef.directory)) < 10_000 * (np.log2(700) + 3)
 
 
-def ids(text):
-    return LIBRARY.encode(text or "", add_special_tokens=False).ids
+def ids(text, library=LIBRARY):
+    return library.encode(text or "", add_special_tokens=False).ids
+
+
+def test_words_are_told_apart_by_their_bytes():
+    words = [b"a", b"a\0", b"\0a", b"abcdefgh", b"abcdefg", b"abcdefgh\0", b"x" * 255, b"x" * 254]
+    joined = b" ".join(words) + b" "
+    ends = np.cumsum([len(w) + 1 for w in words]) - 1
+    block = Block(joined, ends - [len(w) for w in words], np.array([len(w) for w in words]))
+    assert len(set(block.keys().tolist())) == len(words)
+    table = WordTable(lambda w: np.array([len(w)], "<u2").tobytes(), np.dtype("<u2"))
+    for _ in range(2):
+        got, edges = table.look_up(joined, ends - [len(w) for w in words], ends)
+        assert got.tolist() == [len(w) for w in words] and edges.tolist() == list(range(9))
+    assert table.n == len(words)
 
 
 @pytest.mark.parametrize("block", [1 << 19, 1000])
 def test_files_round_trip(spark, make_docs, odd, tmp_path, monkeypatch, block):
     monkeypatch.setattr(token_files, "BLOCK_TOKENS", block)
     path = f"{tmp_path}/t{block}"
+    odd = [*odd, (20, "an end <|endoftext|> inside")]
     token_files.write_token_files(make_docs(odd), path, PATH)
     found = sorted(token_files.read_token_files(spark, path, with_ids=True).collect(), key=lambda r: r.start)
     assert [r.doc_id for r in found] == sorted([i for i, _ in odd], key=lambda i: (i is not None, i))
@@ -106,12 +128,12 @@ def test_files_of_an_empty_table(spark, make_docs, tmp_path):
 
 @pytest.mark.parametrize("block", [7, 1 << 18])
 def test_separator_scan(spark, make_docs, odd, tmp_path, block):
-    rows = odd if block > 7 else odd[:5] + odd[6:]
+    rows = [*(odd if block > 7 else odd[:5] + odd[6:]), (20, "an end <|endoftext|> inside")]
     path = f"{tmp_path}/s{block}"
     separators.write_flat_files(make_docs(rows), path, PATH, block_tokens=block)
     blocks, names = separators.read_flat_files(spark, path)
     found = names.join(separators.count_tokens(blocks), ["shard", "ordinal"]).collect()
-    assert sorted((str(r.doc_id), r.n_tokens) for r in found) == sorted((str(i), len(ids(t))) for i, t in rows)
+    assert sorted((str(r.doc_id), r.n_tokens) for r in found) == sorted((str(i), len(ids(t, PLAIN))) for i, t in rows)
     assert all(r.closed for r in found)
 
 

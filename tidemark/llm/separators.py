@@ -9,7 +9,9 @@ edges, over any number of blocks.
 
 Defined results: a document without ids counts 0; ids after the last end of a
 shard are a document that is not closed; a null or empty text has no ids; a
-null document id stays null; repeated rows are separate documents; empty tables
+null document id stays null, ids keep their type; a very long text crosses as
+many blocks as it needs; the string of a special token in a text is ordinary
+text, so that no text can hold an end; repeated rows are separate documents; empty tables
 give an empty result; other columns are never read.
 """
 
@@ -22,6 +24,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import columns, scratch_path, small_batches, table
 from .tokens import worker_encoder
@@ -31,8 +34,8 @@ BLOCK_TOKENS = 1 << 18
 #: Names of documents in one row.
 NAMES = 4096
 
-_DDL = "shard int, block int, width int, ids binary, first_doc long, doc_ids array<long>"
-_SCHEMA = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("width", pa.int32()), ("ids", pa.binary()), ("first_doc", pa.int64()), ("doc_ids", pa.list_(pa.int64()))])
+_DDL = "shard int, block int, width int, ids binary, first_doc long"
+_SCHEMA = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("width", pa.int32()), ("ids", pa.binary()), ("first_doc", pa.int64())])
 
 
 def write_flat_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, doc_id: str = "doc_id", text: str = "text", block_tokens: int = BLOCK_TOKENS) -> None:
@@ -41,14 +44,15 @@ def write_flat_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = E
     of the shard's documents in order, which say nothing about where those
     begin."""
     small_batches(docs.sparkSession)
+    schema = _SCHEMA.append(pa.field("doc_ids", pa.list_(to_arrow_type(docs.schema[doc_id].dataType))))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, shard = worker_encoder(tokenizer, end_id), TaskContext.get().partitionId()
+        encoder, shard = worker_encoder(tokenizer, end_id, special_as_text=True), TaskContext.get().partitionId()
         size = block_tokens * encoder.width
         held, block, names, named = bytearray(), 0, [], 0
 
         def row(*values) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([v], type=f.type) for v, f in zip(values, _SCHEMA, strict=True)], schema=_SCHEMA)
+            return pa.RecordBatch.from_arrays([pa.array([v], type=f.type) for v, f in zip(values, schema, strict=True)], schema=schema)
 
         for batch in batches:
             for key, got in zip(batch.column(0).to_pylist(), encoder.batch(batch.column(1)), strict=True):
@@ -67,7 +71,7 @@ def write_flat_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = E
             yield row(shard, -1, encoder.width, None, named, names)
 
     rows = columns(docs, doc_id, text).toDF("doc_id", "text")
-    rows.mapInArrow(encode, _DDL).write.option("compression", "zstd").option("parquet.enable.dictionary", "false").option("parquet.block.size", str(16 << 20)).parquet(path)
+    rows.mapInArrow(encode, f"{_DDL}, doc_ids array<{dict(docs.dtypes)[doc_id]}>").write.option("compression", "zstd").option("parquet.enable.dictionary", "false").option("parquet.block.size", str(16 << 20)).parquet(path)
 
 
 def count_tokens(blocks: DataFrame, end_id: int = END_ID) -> DataFrame:
@@ -102,7 +106,7 @@ def count_tokens(blocks: DataFrame, end_id: int = END_ID) -> DataFrame:
 
 def read_flat_files(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Blocks of ids, and ``shard, ordinal, doc_id`` of the documents in them."""
-    rows = spark.read.schema(_DDL).parquet(path)
+    rows = spark.read.parquet(path)
     names = rows.where("doc_ids IS NOT NULL").select("shard", "first_doc", F.posexplode("doc_ids").alias("k", "doc_id"))
     return rows.where("ids IS NOT NULL").select("shard", "block", "width", "ids"), names.select("shard", (F.col("first_doc") + F.col("k")).alias("ordinal"), "doc_id")
 

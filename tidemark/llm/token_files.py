@@ -10,7 +10,9 @@ by side, the high parts in unary in a bit vector, and the position of every
 documents)`` bits for each document in place of 64.
 
 Defined results: a null or empty text is the end id alone; rows with equal ids
-are ordered by the hash of their texts; null ids come first; an empty table
+are ordered by the hash of their texts; null ids come first and ids keep their
+type; the string of a special token in a text is that token, as the library has
+it; a text longer than a block has a block of its own; an empty table
 gives an empty result; other columns are never read.
 """
 
@@ -24,6 +26,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import columns, scratch_path, small_batches, table
 from .tokens import worker_encoder
@@ -93,13 +96,12 @@ _FIELDS = (
     ("n_tokens", "long", pa.int64()),
     ("n_docs", "int", pa.int32()),
     ("width", "int", pa.int32()),
-    ("doc_ids", "array<long>", pa.list_(pa.int64())),
     ("ids", "binary", pa.binary()),
     ("low_bits", "int", pa.int32()),
     ("low", "binary", pa.binary()),
     ("high", "binary", pa.binary()),
     ("directory", "binary", pa.binary()),
-)
+)  # and doc_ids, an array of the table's type of ids
 _BLOCK = pa.schema([(n, t) for n, _, t in _FIELDS])
 _DDL = ", ".join(f"{n} {t}" for n, t, _ in _FIELDS)
 
@@ -112,6 +114,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
     hash of the text, lets rows with one id spread over several shards.
     """
     small_batches(docs.sparkSession)
+    schema = _BLOCK.append(pa.field("doc_ids", pa.list_(to_arrow_type(docs.schema[doc_id].dataType))))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, shard = worker_encoder(tokenizer, end_id), TaskContext.get().partitionId()
@@ -119,8 +122,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
 
         def close() -> pa.RecordBatch:
             ef = EliasFano.encode(np.array(size))
-            row = (shard, block, first, size[-1], len(held), encoder.width, held, b"".join(ids), ef.low_bits, ef.low, ef.high, ef.directory)
-            return pa.RecordBatch.from_arrays([pa.array([v], type=f.type) for v, f in zip(row, _BLOCK, strict=True)], schema=_BLOCK)
+            row = (shard, block, first, size[-1], len(held), encoder.width, b"".join(ids), ef.low_bits, ef.low, ef.high, ef.directory, held)
+            return pa.RecordBatch.from_arrays([pa.array([v], type=f.type) for v, f in zip(row, schema, strict=True)], schema=schema)
 
         for batch in batches:
             for key, got in zip(batch.column(0).to_pylist(), encoder.batch(batch.column(1)), strict=True):
@@ -136,7 +139,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
     rows = columns(docs, doc_id, text).toDF("doc_id", "text")
     tie = F.xxhash64("text")
     ordered = rows.repartitionByRange("doc_id", tie).sortWithinPartitions("doc_id", tie, "text")
-    blocks = ordered.mapInArrow(encode, _DDL)
+    blocks = ordered.mapInArrow(encode, f"{_DDL}, doc_ids array<{dict(docs.dtypes)[doc_id]}>")
     blocks.write.option("compression", "zstd").option("parquet.enable.dictionary", "false").option("parquet.block.size", str(16 << 20)).parquet(path)
 
 
@@ -149,10 +152,11 @@ def read_token_files(spark: SparkSession, path: str, with_ids: bool = False) ->
     shuffle makes at most ``spark.sql.shuffle.partitions`` shards.
     """
     small_batches(spark)
-    blocks = spark.read.schema(_DDL).parquet(path)
+    blocks = spark.read.parquet(path)
+    kind = blocks.schema["doc_ids"].dataType.elementType
     totals = blocks.groupBy("shard").agg(F.sum("n_tokens").alias("t"))
     base = totals.select("shard", (F.sum("t").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)) - F.col("t")).alias("base"))
-    kinds = [("shard", pa.int32()), ("doc_id", pa.int64()), ("at", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())]
+    kinds = [("shard", pa.int32()), ("doc_id", to_arrow_type(kind)), ("at", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())]
     schema = pa.schema(kinds + [("ids", pa.list_(pa.int64()))] * with_ids)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,13 +169,13 @@ def read_token_files(spark: SparkSession, path: str, with_ids: bool = False) ->
                 cuts = edges.tolist()
                 crc = [zlib.crc32(wide[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
                 n = len(crc)
-                cols = [np.full(n, x["shard"].as_py(), np.int32), x["doc_ids"].values, edges[:-1] + x["first_token"].as_py(), np.diff(edges), np.array(crc, np.int64)]
+                cols = [np.full(n, x["shard"].as_py(), np.int32), x["doc_ids"].values.cast(schema.field("doc_id").type), edges[:-1] + x["first_token"].as_py(), np.diff(edges), np.array(crc, np.int64)]
                 if with_ids:
                     cols.append([ids[a:b].astype(np.int64) for a, b in zip(cuts, cuts[1:], strict=False)])
                 yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, type=f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
     needed = blocks.select("shard", "first_token", "n_docs", "width", "doc_ids", "ids", "low_bits", "low", "high", "directory")
-    rows = needed.mapInArrow(decode, "shard int, doc_id long, at long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids)
+    rows = needed.mapInArrow(decode, f"shard int, doc_id {kind.simpleString()}, at long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids)
     extra = ["ids"] if with_ids else []
     return rows.join(F.broadcast(base), "shard").select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32", *extra)
 

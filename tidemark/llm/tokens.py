@@ -31,9 +31,9 @@ def _even(text: str) -> bool:
 
 
 @lru_cache(maxsize=2)
-def worker_encoder(path: str, end_id: int | None) -> Encoder:
+def worker_encoder(path: str, end_id: int | None, special_as_text: bool = False) -> Encoder:
     """The encoder of this Python worker, kept with its memo from task to task."""
-    return Encoder(path, end_id)
+    return Encoder(path, end_id, special_as_text=special_as_text)
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -45,13 +45,19 @@ def byte_alphabet() -> dict[int, str]:
 
 
 class Encoder:
-    """Texts to ids as little-endian bytes, ``width`` bytes for each id."""
+    """Texts to ids as little-endian bytes, ``width`` bytes for each id.
 
-    def __init__(self, path: str, end_id: int | None = None, memo: int = 300_000):
+    The string of a special token in a text becomes that token, as the library
+    does it, or with ``special_as_text`` the tokens of its characters, so that
+    no text can hold the token's id.
+    """
+
+    def __init__(self, path: str, end_id: int | None = None, memo: int = 300_000, special_as_text: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = special_as_text
+        self.special = () if special_as_text else tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
         size = max(self.tokenizer.get_vocab_size(with_added_tokens=True), (end_id or 0) + 1)
         self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         self.end = b"" if end_id is None else np.array([end_id], self.dtype).tobytes()
@@ -73,7 +79,7 @@ class Encoder:
         """Ids of the text, then the end id."""
         if not text:
             return self.end
-        if self.words is None:
+        if self.words is None or any(map(text.__contains__, self.special)):
             return self.whole(text) + self.end
         chunks = text.split(" ") if _even(text) else _JOINT.split(text)
         if len(chunks) == 1:
@@ -82,7 +88,6 @@ class Encoder:
         chunks.pop(0)
         return first + b"".join(map(self.words.__getitem__, chunks)) + self.end
 
-
     def batch(self, texts: pa.Array) -> list[bytes]:
         """Ids of each text of an Arrow array, as if called one by one, with
         words looked up in NumPy arrays for many texts at once."""
@@ -91,7 +96,7 @@ class Encoder:
         group: list[int] = []
         size = 0
         for row, t in enumerate(strings):
-            if not t or self.words is None or len(t) > _GROUP_CHARS or not _even(t):
+            if not t or self.words is None or len(t) > _GROUP_CHARS or not _even(t) or any(map(t.__contains__, self.special)):
                 out[row] = self(t)
                 continue
             group.append(row)
@@ -131,13 +136,38 @@ class Encoder:
             out[row] = b"".join((own, data[a:b], self.end))
 
 
+class Block:
+    """Words of a byte string as little-endian numbers of eight bytes each, one
+    word's after the other, the last one padded with zeros."""
+
+    MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+    FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
+
+    def __init__(self, joined: bytes, starts: np.ndarray, sizes: np.ndarray):
+        self.sizes = sizes
+        self.n = (sizes + 7) >> 3
+        self.first = np.cumsum(self.n) - self.n
+        step = 8 * (np.arange(int(self.n.sum())) - np.repeat(self.first, self.n))
+        everywhere = np.ndarray((len(joined),), "<u8", joined + bytes(7), strides=(1,))
+        self.numbers = everywhere[np.repeat(starts, self.n) + step] & self.MASKS[np.minimum(np.repeat(sizes, self.n) - step, 8)]
+
+    def keys(self) -> np.ndarray:
+        key = self.sizes.astype(np.uint64) * self.FACTORS[0]
+        on, k = np.arange(len(key)), 0
+        while len(on):
+            x = (key[on] ^ self.numbers[self.first[on] + k]) * self.FACTORS[1]
+            key[on] = x ^ (x >> np.uint64(29))
+            k += 1
+            on = on[self.n[on] > k]
+        return key
+
+
 class WordTable:
     """Ids of words with a space before them, in an open hash table of NumPy
     arrays; a whole block of words is hashed, found and gathered at once.
 
-    Words are told apart by two multilinear hashes of 64 bits each, with fixed
-    random multipliers: two different words agree in both with probability
-    2**-126.  A full table starts anew.
+    A word with the hash of a stored one is compared with it byte for byte.  A
+    full table starts anew.
     """
 
     SLOTS = 1 << 21
@@ -145,52 +175,72 @@ class WordTable:
     LONGEST = 255
 
     def __init__(self, encode, dtype: np.dtype):
-        rng = np.random.default_rng(20_240_101)
-        self.factors = rng.integers(0, 1 << 63, (2, self.LONGEST + 1), np.uint64) * np.uint64(2) + np.uint64(1)
         self.encode, self.dtype = encode, dtype
         self.clear()
 
     def clear(self) -> None:
-        self.n, self.used = 0, 0
-        self.keys = np.zeros((2, self.SLOTS), np.uint64)
-        self.at = np.zeros(self.SLOTS, np.int64)
+        self.n, self.used, self.held = 0, 0, 0
+        self.keys = np.zeros(self.SLOTS, np.uint64)
+        self.length = np.zeros(self.SLOTS, np.int32)  # in bytes
+        self.word = np.zeros(self.SLOTS, np.int64)  # in ``numbers``
+        self.at = np.zeros(self.SLOTS, np.int64)  # in ``pool``
         self.size = np.zeros(self.SLOTS, np.int32)  # every word has an id: 0 is an empty slot
         self.pool = np.empty(1 << 16, self.dtype)
+        self.numbers = np.empty(1 << 16, np.uint64)
+
+    def same(self, block: Block, row: np.ndarray, slot: np.ndarray) -> np.ndarray:
+        """Whether the words in ``row`` of the block are those stored in ``slot``."""
+        out = self.length[slot] == block.sizes[row]
+        on, k = np.flatnonzero(out), 0
+        while len(on):
+            equal = block.numbers[block.first[row[on]] + k] == self.numbers[self.word[slot[on]] + k]
+            out[on[~equal]] = False
+            k += 1
+            on = on[equal & (block.n[row[on]] > k)]
+        return out
 
-    def hashes(self, joined: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        value = np.frombuffer(joined, np.uint8).astype(np.uint64)
-        place = np.arange(len(value)) - np.repeat(starts, ends - starts + 1)
-        return np.stack([np.add.reduceat(value * f[place], starts) for f in self.factors])
-
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """Slot of each key, -1 where it isn't there."""
-        out = np.full(keys.shape[1], -1)
-        todo = np.arange(keys.shape[1])
-        slot = (keys[0] >> np.uint64(43)).astype(np.int64)
-        while len(todo):
+    def find(self, keys: np.ndarray, block: Block, todo: np.ndarray) -> np.ndarray:
+        """Slots of the words ``todo`` of the block, -1 where they aren't there."""
+        out = np.full(len(todo), -1)
+        at = np.arange(len(todo))
+        slot = (keys[todo] >> np.uint64(43)).astype(np.int64)
+        while len(at):
             there = self.size[slot] > 0
-            same = there & (self.keys[0][slot] == keys[0][todo]) & (self.keys[1][slot] == keys[1][todo])
-            out[todo[same]] = slot[same]
+            same = there & (self.keys[slot] == keys[todo[at]])
+            hit = np.flatnonzero(same)
+            same[hit] = self.same(block, todo[at[hit]], slot[hit])
+            out[at[same]] = slot[same]
             more = there & ~same
-            todo, slot = todo[more], (slot[more] + 1) % self.SLOTS
+            at, slot = at[more], (slot[more] + 1) % self.SLOTS
         return out
 
-    def insert(self, keys: np.ndarray, ids: list[bytes]) -> None:
+    @staticmethod
+    def _room(pool: np.ndarray, used: int, fresh: np.ndarray) -> np.ndarray:
+        if used + len(fresh) > len(pool):
+            pool = np.concatenate([pool[:used], np.empty(len(fresh) + used + (1 << 16), pool.dtype)])
+        pool[used : used + len(fresh)] = fresh
+        return pool
+
+    def insert(self, keys: np.ndarray, block: Block, rows: np.ndarray, ids: list[bytes]) -> None:
+        """Store the words ``rows`` of the block, none of which is there."""
         size = np.array([len(x) for x in ids]) // self.dtype.itemsize
-        fresh = np.frombuffer(b"".join(ids), self.dtype)
-        if self.used + len(fresh) > len(self.pool):
-            self.pool = np.concatenate([self.pool[: self.used], np.empty(len(fresh) + self.used + (1 << 16), self.dtype)])
-        self.pool[self.used : self.used + len(fresh)] = fresh
+        self.pool = self._room(self.pool, self.used, np.frombuffer(b"".join(ids), self.dtype))
         at = self.used + np.cumsum(size) - size
-        self.used += len(fresh)
+        self.used += int(size.sum())
+        n = block.n[rows]
+        step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        self.numbers = self._room(self.numbers, self.held, block.numbers[np.repeat(block.first[rows], n) + step])
+        word = self.held + np.cumsum(n) - n
+        self.held += int(n.sum())
         self.n += len(ids)
         todo = np.arange(len(ids))
-        slot = (keys[0] >> np.uint64(43)).astype(np.int64)
+        slot = (keys[rows] >> np.uint64(43)).astype(np.int64)
         while len(todo):
             _, winner = np.unique(slot, return_index=True)
             winner = winner[self.size[slot[winner]] == 0]
             to, own = slot[winner], todo[winner]
-            self.keys[:, to], self.at[to], self.size[to] = keys[:, own], at[own], size[own]
+            self.keys[to], self.length[to], self.word[to] = keys[rows[own]], block.sizes[rows[own]], word[own]
+            self.at[to], self.size[to] = at[own], size[own]
             rest = np.ones(len(todo), bool)
             rest[winner] = False
             todo, slot = todo[rest], slot[rest]
@@ -198,16 +248,18 @@ class WordTable:
 
     def look_up(self, joined: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words, one after another, and where each word's begin."""
-        keys = self.hashes(joined, starts, ends)
-        slot = self.find(keys)
+        block = Block(joined, starts, ends - starts)
+        keys = block.keys()
+        every = np.arange(len(starts))
+        slot = self.find(keys, block, every)
         missing = np.flatnonzero(slot < 0)
         if self.n + len(missing) > self.FULL:
             self.clear()
-            missing = np.arange(len(starts))
-        while len(missing):  # once more only if two new words agree in one hash
-            new = missing[np.unique(keys[0][missing], return_index=True)[1]]
-            self.insert(keys[:, new], [self.encode(joined[a:b].decode()) for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True)])
-            slot[missing] = self.find(keys[:, missing])
+            missing = every
+        while len(missing):  # once more only if two new words agree in the hash
+            new = missing[np.unique(keys[missing], return_index=True)[1]]
+            self.insert(keys, block, new, [self.encode(joined[a:b].decode()) for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True)])
+            slot[missing] = self.find(keys, block, missing)
             missing = missing[slot[missing] < 0]
         size = self.size[slot]
         edges = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
