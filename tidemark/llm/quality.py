@@ -6,7 +6,9 @@ is chosen from a bounded sample: each rule's time and the set of rules that
 reject each sampled text are measured, then rules are picked greedily by the
 share of still accepted texts they reject per second.
 
-Defined results: a null or empty text has no words and fails the base rule;
+Defined results: a null or empty text has no words and fails the base rule; a
+very long text is judged whole, its windows counted by number in place of by
+tuple; ids keep their type, null ids included;
 repeated rows are judged one by one; an empty table gives an empty result;
 columns other than the id and the text are never read.
 """
@@ -97,6 +99,10 @@ def repeated_words(words: Sequence[bytes], size: int = 5) -> int:
     return int(np.count_nonzero(np.cumsum(edge[:-1])))
 
 
+def base_failed(n_words: int, n_repeat_words: int) -> bool:
+    return n_words < 10 or 100 * n_repeat_words > 20 * n_words
+
+
 @dataclass(frozen=True)
 class Rule:
     name: str
@@ -117,7 +123,8 @@ RULES: tuple[Rule, ...] = (
 
 
 def plan_cascade(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text", sample_rows: int = 4000) -> list[str]:
-    """Names of ``rules``, best first, from about ``sample_rows`` rows.
+    """Names of ``rules``, best first, from about ``sample_rows`` rows, of which
+    those count that pass the base rule.
 
     The driver gets one row per set of rules that rejected some sampled text:
     never more than there are sampled rows, and no texts.
@@ -127,7 +134,9 @@ def plan_cascade(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "te
     def make():
         def measure(row):
             t, mask, cost = Text(row[0]), 0, []
-            _ = t.words, t.lines  # shared by all rules, paid whatever the order
+            if base_failed(t.n_words, repeated_words(t.words)):
+                return []  # never enters the cascade
+            _ = t.lines  # shared by all rules, paid whatever the order
             for k, rule in enumerate(rules):
                 began = time.perf_counter()
                 mask |= rule.rejects(t) << k
@@ -178,15 +187,15 @@ def quality_filter(
         def judge(row):
             t = Text(row[1])
             n, again = t.n_words, repeated_words(t.words)
-            failed = n < 10 or 100 * again > 20 * n
+            failed = base_failed(n, again)
             kept = not failed and not any(rule.rejects(t) for rule in ordered)
             return [(row[0], n, t.word_chars, t.n_symbols, t.n_dup_lines, again, failed, kept)]
 
         return judge
 
     return map_rows(
-        columns(docs, doc_id, text).withColumnRenamed(doc_id, "doc_id"),
-        "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean",
+        columns(docs, doc_id, text).toDF("doc_id", "text"),
+        f"doc_id {dict(docs.dtypes)[doc_id]}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean",
         make,
     )
 
