@@ -9,33 +9,40 @@ backwards at once, occurrences are located from sampled suffix positions and
 merged to spans of words for each document.
 
 The benchmark travels to the executors in blocks of at most
-``BLOCK_ITEMS_WORDS`` words, a fixed bound; each block is one pass, and passes
-are merged by row.  There is one pass unless the benchmark is larger than that.
+``BLOCK_ITEMS_WORDS`` words, a fixed bound.  One block is searched while its
+shard's index is in memory.  For more, shards are indexed once, over all words
+that any block may hold (a bit map of fixed size knows them), and written as a
+table; each block in turn searches that table.  Texts are read once.
 
 Defined results: null, empty or word-less texts and items have no words and
-match nothing; a null item id counts as an item without a name and is left out
-of the digest; repeated rows are judged one by one; items with equal texts are
-different items; empty tables give no hits or no rows; other columns are never
-read.
+match nothing; a very long text is a shard of its own; items of one id are one
+item, also where they lie in several blocks, and so are all items without an id,
+which the digest leaves out; repeated rows are judged one by one; empty tables
+give no hits or no rows; other columns are never read.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
-from itertools import chain
 from typing import NamedTuple
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import columns, cut, small_batches, table
+from .common import columns, scratch_path, small_batches, table
 from .fmindex import FMIndex
 
 WINDOW = 10
 SHARD_WORDS = 1 << 19
 BLOCK_ITEMS_WORDS = 500_000
+#: Bits of the map of words in a benchmark of several blocks.
+KNOWN_BITS = 27
 
 #: A-Z to a-z; every other ASCII character that isn't a letter or digit to a space.
 _FOLD = bytes(
@@ -109,23 +116,37 @@ def _candidates(ids: np.ndarray, shortest: int) -> tuple[np.ndarray, np.ndarray]
     return seq, at
 
 
+class Shard(NamedTuple):
+    """The index of a shard, and the document and the word that each of its symbols is."""
+
+    index: FMIndex
+    doc: np.ndarray
+    at: np.ndarray
+
+    @classmethod
+    def build(cls, docs: list[np.ndarray], sigma: int, shortest: int) -> Shard | None:
+        parts = [_candidates(ids, shortest) for ids in docs]
+        doc = np.repeat(np.arange(len(docs), dtype=np.int32), [len(s) for s, _ in parts])
+        if not len(doc):
+            return None
+        return cls(FMIndex(np.concatenate([s for s, _ in parts]), sigma), doc, np.concatenate([a for _, a in parts]))
+
+    def occurrences(self, windows: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Document number, first word and row of ``windows`` of every occurrence."""
+        low, high = self.index.search(windows, lengths)
+        n = np.maximum(high - low, 0)
+        rows = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        where = self.index.locate(rows)
+        return self.doc[where], self.at[where], np.repeat(np.arange(len(n)), n)
+
+
 def find_occurrences(docs: list[np.ndarray], phrases: Phrases) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Document number, first word and phrase number of every occurrence in a shard."""
     none = np.empty(0, np.int64)
     if not len(phrases.lengths):
         return none, none, none
-    shortest = int(phrases.lengths.min())
-    parts = [_candidates(ids, shortest) for ids in docs]
-    doc = np.repeat(np.arange(len(docs)), [len(s) for s, _ in parts])
-    if not len(doc):
-        return none, none, none
-    seq, at = np.concatenate([s for s, _ in parts]), np.concatenate([a for _, a in parts])
-    index = FMIndex(seq, phrases.sigma)
-    low, high = index.search(phrases.windows, phrases.lengths)
-    n = np.maximum(high - low, 0)
-    rows = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-    where = index.locate(rows)
-    return doc[where], at[where], np.repeat(np.arange(len(n)), n)
+    shard = Shard.build(docs, phrases.sigma, int(phrases.lengths.min()))
+    return (none, none, none) if shard is None else shard.occurrences(phrases.windows, phrases.lengths)
 
 
 def spans(starts: np.ndarray, lengths: np.ndarray) -> list[tuple[int, int]]:
@@ -151,103 +172,185 @@ def _blocks(benchmark: DataFrame, item_id: str, text: str) -> Iterator[list[tupl
     yield block
 
 
-_SPANS = "n_words long, spans array<struct<start:long,end:long>>, items array<string>"
+_SPAN = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+_SPANS = "spans array<struct<start:long,end:long>>, items array<string>, unnamed boolean"
+
+
+def _found(n_docs: int, occurrences: tuple[np.ndarray, np.ndarray, np.ndarray], p: Phrases) -> list[pa.Array]:
+    """Merged spans, names of items, and whether one has no name, of each document."""
+    doc, start, phrase = occurrences
+    order = np.argsort(doc, kind="stable")
+    doc, start, phrase = doc[order], start[order], phrase[order]
+    edges = np.searchsorted(doc, np.arange(n_docs + 1))
+    merged, named, unnamed = [], [], []
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        merged.append([{"start": s, "end": e} for s, e in spans(start[a:b], p.lengths[phrase[a:b]])])
+        own = {p.names[i] for x in set(phrase[a:b].tolist()) for i in p.items[x]}
+        named.append(sorted(x for x in own if x is not None))
+        unnamed.append(None in own)
+    return [pa.array(merged, _SPAN), pa.array(named, pa.list_(pa.string())), pa.array(unnamed, pa.bool_())]
+
+
+def _shards(batches: Iterator[pa.RecordBatch], ids_of) -> Iterator[tuple[pa.Array, list[np.ndarray]]]:
+    """Ids and words of the documents of each shard; batches are ids and texts."""
+    keys, docs, size = [], [], 0
+    for batch in batches:
+        texts, began = batch.column(1), 0
+        for i in range(batch.num_rows):
+            docs.append(ids_of(texts[i].as_py()))
+            size += len(docs[-1])
+            if size >= SHARD_WORDS:
+                yield pa.concat_arrays([*keys, batch.column(0).slice(began, i + 1 - began)]), docs
+                keys, docs, size, began = [], [], 0, i + 1
+        if began < batch.num_rows:
+            keys.append(batch.column(0).slice(began))
+    if docs:
+        yield pa.concat_arrays(keys), docs
 
 
 def removal_spans(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
     """``doc_id, n_words, spans, items, n_items`` of every row of ``docs``:
     merged spans of words to remove, names of the items found, how many."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    kind = dict(docs.dtypes)[doc_id]
+    small_batches(docs.sparkSession)
     rows = columns(docs, doc_id, text).toDF("doc_id", "text")
     blocks = _blocks(benchmark, item_id, item_text)
-    first, second = next(blocks), next(blocks, None)
-    if second is None:
-        return _search(rows, first, window, f"doc_id {kind}")
-    # rows are told apart by place, so that repeated rows stay apart over passes
-    rows = cut(rows.withColumn("row", F.monotonically_increasing_id()))
-    passes = [_search(rows.select("row", "doc_id", "text"), block, window, f"row long, doc_id {kind}") for block in chain((first, second), blocks)]
-    every = passes[0]
-    for one in passes[1:]:
-        every = every.unionByName(one)
-    merged = every.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("all"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.max(F.col("n_items") > F.size("items")).alias("unnamed"))
+    first = next(blocks)
+    found = _search(rows, Phrases.build(first, window)) if next(blocks, None) is None else _search_blocks(rows, benchmark, item_id, item_text, window)
+    return found.select("doc_id", "n_words", "spans", "items", (F.size("items").cast("long") + F.col("unnamed").cast("long")).alias("n_items"))
+
+
+def _search(rows: DataFrame, phrases: Phrases) -> DataFrame:
+    """``doc_id, n_words`` and ``_SPANS`` of each row."""
+    shared = rows.sparkSession.sparkContext.broadcast(phrases)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p = shared.value
+        for keys, docs in _shards(batches, lambda t: word_ids(t, p.vocabulary)):
+            cols = [keys, pa.array([len(d) for d in docs], pa.int64()), *_found(len(docs), find_occurrences(docs, p), p)]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_words", "spans", "items", "unnamed"])
+
+    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, n_words long, {_SPANS}")
+
+
+class Known:
+    """Words that a benchmark may hold, by a map of hashes, and the shortest of its phrases."""
+
+    def __init__(self, blocks: Iterator[list], window: int):
+        self.bits, self.shortest = np.zeros(1 << KNOWN_BITS - 3, np.uint8), window
+        for block in blocks:
+            for _, text in block:
+                words = words_of(text)
+                if words:
+                    self.shortest = min(self.shortest, len(words))
+                    at = self._hashes(words)
+                    np.bitwise_or.at(self.bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
+
+    @staticmethod
+    def _hashes(words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(crc32, words), np.uint32, len(words)).astype(np.int64) & ((1 << KNOWN_BITS) - 1)
+
+    def numbers(self, text: str | None, vocabulary: dict[bytes, int]) -> np.ndarray:
+        """Each word's number in ``vocabulary``, which grows, or 0 for a word that isn't known."""
+        folded = (text or "").encode("utf-8", "surrogatepass").translate(_FOLD)
+        parts, at = [], 0
+        while at < len(folded):
+            to = len(folded) if len(folded) - at <= _CHUNK else folded.rfind(b" ", at, at + _CHUNK) + 1 or len(folded)
+            words = folded[at:to].split()
+            h = self._hashes(words)
+            ids = np.zeros(len(words), np.int32)
+            for k in np.flatnonzero(self.bits[h >> 3] >> (h & 7).astype(np.uint8) & 1).tolist():
+                ids[k] = vocabulary.setdefault(words[k], len(vocabulary) + 1)
+            parts.append(ids)
+            at = to
+        return np.concatenate(parts) if parts else np.empty(0, np.int32)
+
+
+def _index(rows: DataFrame, known: Known, path: str) -> DataFrame:
+    """Index all shards and write them: ``part, shard, doc_ids, n_words, data``."""
+    shared = rows.sparkSession.sparkContext.broadcast(known)
+    kind = dict(rows.dtypes)["doc_id"]
+    arrow = to_arrow_type(rows.schema["doc_id"].dataType)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary: dict[bytes, int] = {}
+        for number, (keys, docs) in enumerate(_shards(batches, lambda t: shared.value.numbers(t, vocabulary))):
+            shard = Shard.build(docs, len(vocabulary) + 1, shared.value.shortest)
+            data = pickle.dumps((shard, list(vocabulary)))
+            vocabulary.clear()
+            row = (TaskContext.get().partitionId(), number, keys.to_pylist(), [len(d) for d in docs], data)
+            kinds = (pa.int32(), pa.int32(), pa.list_(arrow), pa.list_(pa.int64()), pa.large_binary() if len(data) > 1 << 30 else pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], ["part", "shard", "doc_ids", "n_words", "data"])
+
+    schema = f"part int, shard int, doc_ids array<{kind}>, n_words array<long>, data binary"
+    rows.mapInArrow(run, schema).write.option("parquet.enable.dictionary", "false").option("parquet.block.size", str(16 << 20)).parquet(path)
+    return rows.sparkSession.read.schema(schema).parquet(path)
+
+
+def _search_blocks(rows: DataFrame, benchmark: DataFrame, item_id: str, item_text: str, window: int) -> DataFrame:
+    """``_search`` for a benchmark of several blocks: one index, a pass over it for each."""
+    spark = rows.sparkSession
+    path = scratch_path(spark, "shards")
+    shards = _index(rows, Known(_blocks(benchmark, item_id, item_text), window), f"{path}/index")
+    key = ["part", "shard", "n"]
+    for number, block in enumerate(_blocks(benchmark, item_id, item_text)):
+        shared = spark.sparkContext.broadcast(Phrases.build(block, window))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            p = shared.value
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    shard, words = pickle.loads(batch.column(2)[i].as_py())
+                    if shard is None or not len(p.lengths):
+                        continue
+                    here = {w: k + 1 for k, w in enumerate(words)}
+                    number_of = np.array([0, *[here.get(w, -1) for w in p.vocabulary]])
+                    windows = number_of[p.windows]
+                    there = np.flatnonzero((windows >= 0).all(axis=1))
+                    doc, start, phrase = shard.occurrences(windows[there], p.lengths[there])
+                    hit, doc = np.unique(doc, return_inverse=True)
+                    cols = [pa.array(np.full(len(hit), batch.column(k)[i].as_py(), np.int32)) for k in (0, 1)]
+                    yield pa.RecordBatch.from_arrays([*cols, pa.array(hit, pa.int32()), *_found(len(hit), (doc, start, there[phrase]), p)], [*key, "spans", "items", "unnamed"])
+
+        found = shards.select("part", "shard", "data").mapInArrow(run, f"part int, shard int, n int, {_SPANS}")
+        found.write.parquet(f"{path}/hits/block={number}")
+        shared.destroy()
+    hits = spark.read.schema(f"part int, shard int, n int, {_SPANS}").parquet(f"{path}/hits")
+    one = hits.groupBy(*key).agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("all"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.max("unnamed").alias("unnamed"))
     joined = F.expr("""aggregate(all, cast(array() as array<struct<start:bigint,end:bigint>>), (a, x) ->
         case when size(a) > 0 and element_at(a, -1).end >= x.start
         then concat(slice(a, 1, size(a) - 1), array(named_struct('start', element_at(a, -1).start, 'end', greatest(element_at(a, -1).end, x.end))))
         else concat(a, array(x)) end)""")
-    # a name found in several blocks counts once, as do all items without one
-    n_items = F.size("items").cast("long") + F.col("unnamed").cast("long")
-    return merged.select("doc_id", "n_words", joined.alias("spans"), "items", n_items.alias("n_items"))
-
-
-def _search(rows: DataFrame, items: list, window: int, head: str) -> DataFrame:
-    phrases = rows.sparkSession.sparkContext.broadcast(Phrases.build(items, window))
-    schema = f"{head}, {_SPANS}, n_items long"
-    n_head = head.count(",") + 1
-    span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-
-    def judge(keys: list[tuple], docs: list[np.ndarray]) -> pa.RecordBatch:
-        p = phrases.value
-        doc, start, phrase = find_occurrences(docs, p)
-        order = np.argsort(doc, kind="stable")
-        doc, start, phrase = doc[order], start[order], phrase[order]
-        edges = np.searchsorted(doc, np.arange(len(docs) + 1))
-        found, named, counts = [], [], []
-        for a, b in zip(edges[:-1], edges[1:], strict=True):
-            found.append([{"start": s, "end": e} for s, e in spans(start[a:b], p.lengths[phrase[a:b]])])
-            own = {i for x in set(phrase[a:b].tolist()) for i in p.items[x]}
-            named.append(sorted({p.names[i] for i in own if p.names[i] is not None}))
-            counts.append(len({p.names[i] for i in own}))
-        heads = [pa.concat_arrays([k[i] for k in keys]) for i in range(n_head)]
-        cols = [*heads, pa.array([len(d) for d in docs], pa.int64()), pa.array(found, span), pa.array(named, pa.list_(pa.string())), pa.array(counts, pa.int64())]
-        return pa.RecordBatch.from_arrays(cols, names)
-
-    names = [h.split()[0] for h in head.split(", ")] + ["n_words", "spans", "items", "n_items"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = phrases.value.vocabulary
-        keys, docs, size = [], [], 0
-        for batch in batches:
-            texts, began = batch.column(n_head), 0
-            for i in range(batch.num_rows):
-                docs.append(word_ids(texts[i].as_py(), vocabulary))
-                size += len(docs[-1])
-                if size >= SHARD_WORDS:
-                    keys.append([batch.column(c).slice(began, i + 1 - began) for c in range(n_head)])
-                    yield judge(keys, docs)
-                    keys, docs, size, began = [], [], 0, i + 1
-            if began < batch.num_rows:
-                keys.append([batch.column(c).slice(began) for c in range(n_head)])
-        if docs:
-            yield judge(keys, docs)
-
-    return rows.mapInArrow(run, schema)
+    every = shards.select("part", "shard", F.posexplode(F.arrays_zip("doc_ids", "n_words")).alias("n", "d")).select(*key, "d.doc_ids", "d.n_words")
+    none = F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)")
+    merged = every.join(one.select(*key, joined.alias("spans"), "items", "unnamed"), key, "left")
+    return merged.select(F.col("doc_ids").alias("doc_id"), "n_words", F.coalesce("spans", none).alias("spans"), F.coalesce("items", F.expr("cast(array() as array<string>)")).alias("items"), F.coalesce("unnamed", F.lit(False)).alias("unnamed"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
     """Rows of ``docs`` without any phrase of the benchmark, all columns.  One
-    pass for each block of the benchmark, no shuffle; a batch is a shard."""
+    pass and no shuffle, a batch being a shard, if the benchmark is one block;
+    else rows meet the digests of the contaminated texts."""
     spark = docs.sparkSession
     small_batches(spark)
     at = docs.columns.index(text)
+    blocks = _blocks(benchmark, item_id, item_text)
+    first = next(blocks)
+    if next(blocks, None) is not None:
+        digest = F.md5(F.col(f"`{text}`").cast("binary"))
+        found = _search_blocks(docs.select(digest.alias("doc_id"), F.col(f"`{text}`").alias("text")), benchmark, item_id, item_text, window)
+        bad = found.where(F.size("spans") > 0).select(F.col("doc_id").alias("_key_text")).distinct()
+        return docs.join(bad, digest == F.col("_key_text"), "left_anti")
+    phrases = spark.sparkContext.broadcast(Phrases.build(first, window))
 
-    def without(rows: DataFrame, items: list) -> DataFrame:
-        phrases = spark.sparkContext.broadcast(Phrases.build(items, window))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                texts = batch.column(at)
-                found, _, _ = find_occurrences([word_ids(texts[i].as_py(), phrases.value.vocabulary) for i in range(batch.num_rows)], phrases.value)
-                keep = np.ones(batch.num_rows, bool)
-                keep[found] = False
-                yield batch.filter(pa.array(keep))
-
-        return rows.mapInArrow(run, docs.schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(at)
+            found, _, _ = find_occurrences([word_ids(texts[i].as_py(), phrases.value.vocabulary) for i in range(batch.num_rows)], phrases.value)
+            keep = np.ones(batch.num_rows, bool)
+            keep[found] = False
+            yield batch.filter(pa.array(keep))
 
-    for items in _blocks(benchmark, item_id, item_text):
-        docs = without(docs, items)
-    return docs
+    return docs.mapInArrow(run, docs.schema)
 
 
 def contamination(found: DataFrame) -> DataFrame:
@@ -276,7 +379,7 @@ WITH d AS (
 ), s AS (
   SELECT r, count(DISTINCT i + k) AS n_hit FROM h, range(0, 10) t(k) WHERE k < n GROUP BY r
 ), m AS (
-  SELECT r, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS items FROM h GROUP BY r
+  SELECT r, count(DISTINCT item_id) + bool_or(item_id IS NULL)::INT AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS items FROM h GROUP BY r
 )
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
        sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated

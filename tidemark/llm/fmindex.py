@@ -10,26 +10,36 @@ import numpy as np
 
 class WaveletTree:
     """Ranks of symbols in a sequence, a bit vector for each bit of a symbol
-    (the matrix layout: zeros go before ones at each level)."""
+    (the matrix layout: zeros go before ones at each level).  Bits are packed,
+    with a count of ones before each 64 of them: a bit and a half for a bit."""
 
     def __init__(self, seq: np.ndarray, bits: int):
         self.bits = bits
-        self.ones: list[np.ndarray] = []  # ones before each position
+        self.words: list[np.ndarray] = []
+        self.before: list[np.ndarray] = []
         self.zeros: list[int] = []
         for level in range(bits - 1, -1, -1):
             bit = (seq >> level & 1).astype(bool)
-            before = np.zeros(len(seq) + 1, np.int32)
-            np.cumsum(bit, out=before[1:])
-            self.ones.append(before)
-            self.zeros.append(len(seq) - int(before[-1]))
+            packed = np.zeros(8 * (len(seq) // 64 + 1), np.uint8)
+            packed[: (len(seq) + 7) // 8] = np.packbits(bit, bitorder="little")
+            words = packed.view("<u8")
+            before = np.zeros(len(words), np.int32)
+            np.cumsum(np.bitwise_count(words[:-1]), out=before[1:])
+            self.words.append(words)
+            self.before.append(before)
+            self.zeros.append(len(seq) - int(np.count_nonzero(bit)))
             seq = np.concatenate([seq[~bit], seq[bit]])
 
+    def _ones(self, level: int, at: np.ndarray) -> np.ndarray:
+        word, low = at >> 6, (np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)
+        return self.before[level][word] + np.bitwise_count(self.words[level][word] & low).astype(np.int64)
+
     def rank(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
         """How often ``symbol`` occurs before position ``at``."""
         start, end = np.zeros(len(at), np.int64), np.asarray(at, np.int64)
-        for k, (before, zeros) in enumerate(zip(self.ones, self.zeros, strict=True)):
+        for k, zeros in enumerate(self.zeros):
             one = (symbol >> (self.bits - 1 - k) & 1).astype(bool)
-            s, e = before[start], before[end]
+            s, e = self._ones(k, start), self._ones(k, end)
             start, end = np.where(one, zeros + s, start - s), np.where(one, zeros + e, end - e)
         return end - start
 
