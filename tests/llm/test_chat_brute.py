@@ -76,8 +76,9 @@ def text_of(row):
     return "user", "hello"
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_equals_the_model(spark, seed):
+@pytest.mark.parametrize("seed,row_calls", [(1, 256), (2, 0), (3, 5)])
+def test_equals_the_model(spark, monkeypatch, seed, row_calls):
+    monkeypatch.setattr(chat, "ROW_CALLS", row_calls)
     rng = random.Random(seed)
     talks = {k: conversation(rng) for k in range(150)}
     rows = [(k, r[0], *text_of(r)) for k, talk in talks.items() for r in talk]

@@ -1,5 +1,7 @@
 import json
 
+import pytest
+
 from tidemark.llm import chat, licenses
 
 
@@ -127,8 +129,10 @@ def test_calls_wait_for_results_they_need(spark):
     assert {r.kind for r in found if r.conv_id == 2} == {"cycle"}
 
 
-def test_long_chains_are_no_cycles(spark):
-    n = 150
+@pytest.mark.parametrize("row_calls", [256, 20])
+def test_long_chains_are_no_cycles(spark, monkeypatch, row_calls):
+    monkeypatch.setattr(chat, "ROW_CALLS", row_calls)
+    n = 200
     rows = [(1, k, "assistant", call((f"c{k}", "say", {"x": {"$result": f"c{k + 1}"}} if k < n - 1 else {}))) for k in range(n)]
     rows += [(1, n + k, "tool", result(f"c{k}")) for k in range(n)]
     rows += [(2, 0, "assistant", call(("a", "say", {"x": {"$result": "b"}}))), (2, 1, "assistant", call(("b", "say", {"x": {"$result": "a"}})))]

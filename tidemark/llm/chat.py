@@ -41,6 +41,10 @@ from pyspark.sql import functions as F
 from .common import columns, cut, map_rows, table
 
 
+#: Calls of a conversation that is ordered as one row.
+ROW_CALLS = 256
+
+
 def canonical(value: object) -> str:
     return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
 
@@ -240,28 +244,74 @@ def _call_node():
     return F.concat(F.lit("c"), F.col("call_id"))
 
 
+def order_calls(calls: list[tuple[str, int | None, list[str]]]) -> list[tuple[str, int | None, int | None]]:
+    """``node, depth, anchor`` of the turns and calls of one conversation that no
+    cycle leads to; ``calls`` are ``id, turn, needs``.  Linear in their size."""
+    turn_of = {id_: turn for id_, turn, _ in calls}
+    nodes: dict[tuple, list] = {("t", turn): [0, 0, turn] for turn in turn_of.values()}  # waits for so many, depth, anchor
+    after: dict[tuple, list[tuple]] = {node: [] for node in nodes}
+    for id_, turn, needs in calls:
+        nodes["c", id_], after["c", id_] = [1, 0, turn], []
+        after["t", turn].append(("c", id_))
+    for id_, turn, needs in calls:
+        for need in set(needs) & turn_of.keys():
+            node = ("c", id_) if turn_of[need] == turn else ("t", turn)
+            after["c", need].append(node)
+            nodes[node][0] += 1
+    ready, out = [n for n, state in nodes.items() if not state[0]], []
+    while ready:
+        node = ready.pop()
+        _, depth, anchor = nodes[node]
+        out.append((node[0] + ("" if node[1] is None else str(node[1])), depth, anchor))
+        for x in after[node]:
+            state = nodes[x]
+            state[0] -= 1
+            state[1] = max(state[1], depth + 1)
+            state[2] = state[2] if anchor is None or state[2] is not None and state[2] >= anchor else anchor
+            if not state[0]:
+                ready.append(x)
+    return out
+
+
 def _places(calls: DataFrame) -> DataFrame | None:
     """``cc, x, depth, anchor`` of turns with calls and of the calls' results;
     None if no call needs another.  A result
     comes after its call's turn; a turn after the results that any of its calls
-    needs; the result of a call that needs one of its own turn after that."""
+    needs; the result of a call that needs one of its own turn after that.
+
+    Conversations of at most ``ROW_CALLS`` calls are ordered as one row each;
+    longer ones as edges, in rounds, so that none is gathered in a task."""
     there = calls.select(F.col("cc").alias("nc"), F.col("call_id").alias("need"), F.col("call_turn").alias("need_turn"))
     needs = calls.select("cc", "call_id", "call_turn", F.explode("needs").alias("need"))
     needs = cut(needs.join(there, F.col("cc").eqNullSafe(F.col("nc")) & (needs["need"] == there["need"])).select("cc", "call_id", "call_turn", needs["need"], "need_turn"))
     if needs.isEmpty():
         return None
-    some = needs.select(F.col("cc").alias("nc")).distinct()
-    live = calls.join(some, F.col("cc").eqNullSafe(F.col("nc")), "left_semi")
+    kind = dict(calls.dtypes)
+    sizes = calls.groupBy("cc").agg(F.count("*").alias("n")).join(needs.select(F.col("cc").alias("nc")).distinct().withColumn("waits", F.lit(True)), F.col("cc").eqNullSafe(F.col("nc")), "left")
+    sizes = cut(sizes.select(F.col("cc").alias("sc"), "n", F.coalesce("waits", F.lit(False)).alias("waits")))
+    of = lambda which: calls.join(sizes.where(which), F.col("cc").eqNullSafe(F.col("sc")), "left_semi")
+    # conversations without needs take no part
+    rest = of("NOT waits")
+    place = lambda x, depth: rest.select("cc", x.alias("x"), F.lit(depth).cast("long").alias("depth"), F.col("call_turn").alias("anchor"))
+    plain = place(_turn_node(), 0).distinct().unionByName(place(_call_node(), 1))
+    rows = of(f"waits AND n <= {ROW_CALLS}").groupBy("cc").agg(F.collect_list(F.struct("call_id", "call_turn", "needs")).alias("calls"))
+
+    def make():
+        return lambda row: [(row[0], *node) for node in order_calls([(c["call_id"], c["call_turn"], c["needs"]) for c in row[1]])]
+
+    found = plain.unionByName(map_rows(rows, f"cc {kind['cc']}, x string, depth long, anchor {kind['call_turn']}", make))
+    if not sizes.where(f"waits AND n > {ROW_CALLS}").isEmpty():
+        found = found.unionByName(_rounds(of(f"waits AND n > {ROW_CALLS}"), needs.join(sizes.where(f"n > {ROW_CALLS}"), F.col("cc").eqNullSafe(F.col("sc")), "left_semi")))
+    return cut(found)
+
+
+def _rounds(live: DataFrame, needs: DataFrame) -> DataFrame:
     edge = lambda x, y, w: ("cc", x.alias("x"), y.alias("y"), F.lit(w).cast("long").alias("w"), F.col("call_turn").alias("a"))
     inside = F.col("need_turn").eqNullSafe(F.col("call_turn"))
     turns = live.select(*edge(_turn_node(), F.lit(None).cast("string"), 0))
     results = live.select(*edge(_call_node(), _turn_node(), 1))
     waits = needs.select(*edge(F.when(inside, _call_node()).otherwise(_turn_node()), F.concat(F.lit("c"), F.col("need")), 1))
-    found = _longest(turns.unionByName(results).unionByName(waits))
-    # conversations without needs take no part in the rounds
-    rest = calls.join(some, F.col("cc").eqNullSafe(F.col("nc")), "left_anti")
-    place = lambda x, depth: rest.select("cc", x.alias("x"), F.lit(depth).cast("long").alias("depth"), F.col("call_turn").alias("anchor"))
-    return found.unionByName(place(_turn_node(), 0).distinct()).unionByName(place(_call_node(), 1))
+    return _longest(turns.unionByName(results).unionByName(waits))
 
 
 def _longest(edges: DataFrame) -> DataFrame:
