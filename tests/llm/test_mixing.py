@@ -98,3 +98,42 @@ def test_empty(make_docs, odd):
 def test_no_python_in_the_plan(make_docs):
     plan = mixing.mix(make_docs([(1, "a b c")]))._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow", "Cartesian", "BroadcastNestedLoop"))
+
+
+def test_reruns_agree_on_rows_of_one_id(make_docs):
+    rows = [(7, f"text number {i} " + "w " * (i % 3), "en", "a") for i in range(40)] + [(7, "x y", "en", "a")] * 30 + [(None, "x y", "en", "b")] * 5 + [(8, "only one", "en", "c")]
+    first, second = (Counter(r.text for r in mixing.resample(make_docs(rows[::step]).repartition(n), block_words=4).select("text").collect()) for step, n in ((1, 3), (-1, 7)))
+    assert first == second
+    whole = [Counter(tuple(r) for r in mixing.mix(make_docs(rows[::step]).repartition(n), block_words=4).collect()) for step, n in ((1, 3), (-1, 7))]
+    assert whole[0] == whole[1] and sum(whole[0].values()) == len(rows)
+
+
+def test_slots(make_docs, spark):
+    rows = documents(3)
+    found = mixing.mix(make_docs(rows), block_words=16).collect()
+    assert all((r.first_slot is None) == (r.taken == 0) for r in found)
+    # every slot's words are somebody's
+    sizes = make_docs(rows).select("source", mixing.word_count("text").alias("size"))
+    slots = mixing.schedule(mixing.source_targets(sizes), 16).collect()
+    assert sum(s.words for s in slots) == sum(r.taken for r in found)
+    assert {r.first_slot for r in found if r.taken} <= {s.slot for s in slots}
+
+
+def test_output_is_in_the_order_of_the_schedule(make_docs):
+    rows = [r for r in documents(4) if r[0] not in (5, None)]
+    slot = {r.doc_id: r.first_slot for r in mixing.mix(make_docs(rows), block_words=16).collect()}
+    seen, firsts = set(), []
+    for r in mixing.resample(make_docs(rows), block_words=16).select("doc_id").collect():
+        if r.doc_id not in seen:
+            seen.add(r.doc_id)
+            firsts.append(slot[r.doc_id])
+    assert firsts == sorted(firsts)
+
+
+def test_totals_over_many_sources(spark):
+    rng = random.Random(1)
+    rows = [(f"s{i:04d}", rng.randrange(1, 50)) for i in range(500)] + [(None, 3)]
+    df = spark.createDataFrame(rows, "source string, size long").repartition(6)
+    found = {r.source: r for r in mixing.source_targets(df).collect()}
+    assert [found[n].k for n, _ in rows] == list(range(1, 502))
+    assert [found[n].target for n, _ in rows] == pytest.approx(brute_targets([s for _, s in rows]))

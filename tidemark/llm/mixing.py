@@ -13,15 +13,19 @@
 4. A source leaves the schedule when its target is met, to the word: its last
    block is cut, and what the schedule still owes it is appended.
 
-Positions in a source and ranks of slots are prefix sums in two levels, over
-hash buckets or stretches of slots and inside one, so a source that holds a
-third of all rows is spread over as many tasks as any other.
+Positions in a source, ranks of slots and totals over sources are prefix sums in
+two levels: over hash buckets, stretches of slots or ranges of sources, and
+inside one.  So neither a source that holds a third of all rows nor very many
+sources are one task's work.  Rows equal in id, text and source count as one
+with a number, for each input partition, until they are dealt their places.
 
 Defined results: null and empty texts have size 0 and are never taken; a null
 source is one source, the last; repeated rows are separate rows, each with its
-own position; a null id is an id like others; without any words all targets
-are 0; an empty table gives an empty result; columns other than the three
-named are never read.
+own position; a null id is an id like others; rows of one id are ordered by
+their texts' digests, so reruns agree whatever the order of the input; a very
+long text spans as many blocks as it needs; without any words all targets are 0;
+an empty table gives an empty result; columns other than the three named are
+never read.
 """
 
 from __future__ import annotations
@@ -48,42 +52,49 @@ def word_count(text: str = "text") -> Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def source_targets(sizes: DataFrame, max_repeats: int = 3, n_weights: int = 3) -> DataFrame:
-    """``source, k, source_size, weight, target`` of each source of ``source, size``.
+def prefix(rows: DataFrame, order: list[str], sums: dict[str, Column]) -> DataFrame:
+    """Adds the totals of ``sums`` over all rows before each one in ``order``, in
+    two levels: inside a range of rows, and over one row for each range."""
+    cut_ = cut(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    zero, upto = F.lit(0), (Window.unboundedPreceding, -1)
+    totals = cut_.groupBy("_range").agg(*[F.sum(c).alias(f"_{n}") for n, c in sums.items()])
+    over = Window.orderBy("_range").rowsBetween(*upto)
+    base = totals.select("_range", *[F.coalesce(F.sum(f"_{n}").over(over), zero).alias(f"_{n}") for n in sums])
+    inside = Window.partitionBy("_range").orderBy(*order).rowsBetween(*upto)
+    local = cut_.withColumns({n: F.coalesce(F.sum(c).over(inside), zero) for n, c in sums.items()})
+    return local.join(base, "_range").withColumns({n: F.col(n) + F.col(f"_{n}") for n in sums}).drop("_range", *[f"_{n}" for n in sums])
 
-    One row per source goes through a window; rows of documents do not.
-    """
-    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    order = Window.orderBy(F.col("source").isNull(), F.col("source"))
-    named = per.withColumn("k", F.row_number().over(order)).withColumn("weight", (F.col("k") - 1) % n_weights + 1)
-    everyone = Window.partitionBy()
-    fill = Window.orderBy(F.col("source_size") / F.col("weight"), "k")
-    before = fill.rowsBetween(Window.unboundedPreceding, -1)
-    levels = named.select(
-        "*",
-        F.sum("source_size").over(everyone).alias("all_words"),
-        F.sum("weight").over(everyone).alias("all_weight"),
-        (max_repeats * F.coalesce(F.sum("source_size").over(before), F.lit(0))).alias("full_words"),
-        F.coalesce(F.sum("weight").over(before), F.lit(0)).alias("full_weight"),
-    )
+
+def source_targets(sizes: DataFrame, max_repeats: int = 3, n_weights: int = 3) -> DataFrame:
+    """``source, k, source_size, weight, target`` of each source of ``source, size``."""
+    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size")).withColumn("last", F.col("source").isNull())
+    named = prefix(per, ["last", "source"], {"k": F.lit(1)}).withColumn("k", F.col("k") + 1)
+    named = named.withColumn("weight", (F.col("k") - 1) % n_weights + 1).withColumn("fill", F.col("source_size") / F.col("weight"))
+    filled = prefix(named, ["fill", "k"], {"full_words": max_repeats * F.col("source_size"), "full_weight": F.col("weight")})
+    filled = cut(filled)
+    words, weight = filled.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0))).first()
     # a source stays below its cap if the level without it and those that fill up after it is low enough
-    free = levels.withColumn("level", (F.col("all_words") - F.col("full_words")) / (F.col("all_weight") - F.col("full_weight")))
+    free = filled.withColumn("level", (F.lit(words) - F.col("full_words")) / (F.lit(weight) - F.col("full_weight")))
     is_free = F.col("level") * F.col("weight") <= max_repeats * F.col("source_size")
-    level = F.min(F.when(is_free, F.struct("full_weight", "level"))).over(everyone)["level"]
+    water = free.where(is_free).agg(F.min(F.struct("full_weight", "level")).alias("w")).first()["w"]
     cap = (max_repeats * F.col("source_size")).cast("double")
-    return free.withColumn("water", level).select("source", "k", "source_size", "weight", F.least(cap, F.coalesce(F.col("water") * F.col("weight"), cap)).alias("target"))
+    target = cap if water is None else F.least(cap, F.lit(water["level"]) * F.col("weight"))
+    return free.select("source", "k", "source_size", "weight", target.alias("target"))
 
 
 def positions(sized: DataFrame, seed: int = 0) -> DataFrame:
     """Adds ``start``: words of the source before the row in shuffled order.
-    ``sized`` has ``k, doc_id, size`` and more, rows of size 0 excluded."""
-    mixed = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
-    rows = sized.withColumn("h", mixed).withColumn("bucket", F.conv(F.substring("h", 1, 3), 16, 10).cast("int"))
+    ``sized`` has ``k, doc_id, digest, part, size, n`` (``n`` equal rows) and
+    more, rows of size 0 excluded; each of ``n`` becomes a row."""
+    name = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("digest"))
+    rows = sized.withColumn("h", F.md5(name.cast("binary"))).withColumn("bucket", F.conv(F.substring("h", 1, 3), 16, 10).cast("int"))
     before = lambda w: F.coalesce(F.sum(w[0]).over(w[1].rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    totals = rows.groupBy("k", "bucket").agg(F.sum("size").alias("t"))
+    words = F.col("size") * F.col("n")
+    totals = rows.groupBy("k", "bucket").agg(F.sum(words).alias("t"))
     base = totals.select("k", "bucket", before(("t", Window.partitionBy("k").orderBy("bucket"))).alias("base"))
-    local = rows.withColumn("local", before(("size", Window.partitionBy("k", "bucket").orderBy("h", "doc_id", "size"))))
-    return local.join(base, ["k", "bucket"]).withColumn("start", F.col("base") + F.col("local")).drop("h", "bucket", "base", "local")
+    local = rows.withColumn("local", before((words, Window.partitionBy("k", "bucket").orderBy("h", "doc_id", "size", "digest", "part"))))
+    placed = local.join(base, ["k", "bucket"]).withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    return placed.withColumn("start", F.col("base") + F.col("local") + F.col("copy") * F.col("size")).drop("h", "bucket", "base", "local", "copy", "n", "part")
 
 
 def schedule(targets: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -99,9 +110,9 @@ def schedule(targets: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     t = targets.where("target >= 1").select("k", "source_size", "target", F.floor("target").alias("goal"), n_blocks.alias("blocks"))
     t = cut(t.withColumn("need", laps * F.col("blocks") + F.ceil((F.col("goal") - laps * F.col("source_size")) / block_words)))
     n = t.agg(F.coalesce(F.sum("need"), F.lit(0))).first()[0]
-    order = Window.orderBy("k")
-    upper = F.round(F.sum("need").over(order) / max(1, n) * GRID).cast("long")
-    bounds = t.select("k", upper.alias("hi")).select("k", "hi", F.coalesce(F.lag("hi").over(order), F.lit(0)).alias("lo"))
+    edge = lambda x: F.round(x / max(1, n) * GRID).cast("long")
+    upto = prefix(t.select("k", "need"), ["k"], {"before": F.col("need")})
+    bounds = upto.select("k", edge(F.col("before") + F.col("need")).alias("hi"), edge(F.col("before")).alias("lo"))
     # intervals are found by the cells that they touch: an equi-join, of a few candidates for each cell
     width = GRID // CELLS
     cells = F.sequence(F.floor(F.col("lo") / width), F.floor((F.col("hi") - 1) / width))
@@ -115,8 +126,7 @@ def schedule(targets: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     ranked = hit.withColumn("local", local).join(counts, ["k", "stretch"]).select("slot", "k", (F.col("base") + F.col("local")).alias("rank"))
     had = counts.groupBy("k").agg(F.sum("c").alias("had"))
     owed = t.join(had, "k", "left").select("k", "need", F.coalesce("had", F.lit(0)).alias("had")).where("need > had")
-    owing = F.coalesce(F.sum(F.col("need") - F.col("had")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    tail = owed.withColumn("after", owing).select("k", "had", "after", F.explode(F.sequence("had", F.col("need") - 1)).alias("rank"))
+    tail = prefix(owed, ["k"], {"after": F.col("need") - F.col("had")}).select("k", "had", "after", F.explode(F.sequence("had", F.col("need") - 1)).alias("rank"))
     tail = tail.select((F.lit(n) + F.col("after") + F.col("rank") - F.col("had")).alias("slot"), "k", "rank")
     played = ranked.unionByName(tail).join(t, "k").where("rank < need")
     block = F.col("rank") % F.col("blocks")
@@ -126,49 +136,63 @@ def schedule(targets: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
 
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", max_repeats: int = 3, block_words: int = BLOCK_WORDS, seed: int = 0) -> DataFrame:
-    """``doc_id, size, source_size, target, taken`` of every row of ``docs``.
+    """``doc_id, size, source_size, target, taken, first_slot`` of every row.
 
     ``taken`` counts the words that the schedule plays of a row, repeats
-    included: the sum over the blocks that the row overlaps.
+    included: the sum over the blocks that the row overlaps.  ``first_slot`` is
+    the slot that first plays the row, null if none does.
     """
-    return _mixed(docs, doc_id, text, source, max_repeats, block_words, seed).select("doc_id", "size", "source_size", "target", "taken")
+    mixed = _mixed(docs, doc_id, text, source, max_repeats, block_words, seed)
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", F.get("slots", F.lit(0)).alias("first_slot"))
+
+
+def _digest(text: str) -> Column:
+    return F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))
 
 
-def _mixed(docs: DataFrame, doc_id: str, text: str, source: str, max_repeats: int, block_words: int, seed: int, *keys: Column) -> DataFrame:
-    """The columns of ``mix``, ``source``, and ``keys`` of the rows of ``docs``."""
+def _mixed(docs: DataFrame, doc_id: str, text: str, source: str, max_repeats: int, block_words: int, seed: int) -> DataFrame:
+    """The columns of ``mix``, ``source, digest``, and ``slots``: those that begin
+    to play the row, one for each time."""
     read = columns(docs, doc_id, text, source).toDF("doc_id", "text", "source")
-    sized = cut(read.select("doc_id", word_count("text").alias("size"), "source", *keys))
-    more = sized.columns[3:]
-    targets = cut(source_targets(sized, max_repeats))
+    rows = read.select("doc_id", word_count("text").alias("size"), "source", _digest("text").alias("digest"), F.spark_partition_id().alias("part"))
+    sized = cut(rows.groupBy("doc_id", "size", "source", "digest", "part").agg(F.count("*").alias("n")))
+    targets = cut(source_targets(sized.select("source", (F.col("size") * F.col("n")).alias("size")), max_repeats))
     named = targets.select("k", F.col("source").alias("named"), "source_size", "target")
-    keyed = sized.join(named, F.col("source").eqNullSafe(F.col("named"))).select("k", "doc_id", "size", *more)
-    placed = positions(keyed.where("size > 0"), seed)
-    plays = schedule(targets, block_words).groupBy("k", "block", "words").agg(F.count("*").alias("times"))
+    keyed = sized.join(named, F.col("source").eqNullSafe(F.col("named"))).drop("source", "named")
+    row = ["k", "doc_id", "size", "digest", "start"]
+    placed = positions(keyed.where("size > 0").drop("source_size", "target"), seed)
+    # a block is played once for each lap: at most max_repeats times and a part
+    plays = schedule(targets, block_words).groupBy("k", "block").agg(F.array_sort(F.collect_list(F.struct("slot", "words"))).alias("plays"))
     blocks = F.sequence(F.floor(F.col("start") / block_words), F.floor((F.col("start") + F.col("size") - 1) / block_words))
-    row = ["k", "doc_id", "size", "start", *more]
     pieces = placed.select(*row, F.explode(blocks).alias("block"))
     from_ = F.greatest(F.col("start"), F.col("block") * block_words)
-    to = F.least(F.col("start") + F.col("size"), F.col("block") * block_words + F.col("words"))
-    taken = pieces.join(plays, ["k", "block"], "left").select(*row, (F.greatest(to - from_, F.lit(0)) * F.col("times")).alias("w"))
-    taken = taken.groupBy(*row).agg(F.coalesce(F.sum("w"), F.lit(0)).cast("long").alias("taken")).drop("start")
-    none = keyed.where("size = 0").withColumn("taken", F.lit(0).cast("long"))
+    to = lambda p: F.least(F.col("start") + F.col("size"), F.col("block") * block_words + p["words"])
+    own = F.filter("plays", lambda p: to(p) > from_)
+    words = F.aggregate(own, F.lit(0).cast("long"), lambda a, p: a + to(p) - from_)
+    begins = F.when(F.col("block") == F.floor(F.col("start") / block_words), F.transform(own, lambda p: p["slot"]))
+    taken = pieces.join(plays, ["k", "block"], "left").select(*row, words.alias("w"), begins.alias("slots"))
+    taken = taken.groupBy(*row).agg(F.coalesce(F.sum("w"), F.lit(0)).alias("taken"), F.max("slots").alias("slots")).drop("start")
+    none = keyed.where("size = 0").select("k", "doc_id", "size", "digest", F.explode(F.sequence(F.lit(1), "n"))).drop("col")
+    none = none.withColumn("taken", F.lit(0).cast("long")).withColumn("slots", F.lit(None).cast("array<long>"))
     return taken.unionByName(none).join(named.withColumnRenamed("named", "source"), "k").drop("k")
 
 
 def resample(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", max_repeats: int = 3, block_words: int = BLOCK_WORDS, seed: int = 0) -> DataFrame:
-    """Rows of ``docs`` as often as the mix takes them, whole, all columns.
+    """Rows of ``docs`` as often as the mix takes them, whole, all columns, in
+    the order of the schedule (ranges of slots, sorted inside).
 
     Copies are the words taken over the row's size, rounded; they differ from
     the mix by one document for each source at most.  Rows equal in id, text
     and source share what is taken of them.
     """
-    hashed = F.xxhash64("text").alias("_key_text")
-    mixed = _mixed(docs, doc_id, text, source, max_repeats, block_words, seed, hashed)
-    per_key = mixed.where("size > 0").groupBy("doc_id", "source", "_key_text").agg(F.round(F.sum("taken") / F.sum("size")).cast("int").alias("_copies")).where("_copies > 0")
-    kept = per_key.toDF("_kept_id", "_kept_source", "_kept_text", "_copies")
-    same = F.col(f"`{doc_id}`").eqNullSafe(F.col("_kept_id")) & F.col(f"`{source}`").eqNullSafe(F.col("_kept_source")) & (F.xxhash64(F.col(f"`{text}`")) == F.col("_kept_text"))
-    played = docs.join(kept, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies")))
-    return played.select(*[F.col(f"`{c}`") for c in docs.columns])
+    mixed = _mixed(docs, doc_id, text, source, max_repeats, block_words, seed)
+    slots = F.array(*[F.min(F.get("slots", F.lit(lap))) for lap in range(max_repeats + 1)])
+    per_key = mixed.where("size > 0").groupBy("doc_id", "source", "digest").agg(F.round(F.sum("taken") / F.sum("size")).cast("int").alias("copies"), slots.alias("slots")).where("copies > 0")
+    kept = per_key.select(F.col("doc_id").alias("_kept_id"), F.col("source").alias("_kept_source"), F.col("digest").alias("_kept_text"), F.slice("slots", F.lit(1), F.col("copies")).alias("_slots"))
+    body = F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary")
+    same = F.col(f"`{doc_id}`").eqNullSafe(F.col("_kept_id")) & F.col(f"`{source}`").eqNullSafe(F.col("_kept_source")) & (F.md5(body) == F.col("_kept_text"))
+    played = docs.join(kept, same).withColumn("_slot", F.explode("_slots"))
+    return played.repartitionByRange("_slot").sortWithinPartitions("_slot").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -177,7 +201,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE_SQL = r"""
 WITH d AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents
+  SELECT doc_id, source, md5(coalesce(text, '')) AS digest, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents
 ), s AS (
   SELECT source, sum(size) AS source_size, (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1 AS w FROM d GROUP BY source
 ), l AS (
@@ -187,13 +211,37 @@ WITH d AS (
   FROM s
 ), t AS (
   SELECT source, source_size, least(3 * source_size::DOUBLE, (SELECT arg_min(level, o) FROM l WHERE level * w <= 3 * source_size) * w) AS target FROM l
+), n AS (
+  SELECT *, row_number() OVER (ORDER BY source IS NULL, source) AS k, floor(target)::BIGINT AS goal, ceil(source_size / 256)::BIGINT AS blocks FROM t
+), g AS (
+  SELECT *, (goal // source_size * blocks + ceil((goal % source_size) / 256))::BIGINT AS need FROM n WHERE target >= 1
+), e AS (
+  SELECT *, round(sum(need) OVER (ORDER BY k) / sum(need) OVER () * 2147483648)::BIGINT AS hi,
+         round((sum(need) OVER (ORDER BY k) - need) / sum(need) OVER () * 2147483648)::BIGINT AS lo FROM g
+), slots AS (
+  SELECT i AS slot, (i % 2147483648 * 1327217885) % 2147483648 AS point FROM range((SELECT coalesce(sum(need), 0)::BIGINT FROM g)) r(i)
+), hit AS (
+  SELECT slot, k, need, blocks, source_size, goal, row_number() OVER (PARTITION BY k ORDER BY slot) - 1 AS rank FROM slots JOIN e ON point >= lo AND point < hi
+), had AS (
+  SELECT g.k, need, blocks, source_size, goal, count(hit.slot) AS had FROM g LEFT JOIN (SELECT k, slot FROM hit) hit ON hit.k = g.k GROUP BY ALL
+), owed AS (
+  SELECT *, sum(need - had) OVER (ORDER BY k) - (need - had) AS after FROM had WHERE need > had
+), played AS (
+  SELECT slot, k, blocks, source_size, goal, rank FROM hit WHERE rank < need
+  UNION ALL SELECT (SELECT count(*) FROM slots) + after + rank - had, k, blocks, source_size, goal, rank FROM (SELECT *, unnest(range(had, need)) AS rank FROM owed)
+), plays AS (
+  SELECT slot, k, rank % blocks AS block,
+         least(256, source_size - rank % blocks * 256, goal - rank // blocks * source_size - rank % blocks * 256) AS words FROM played
 ), p AS (
-  SELECT doc_id, size, source_size, target,
-         coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY md5('0:' || doc_id), size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+  SELECT row_number() OVER () AS r, doc_id, size, source_size, target, k,
+         coalesce(sum(size) OVER (PARTITION BY k ORDER BY md5('0:' || coalesce(doc_id::VARCHAR, '') || ':' || digest), doc_id, size, digest ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS a
+  FROM d JOIN n ON d.source IS NOT DISTINCT FROM n.source
+), w AS (
+  SELECT r, x.block, slot, least(a + size, x.block * 256 + words) - greatest(a, x.block * 256) AS w, x.block = a // 256 AS first
+  FROM (SELECT *, unnest(range(a // 256, (a + size - 1) // 256 + 1)) AS block FROM p WHERE size > 0) x JOIN plays USING (k, block)
+), s2 AS (
+  SELECT r, sum(w) AS taken, min(slot) FILTER (WHERE first) AS first_slot FROM w WHERE w > 0 GROUP BY r
 )
-SELECT doc_id, size, source_size::BIGINT AS source_size, target::DOUBLE AS target,
-       CASE WHEN size = 0 THEN 0 ELSE (size * (floor(target)::BIGINT // source_size::BIGINT)
-         + greatest(0, least(a + size, floor(target)::BIGINT % source_size::BIGINT) - a)) END::BIGINT AS taken
-FROM p
+SELECT doc_id, size, source_size::BIGINT AS source_size, target::DOUBLE AS target, coalesce(taken, 0)::BIGINT AS taken, first_slot::BIGINT AS first_slot
+FROM p LEFT JOIN s2 USING (r)
 """
