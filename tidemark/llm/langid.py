@@ -11,8 +11,10 @@ predictions cover every word of every text.
 
 Defined results: a null text, or one without any letter, is ``und`` with score
 0; so is everything if there is nothing to learn from; ties go to the language
-first in code point order; repeated rows are judged one by one; empty tables
-give an empty result; other columns are never read.
+first in code point order; languages beyond ``MAX_LANGS``, by labelled rows, are
+not learned; a row with a null id is never held out; a very long text is
+labelled whole, in blocks of characters and one Viterbi; repeated rows are judged
+one by one; empty tables give an empty result; other columns are never read.
 """
 
 from __future__ import annotations
@@ -33,6 +35,9 @@ from .common import columns, id_bucket, rows_of, small_batches, table
 UNKNOWN = "und"
 #: Rows to learn from for each language, in expectation.
 TRAIN_ROWS = 3000
+#: Languages to learn: those with most labelled rows.  A language is half a
+#: megabyte of the model.
+MAX_LANGS = 256
 #: Log-odds a switch between two neighbouring words must earn.
 SWITCH_PENALTY = 12.0
 #: A language's candidates are the scripts of at least this share of its letters.
@@ -130,23 +135,24 @@ def viterbi(emissions: np.ndarray, sizes: np.ndarray, penalty: float = SWITCH_PE
     All texts advance together, longest first, so a step is one array operation.
     """
     n_lang = emissions.shape[1]
+    kind = np.min_scalar_type(max(0, n_lang - 1))
     order = np.argsort(-sizes, kind="stable")
     offsets = (np.cumsum(sizes) - sizes)[order]
     active = np.searchsorted(-sizes[order], -np.arange(1, int(sizes.max(initial=0)) + 1), side="right")
-    came = np.empty(emissions.shape, np.uint8)
-    label = np.empty(len(emissions), np.uint8)
-    own = np.arange(n_lang, dtype=np.uint8)
+    came = np.empty(emissions.shape, kind)
+    label = np.empty(len(emissions), kind)
+    own = np.arange(n_lang, dtype=kind)
     state = np.zeros((len(order), n_lang), np.float32)
     for t, n in enumerate(active.tolist()):
         s = state[:n]
         best = s.max(axis=1)
         switch = best - np.float32(penalty)
         at = offsets[:n] + t
-        came[at] = np.where(s >= switch[:, None], own, s.argmax(axis=1).astype(np.uint8)[:, None])
+        came[at] = np.where(s >= switch[:, None], own, s.argmax(axis=1).astype(kind)[:, None])
         np.maximum(s, switch[:, None], out=s)
         s -= best[:, None]
         s += emissions[at]
-    last = state.argmax(axis=1).astype(np.uint8)
+    last = state.argmax(axis=1).astype(kind)
     for t in range(len(active) - 1, -1, -1):
         n = active[t]
         at = offsets[:n] + t
@@ -192,7 +198,7 @@ def identify(texts: list[str | None], model: Model, with_spans: bool = True) ->
     label = viterbi(np.concatenate(emissions), sizes)
     weight = np.concatenate(letters)
     n = len(model.langs)
-    share = np.bincount(np.repeat(np.arange(len(texts)), sizes) * n + label, weights=weight, minlength=len(texts) * n).reshape(-1, n)
+    share = np.bincount(np.repeat(np.arange(len(texts)), sizes) * n + label.astype(np.int64), weights=weight, minlength=len(texts) * n).reshape(-1, n)
     best, total = share.argmax(axis=1), share.sum(axis=1)
     ends = np.cumsum(sizes)
     out = []
@@ -211,16 +217,17 @@ def identify(texts: list[str | None], model: Model, with_spans: bool = True) ->
 
 def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     """A model from ``docs`` (``doc_id, text, lang``), at most about ``rows``
-    rows a language.  The driver gets the counts of each language's buckets,
-    ``2 << BUCKET_BITS`` at most, and of its scripts."""
+    rows a language, of ``MAX_LANGS`` languages.  The driver gets the counts of
+    each language's buckets, ``2 << BUCKET_BITS`` at most, and of its scripts."""
     small_batches(docs.sparkSession)
     known = docs.where("lang IS NOT NULL AND text IS NOT NULL")
-    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
+    often = known.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(MAX_LANGS)
+    sizes = {r["lang"]: r["count"] for r in often.collect()}
     if not sizes:
         return Model([], np.empty((0, 0)), np.empty((0, 0)), np.empty((len(SCRIPT_NAMES), 0), bool))
     share = F.create_map(*[F.lit(x) for k, v in sizes.items() for x in (k, min(1.0, rows / v))])
     dice = F.pmod(F.xxhash64("doc_id", F.lit(21)), F.lit(1_000_000)) / 1_000_000
-    sample = known.where(F.coalesce(dice, F.lit(0.0)) < share[F.col("lang")]).select("text", "lang")
+    sample = known.where(F.coalesce(dice, F.lit(0.0)) < F.coalesce(share[F.col("lang")], F.lit(0.0))).select("text", "lang")
     size = 1 << BUCKET_BITS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -293,4 +300,4 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = train(columns(docs, "doc_id", "text", "lang").where(id_bucket("doc_id", 5) != 0))
     found = identify_languages(docs, model)
-    return found.select("doc_id", (id_bucket("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score", F.size("spans").cast("long").alias("n_spans"))
+    return found.select("doc_id", F.coalesce(id_bucket("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score", F.size("spans").cast("long").alias("n_spans"))
