@@ -180,3 +180,55 @@ def test_odd_turns(spark):
     assert [r.message for r in found if r.conv_id is None] == ['{"content":"é\\n\\"x\\"","role":"user"}'] * 2
     assert chat.format_chats(spark.createDataFrame(rows, TURNS)).count() == len(rows)
     assert chat.format_chats(spark.createDataFrame([], TURNS)).count() == 0
+
+
+def brute_windows(text):
+    """Best coefficient of each template over all windows of the text."""
+    import re
+
+    plain = lambda u: re.sub(licenses.GAP, " ", u.lower()).strip()
+    whole = {plain(v) for v in licenses.TEMPLATES.values()}
+    words = " ".join(u for u in map(plain, (text or "").split("\n")) if u and u not in whole).split()
+    run = [f"{a} {b}" for a, b in zip(words, words[1:])]
+    out = {}
+    for name, t in licenses.TEMPLATES.items():
+        b = set(licenses.template_bigrams(t))
+        best = 0
+        for i in range(len(run)):
+            seen, shared = set(), 0
+            for j in range(i, min(len(run), i + int(len(b) * 1.5 + 1e-9))):
+                if run[j] not in seen:
+                    seen.add(run[j])
+                    shared += run[j] in b
+                best = max(best, 2 * shared / (len(seen) + len(b)))
+        if best >= licenses.THRESHOLD:
+            out[name] = round(best, 9)
+    return out
+
+
+def test_windows_equal_brute_force(make_docs):
+    import random
+
+    rng = random.Random(4)
+    prose = "the software of this text may be used in many ways by persons who like words and notices of copyright".split()
+    rows = []
+    for i in range(24):
+        words = rng.choice(sorted(licenses.TEMPLATES.values())).split()
+        for _ in range(rng.randrange(0, 1 + len(words) // 6)):  # cut, change and swell the notice
+            at = rng.randrange(len(words))
+            words[at : at + 1] = rng.choice([[], ["changed"], [words[at], "extra"]])
+            words = words or ["none"]
+        around = [" ".join(rng.choice(prose) for _ in range(rng.randrange(0, 30))) for _ in range(2)]
+        rows.append((i, f"{around[0]} {' '.join(words)} {around[1]}".replace(". ", rng.choice([". ", ".\n * "]))))
+    rows.append((90, "# " + licenses.TEMPLATES["Apache-2.0-header"] + "\nint main() { return 0; }"))
+    found = {r.doc_id: {m.license: round(m.dice, 9) for m in r.embedded} for r in licenses.scan(make_docs(rows)).collect()}
+    assert found == {i: brute_windows(t) for i, t in rows}
+    assert sum(map(bool, found.values())) > 15
+    best = {r.doc_id: r.license for r in licenses.best_license(licenses.scan(make_docs(rows))).collect()}
+    assert best[90] == "Apache-2.0-header"
+
+
+def test_whole_texts(make_docs):
+    bsd = licenses.TEMPLATES["BSD-2-Clause-text"].replace(" 1. ", "\n\n1. ").replace(" 2. ", "\n2. ").replace(" THIS", "\n\nTHIS")
+    found = licenses.best_license(licenses.scan(make_docs([(1, "Copyright 2020 A. Person\n\n" + bsd + "\n\nsome code follows here")]))).first()
+    assert found.license in ("BSD-2-Clause-text", "BSD-redistribution") and found.dice > 0.95
