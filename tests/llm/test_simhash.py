@@ -110,3 +110,36 @@ def test_deduplicate(make_docs):
     assert sorted(r.doc_id for r in kept.collect()) == [0, 1, 2, 3, 4, 30]
     assert kept.columns == make_docs([]).columns
     assert simhash.deduplicate(make_docs([])).count() == 0
+
+
+def test_groups_that_no_vantage_point_divides(monkeypatch):
+    monkeypatch.setattr(simhash, "LEAF", 4)
+    rng = random.Random(6)
+    centre = rng.getrandbits(64)
+    for flips in (4, 6, 9):
+        fps = []
+        for _ in range(400):
+            fp = centre
+            for b in rng.sample(range(64), flips):
+                fp ^= 1 << b
+            fps.append(fp)
+        fps = sorted(set(fps))
+        a, b = simhash.dense_stars(np.array(fps, np.uint64), np.arange(64))
+        expected = brute_components({f: f for f in fps})
+        parent = {f: f for f in fps}
+
+        def find(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for x, y in zip(a.tolist(), b.tolist(), strict=True):
+            x, y = sorted((find(x), find(y)))
+            parent[y] = x
+        assert {f: find(f) for f in fps} == expected
+
+
+def test_one_row_of_rows_alike_is_the_same_one(spark):
+    rows = [(1, "a b c d", n) for n in (3, 1, 2)] + [(2, "other words here", 9)]
+    kept = [sorted(tuple(r) for r in simhash.deduplicate(spark.createDataFrame(rows[::step], "doc_id long, text string, more int")).collect()) for step in (1, -1)]
+    assert kept[0] == kept[1] and len(kept[0]) == 2

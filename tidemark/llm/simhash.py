@@ -19,7 +19,8 @@ each of their components in place of all pairs, and components are joined up
 by large-star and small-star rounds over the edges.
 
 Defined results: a null or empty text, or one without words, has fingerprint
-zero and links like any other; fewer than three words are one shingle; a null
+zero and links like any other; fewer than three words are one shingle; a very
+long text is fingerprinted whole, in blocks of shingles; a null
 id takes part but can't name a component unless all of its ids are null;
 repeated rows share a component; an empty table gives an empty result; other
 columns are never read.
@@ -47,6 +48,8 @@ SEED = 42
 #: Fingerprints of a leaf aimed at, and those that the driver builds trees from.
 LEAF = 1024
 TREE_SAMPLE = 100_000
+#: Leaves of work that a group may be to be searched pair by pair.
+BLOCKED = 4
 #: Levels of the trees that are broadcast: 65,535 nodes of six bytes each, at
 #: most.  Larger leaves are split further by the task that searches them.
 MAX_DEPTH = 16
@@ -170,7 +173,7 @@ def tree_stars(fps: np.ndarray, shift: int) -> tuple[np.ndarray, np.ndarray]:
     """``leaf_stars`` of a leaf of any size, which is split further over the
     same half (``shift``: its first bit) if it is large."""
     fps = np.unique(fps)
-    if len(fps) <= 4 * LEAF:
+    if len(fps) <= BLOCKED * LEAF:
         return leaf_stars(fps)
     halves = (fps >> np.uint64(shift)).astype(np.uint32)
     depth = math.ceil(math.log2(len(fps) / LEAF))
@@ -178,10 +181,31 @@ def tree_stars(fps: np.ndarray, shift: int) -> tuple[np.ndarray, np.ndarray]:
     row, leaf = VantageTree(sample, depth, len(fps)).route(halves)
     order = np.argsort(leaf, kind="stable")
     row, leaf = row[order], leaf[order]
-    found = [leaf_stars(fps[part]) for part in np.split(row, np.flatnonzero(leaf[1:] != leaf[:-1]) + 1)]
+    found = [dense_stars(fps[part], np.arange(64)) for part in np.split(row, np.flatnonzero(leaf[1:] != leaf[:-1]) + 1)]
     return np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found])
 
 
+def dense_stars(fps: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``leaf_stars`` of a group that no vantage point divides; ``bits`` are
+    those in which its members may differ.
+
+    Cut into ``RADIUS + 1`` stretches, one at least is equal in a linked pair, so
+    links lie among members equal in a stretch, which may differ in the others
+    only.  So many bits as are left bound the distinct members of a group."""
+    if len(fps) <= BLOCKED * LEAF:
+        return leaf_stars(fps)
+    found = []
+    for stretch in np.array_split(bits, RADIUS + 1):
+        mask = np.bitwise_or.reduce(np.uint64(1) << stretch.astype(np.uint64))
+        part = fps & mask
+        order = np.argsort(part, kind="stable")
+        cuts = np.flatnonzero(np.diff(part[order])) + 1
+        rest = np.setdiff1d(bits, stretch)
+        found += [dense_stars(fps[own], rest) for own in np.split(order, cuts) if len(own) > 1]
+    none = np.empty(0, fps.dtype)
+    return np.concatenate([none, *[a for a, _ in found]]), np.concatenate([none, *[b for _, b in found]])
+
+
 def links(distinct: DataFrame, fp: str = "fp") -> DataFrame:
     """Edges ``a, b`` that connect exactly the fingerprints linked, directly or
     through others, at ``RADIUS`` or fewer bits.  ``distinct``: one row each."""
@@ -262,8 +286,10 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     names = [F.col(f"`{c}`") for c in docs.columns]
     if kept.where("kept_n > 1").isEmpty():
         return found.select(*names)
-    again = found.where("kept_n > 1").dropDuplicates(["_key_id", "_key_text"])
-    return found.where("kept_n = 1").unionByName(again).select(*names)
+    # rows equal in id and text: the one whose other columns have the least hash
+    alike = found.where("kept_n > 1").groupBy("_key_id", "_key_text").agg(F.min_by(F.struct(*names), F.xxhash64(*names)).alias("_row"))
+    again = alike.select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
+    return found.where("kept_n = 1").select(*names).unionByName(again)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
