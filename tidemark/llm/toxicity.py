@@ -1,25 +1,33 @@
 """Operator 2: toxic passages as maximum-scoring segments of token log-odds.
 
-Training, on a bounded sample of labelled rows: counts of the contexts of words
-and of word beginnings in toxic and in clean texts give log-odds ratios with
-an informative Dirichlet prior (the background frequency of the token), kept
-where they are ``MIN_Z`` standard deviations above zero and, drawn towards
-zero by ``SHRINK`` of them, still ``MIN_WEIGHT``.  A word without an
-entry takes that of its longest beginning with one, else the neutral drift,
-which is negative.
+Training, on a bounded sample of labelled rows, one text for each id.  Four
+folds of five give counts of the contexts of words in toxic and in clean texts;
+log-odds ratios with an informative Dirichlet prior (the background frequency of
+the token) are kept, positive or negative, where they are ``MIN_Z`` standard
+deviations from zero and, drawn towards zero by ``SHRINK`` of them, still
+``MIN_WEIGHT``.  Words come first, then their beginnings, longest first, each
+counted over words that nothing longer explains.  A word without an entry takes
+that of its longest beginning with one, else the neutral drift, which is negative.
+
+The fifth fold, which these log-odds did not see, calibrates the extreme-value
+law of Karlin and Altschul on its clean texts.  The root of
+``E exp(lambda s) = 1`` over their word scores counts as one observation of
+lambda; with the excess of their best segments over the least positive score it
+gives the likeliest lambda and K (texts without a segment are censored there).
+A segment's score becomes bits above what a clean text of that length
+shows by chance; the sum over significant segments goes through a logistic curve
+fitted on the same fold.  The model that was calibrated is the one that scores.
 
 Scoring, over every whole text: one linear scan (Ruzzo and Tompa) finds all
-maximal scoring segments; each one's score becomes bits above what a clean
-text of that length would show by chance (the extreme-value law of Karlin and
-Altschul; lambda comes from the scores of clean words); the sum over
-significant segments goes through a logistic curve fitted on sampled rows that
-the log-odds of that fit did not see.
+maximal scoring segments.
 
 Defined results: null, empty and word-less texts have no segment and get the
-score of any text without one; rows without label or with a null label teach
-nothing; without rows of both classes every score is 0; repeated rows are
-scored one by one; empty tables give an empty result; other columns are never
-read.
+score of any text without one; rows without label, with a null label or with
+both labels teach nothing; of several texts with one labelled id the one with
+the least hash teaches; without rows of both classes every score is 0; a row
+with a null id is never held out; a very long text is scored whole; repeated
+rows are scored one by one; empty tables give an empty result; other columns are
+never read.
 """
 
 from __future__ import annotations
@@ -36,10 +44,14 @@ from pyspark.sql import functions as F
 
 from .common import columns, cut, id_bucket, map_rows, rows_of, small_batches, table
 
-#: Labelled rows to learn from, of both classes together, in expectation.
-SAMPLE_ROWS = 16_000
-#: Tokens of the model at most.
-MODEL_TOKENS = 50_000
+#: Labelled rows to learn from, of both classes together, and characters of their
+#: texts, in expectation.  They bound the model: a token enters it only with
+#: several contexts in the sample.
+SAMPLE_ROWS = 20_000
+SAMPLE_CHARS = 100_000_000
+#: Folds of the sample; the first one calibrates.
+FOLDS = 5
+# Chosen by cross-validation over rows that may be learned from.
 MIN_Z = 3.0
 MIN_WEIGHT = 1.0
 #: Standard deviations by which log-odds are drawn towards zero.
@@ -47,10 +59,9 @@ SHRINK = 2.0
 #: The prior's weight against the data.
 PRIOR_SHARE = 0.1
 #: Score of a word of which nothing is known.
-DRIFT = -0.1
+DRIFT = -0.3
 #: Beginnings of words, in bytes, longest first.
 BEGINNINGS = (7, 6, 5, 4)
-KARLIN_K = 0.1
 THRESHOLD = 0.3
 
 _FOLD = bytes(b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else 0x20 for b in range(256))
@@ -93,7 +104,8 @@ class Model:
     """What scoring needs; a few megabytes at most."""
 
     weights: dict[bytes, float]
-    scale: float = 1.0
+    scale: float = 1.0  # lambda
+    k: float = 0.1
     curve: tuple[float, float] = (-50.0, 0.0)
 
     def word(self, word: bytes) -> float:
@@ -104,7 +116,7 @@ class Model:
         return DRIFT
 
     def bits(self, segment_score: float, n: int) -> float:
-        return self.scale * segment_score - math.log(KARLIN_K * max(n, 1 / KARLIN_K))
+        return self.scale * segment_score - math.log(max(1.0, self.k * n))
 
     def evidence(self, passages: list[tuple[int, int, float]]) -> float:
         return math.log1p(sum(b for _, _, b in passages))
@@ -138,26 +150,31 @@ class Scorer(dict):
         return self.significant(self.scores(text))
 
     def significant(self, s: np.ndarray) -> list[tuple[int, int, float]]:
-        high = np.flatnonzero(s > 0)
-        if not len(high):
-            return []
-        # what lies between two positive words is one negative step for the scan
-        sums = np.concatenate([[0.0], np.cumsum(s)])
-        steps, at = [float(s[high[0]])], [int(high[0])]
-        for a, b in zip(high[:-1].tolist(), high[1:].tolist(), strict=True):
-            if b > a + 1:
-                steps.append(float(sums[b] - sums[a + 1]))
-                at.append(a + 1)
-            steps.append(float(s[b]))
-            at.append(b)
-        found = [(at[a], at[b - 1] + 1, self.model.bits(score, len(s))) for a, b, score in maximal_segments(steps)]
-        return [x for x in found if x[2] > 0]
-
-
-def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """``text, toxic, fold`` of about ``rows`` labelled rows, at most half of
+        bits = [(a, b, self.model.bits(score, len(s))) for a, b, score in segments(s)]
+        return [x for x in bits if x[2] > 0]
+
+
+def segments(s: np.ndarray) -> list[tuple[int, int, float]]:
+    """``maximal_segments`` of an array of scores, few of which are positive."""
+    high = np.flatnonzero(s > 0)
+    if not len(high):
+        return []
+    # what lies between two positive words is one negative step for the scan
+    sums = np.concatenate([[0.0], np.cumsum(s)])
+    steps, at = [float(s[high[0]])], [int(high[0])]
+    for a, b in zip(high[:-1].tolist(), high[1:].tolist(), strict=True):
+        if b > a + 1:
+            steps.append(float(sums[b] - sums[a + 1]))
+            at.append(a + 1)
+        steps.append(float(s[b]))
+        at.append(b)
+    return [(at[a], at[b - 1] + 1, score) for a, b, score in maximal_segments(steps)]
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> DataFrame:
+    """``text, toxic, fold`` of about ``rows`` labelled ids, at most half of
     them of one class if the other has enough.  ``labels``: ``doc_id, toxic``."""
-    known = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").distinct()
+    known = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("other")).where("toxic = other").drop("other")
     sizes = {r[0]: r[1] for r in known.groupBy("toxic").count().collect()}
     share = {}
     for kind in (0, 1):
@@ -165,69 +182,73 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS)
         share[kind] = min(1.0, room / max(1, sizes.get(kind, 0)))
     dice = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000))
     chosen = known.where(dice < F.when(F.col("toxic") == 1, share[1] * 1_000_000).otherwise(share[0] * 1_000_000))
-    fold = F.pmod(F.xxhash64("doc_id", F.lit(12)), F.lit(3)).cast("int")
+    fold = F.pmod(F.xxhash64("doc_id", F.lit(12)), F.lit(FOLDS)).cast("int")
     # some ten thousand pairs of numbers: bounded by `rows`, whatever the tables hold
-    return docs.join(F.broadcast(chosen), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic"), fold.alias("fold"))
+    texts = docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("x"))
+    sample = cut(texts.select(F.col("x.text").alias("text"), F.col("toxic").cast("int").alias("toxic"), fold.alias("fold"), F.pmod(F.xxhash64("doc_id", F.lit(13)), F.lit(1_000_000)).alias("dice")))
+    total = sample.agg(F.sum(F.length("text"))).first()[0] or 0
+    return (sample if total <= chars else sample.where(F.col("dice") < int(1_000_000 * chars / total))).drop("dice")
 
 
-def token_counts(sample: DataFrame) -> DataFrame:
-    """``token, t0, c0, t, c``: contexts of the token in toxic and in clean
-    texts, in folds other than 0 and in all.
+def word_counts(texts: DataFrame) -> DataFrame:
+    """``word, t, c``: contexts of the word in toxic and in clean texts of
+    ``text, toxic``.
 
     A context is the word before it: copies of one text, however many and
     however slightly edited, repeat the contexts of their words and so count
     about once, while words used in many texts have many contexts.
     """
-    small_batches(sample.sparkSession)
+    small_batches(texts.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[tuple[bytes, bytes], int] = {}
 
         def flush() -> pa.RecordBatch:
             bits = np.fromiter(seen.values(), np.int64, len(seen))
-            cols = [pa.array([w for w, _ in seen], pa.binary()), pa.array([crc32(p) for _, p in seen], pa.int64()), *[pa.array(bits >> k & 1) for k in range(4)]]
+            cols = [pa.array([w for w, _ in seen], pa.binary()), pa.array([crc32(p) for _, p in seen], pa.int64()), pa.array(bits >> 1), pa.array(bits & 1)]
             seen.clear()
-            return pa.RecordBatch.from_arrays(cols, ["word", "before", "t0", "c0", "t", "c"])
+            return pa.RecordBatch.from_arrays(cols, ["word", "before", "t", "c"])
 
         for batch in batches:
-            for text, toxic, fold in rows_of(batch):
+            for text, toxic in rows_of(batch):
                 words = words_of(text)
-                bit = 1 << 3 - toxic | (1 << 1 - toxic if fold else 0)
                 for pair in set(zip(words, [b"", *words], strict=False)):
-                    seen[pair] = seen.get(pair, 0) | bit
+                    seen[pair] = seen.get(pair, 0) | 1 + toxic
                 if len(seen) > 300_000:
                     yield flush()
         if seen:
             yield flush()
 
-    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [tokens_of(w) for w in batch.column(0).to_pylist()]
-            row = np.repeat(np.arange(len(found)), [len(f) for f in found])
-            rest = [pa.array(c.to_numpy(zero_copy_only=False)[row]) for c in batch.columns[1:]]
-            yield pa.RecordBatch.from_arrays([pa.array([t for f in found for t in f], pa.binary()), *rest], ["token", "t0", "c0", "t", "c"])
-
-    kinds = ("t0", "c0", "t", "c")
-    pairs = sample.mapInArrow(run, "word binary, before long, t0 long, c0 long, t long, c long").groupBy("word", "before").agg(*[F.max(x).alias(x) for x in kinds])
-    words = pairs.groupBy("word").agg(*[F.sum(x).alias(x) for x in kinds])
-    return words.mapInArrow(tokens, "token binary, t0 long, c0 long, t long, c long").groupBy("token").agg(*[F.sum(x).alias(x) for x in kinds])
+    pairs = texts.select("text", "toxic").mapInArrow(run, "word binary, before long, t long, c long").groupBy("word", "before").agg(F.max("t").alias("t"), F.max("c").alias("c"))
+    return pairs.groupBy("word").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
 
 
-def log_odds(counts: DataFrame, toxic: str, clean: str, totals) -> DataFrame:
-    """``token, weight, z``: log-odds ratios with the informative prior."""
-    nt, nc = float(totals[toxic] or 0), float(totals[clean] or 0)
-    prior = PRIOR_SHARE * (F.col(toxic) + F.col(clean))
+def log_odds(counts: DataFrame, nt: float, nc: float) -> DataFrame:
+    """``token, weight, z``: log-odds ratios with the informative prior, of
+    ``counts`` that add up to ``nt`` and ``nc``."""
+    prior = PRIOR_SHARE * (F.col("t") + F.col("c"))
     mass = PRIOR_SHARE * (nt + nc)
-    t, c = F.col(toxic) + prior, F.col(clean) + prior
+    t, c = F.col("t") + prior, F.col("c") + prior
     weight = F.log(t / (nt + mass - t)) - F.log(c / (nc + mass - c))
     spread = F.sqrt(1 / t + 1 / c)
     shy = weight - F.signum(weight) * SHRINK * spread
-    return counts.where(F.col(toxic) + F.col(clean) > 0).select("token", shy.alias("weight"), (weight / spread).alias("z")).where((F.col("z") >= MIN_Z) & (F.col("weight") >= MIN_WEIGHT))
+    return counts.select("token", shy.alias("weight"), (weight / spread).alias("z")).where((F.abs("z") >= MIN_Z) & (F.col("weight") * F.signum("z") >= MIN_WEIGHT))
 
 
-def _weights(counts: DataFrame, toxic: str, clean: str, totals) -> dict[bytes, float]:
-    best = log_odds(counts, toxic, clean, totals).orderBy(F.col("z").desc(), "token").limit(MODEL_TOKENS)
-    return {bytes(r["token"]): r["weight"] for r in best.collect()}
+def token_weights(words: DataFrame, nt: float, nc: float) -> dict[bytes, float]:
+    """Log-odds of words and, over words that have none, of ever shorter beginnings."""
+    out: dict[bytes, float] = {}
+    left = words
+    for size in (None, *BEGINNINGS):
+        token = F.concat("word", F.lit(b" ")) if size is None else F.when(F.length("word") >= size, F.substring("word", 1, size))
+        named = left.withColumn("token", token)
+        counts = named.where("token IS NOT NULL").groupBy("token").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
+        kept = log_odds(counts, nt, nc).select("token", "weight").collect()
+        out |= {bytes(r["token"]): r["weight"] for r in kept}
+        if kept:
+            known = words.sparkSession.createDataFrame([(bytes(r["token"]),) for r in kept], "token binary")
+            left = named.join(known, "token", "left_anti").drop("token")
+    return out
 
 
 def _karlin_lambda(values: np.ndarray, counts: np.ndarray) -> float:
@@ -261,49 +282,62 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[float,
 def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     """A model from ``docs`` (``doc_id, text``) and ``labels`` (``doc_id, toxic``).
 
-    The driver gets at most ``MODEL_TOKENS`` weights, a histogram of word
-    scores, and two numbers for each row of a third of the sample.
+    The driver gets the log-odds of the sample's distinctive tokens, a histogram
+    of word scores, and three numbers for each row of a fifth of the sample.
     """
-    spark = docs.sparkSession
     sample = cut(labelled_sample(docs, labels, rows))
-    counts = cut(token_counts(sample))
-    totals = counts.agg(*[F.sum(x).alias(x) for x in ("t0", "c0", "t", "c")]).first()
-    if not (totals["t"] and totals["c"]):
+    counts = cut(word_counts(sample.where("fold <> 0")))
+    nt, nc = (float(x or 0) for x in counts.agg(F.sum("t"), F.sum("c")).first())
+    if not (nt and nc):
+        return Model({})
+    model = Model(token_weights(counts, nt, nc))
+    floor = min((w for w in model.weights.values() if w > 0), default=0.0)
+    if not floor:
         return Model({})
-    trial = Model(_weights(counts, "t0", "c0", totals))
     held = sample.where("fold = 0").select("text", "toxic")
+    shared = sample.sparkSession.sparkContext.broadcast(model.weights)
 
-    def histogram(model: Model) -> Model:
-        shared = spark.sparkContext.broadcast(model)
+    def histogram():
+        scorer = Scorer(Model(shared.value))
 
-        def make():
-            scorer = Scorer(shared.value)
+        def count(row):
+            values, n = np.unique(np.round(scorer.scores(row[0]), 2), return_counts=True)
+            return list(zip(values.tolist(), n.tolist(), strict=True))
 
-            def count(row):
-                values, n = np.unique(np.round(scorer.scores(row[0]), 2), return_counts=True)
-                return list(zip(values.tolist(), n.tolist(), strict=True))
+        return count
 
-            return count
+    bins = map_rows(held.where("toxic = 0"), "s double, n long", histogram).groupBy("s").agg(F.sum("n").alias("n")).collect()
+    seen = {r["s"]: float(r["n"]) for r in bins}
+    for w in model.weights.values():
+        if w > 0:  # one more positive score in all: none is impossible
+            seen[round(w, 2)] = seen.get(round(w, 2), 0.0) + 1 / len(model.weights)
+    root = _karlin_lambda(np.array(list(seen)), np.array(list(seen.values())))
 
-        bins = map_rows(held.where("toxic = 0").select("text"), "s double, n long", make).groupBy("s").agg(F.sum("n").alias("n")).collect()
-        seen = {r["s"]: r["n"] for r in bins}
-        for w in model.weights.values():  # one more of each score: none is impossible
-            seen[round(w, 2)] = seen.get(round(w, 2), 0) + 1 / max(1, len(model.weights))
-        model.scale = _karlin_lambda(np.array(list(seen)), np.array(list(seen.values()), float)) if seen else 1.0
-        return model
+    def best():
+        scorer = Scorer(Model(shared.value))
 
-    trial = histogram(trial)
-    shared = spark.sparkContext.broadcast(trial)
+        def measure(row):
+            s = scorer.scores(row[0])
+            return [(len(s), max((x for _, _, x in segments(s)), default=0.0))]
 
-    def make():
-        scorer = Scorer(shared.value)
+        return measure
+
+    top = [(r["n"], r["best"]) for r in map_rows(held.where("toxic = 0"), "n long, best double", best).where("n > 0").collect()]
+    n, x = np.array(top, float).reshape(-1, 2).T
+    # P(best < x) = exp(-K n exp(-lambda x)) from the least positive score on
+    excess, there = np.maximum(x - floor, 0.0), 1 + int((x > 0).sum())
+    model.scale = min(root, there / (excess.sum() + 1 / root))
+    model.k = there / max(1.0, float((n * np.exp(-model.scale * excess)).sum())) * math.exp(model.scale * floor)
+    fitted = sample.sparkSession.sparkContext.broadcast(model)
+
+    def evidence():
+        scorer = Scorer(fitted.value)
         return lambda row: [(scorer.model.evidence(scorer.passages(row[0])), row[1])]
 
-    seen = map_rows(held, "x double, y int", make).collect()
-    model = Model(_weights(counts, "t", "c", totals), trial.scale)
-    if seen:
+    points = map_rows(held, "x double, y int", evidence).collect()
+    if points:
         # the sample holds more toxic rows than the corpus; its balance is kept: misses cost more than checks
-        model.curve = _logistic(np.array([r["x"] for r in seen]), np.array([float(r["y"]) for r in seen]))
+        model.curve = _logistic(np.array([r["x"] for r in points]), np.array([float(r["y"]) for r in points]))
     return model
 
 
@@ -352,4 +386,4 @@ def trained(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> Model:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = score_toxicity(docs, trained(spark, docs, table(spark, sf_dir, "labels")))
-    return scored.select("doc_id", (id_bucket("doc_id", 4) == 2).alias("held_out"), "score", "predicted", F.size("passages").cast("long").alias("n_passages"))
+    return scored.select("doc_id", F.coalesce(id_bucket("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "score", "predicted", F.size("passages").cast("long").alias("n_passages"))
