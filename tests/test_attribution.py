@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 from simulator import simulate
 
-from tidemark.operators import attribution, watermark
+from tidemark.operators import attribution, scan, watermark
 
 BASE = datetime(2026, 8, 24, 12)
 SCHEMA = "kind string, id long, user_id long, ts timestamp_ntz, campaign_id string, url string, p long, arrival timestamp_ntz"
@@ -39,6 +39,11 @@ def test_window_bounds(spark, name, clicks, expected):
     assert winners(joined) == {99: expected}
 
 
+@pytest.fixture(params=[1_000_000, 37], ids=["one chunk", "chunks"])
+def chunk_rows(request, monkeypatch):
+    monkeypatch.setattr(scan, "CHUNK_ROWS", request.param)
+
+
 def random_events(seed, n=400, disorder=600):
     rng = random.Random(seed)
     rows = []
@@ -50,7 +55,7 @@ def random_events(seed, n=400, disorder=600):
 
 
 @pytest.mark.parametrize("lateness", [0, 1, 2, 3, 15])
-def test_watermarked_equals_sequential_model(spark, lateness):
+def test_watermarked_equals_sequential_model(spark, chunk_rows, lateness):
     rows = random_events(lateness)
     df = spark.createDataFrame(rows, SCHEMA)
     events = [dict(kind=r[0], id=r[1], user_id=r[2], ts=r[3], p=r[6]) for r in sorted(rows, key=lambda r: (r[7], r[1]))]

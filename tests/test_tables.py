@@ -1,9 +1,10 @@
+import random
 from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import dedup, ingest, ledger, maintenance, tables, watermark
+from tidemark.operators import dedup, ingest, ledger, maintenance, scan, tables, watermark
 from tidemark.schema import ENVELOPE, Settings
 from tidemark.functions.columns import click_archive_minutes
 
@@ -28,6 +29,7 @@ RECORDS = [
     ("page_views", VIEW, None),
     ("ad_clicks", CLICK.replace("00Z", "00+02:00"), None),
     ("ad_clicks", " ", "blank record"),
+    ("page_views", None, "blank record"),
     ("ad_clicks", "{", "not a JSON object"),
     ("ad_clicks", "null", "not a JSON object"),
     ("ad_clicks", "[1]", "not a JSON object"),
@@ -48,13 +50,13 @@ def test_validation(spark):
     found = ingest.parse(records(spark, [r[:2] for r in RECORDS])).orderBy("offset").collect()
     assert [r["reason"] for r in found] == [r[2] for r in RECORDS]
     assert found[0]["event_time"] == datetime(2024, 1, 1, 12, 10) and found[2]["event_time"] == datetime(2024, 1, 1, 10, 10)
-    assert found[4]["event_key"] is None and found[12]["event_key"] == "v"
+    assert found[4]["event_key"] is None and found[13]["event_key"] == "v"
     letters = ingest.invalid_dead_letters(ingest.parse(records(spark, [r[:2] for r in RECORDS]))).collect()
-    assert len(letters) == 10 and {r["error_type"] for r in letters} == {"INVALID_KAFKA_RECORD"}
+    assert len(letters) == 11 and {r["error_type"] for r in letters} == {"INVALID_KAFKA_RECORD"}
 
 
-def test_null_records_and_other_topics_are_ignored(spark):
-    assert ingest.parse(records(spark, [("ad_clicks", None), ("other", CLICK)])).count() == 0
+def test_records_of_other_topics_are_ignored(spark):
+    assert ingest.parse(records(spark, [(None, None), ("other", CLICK)])).count() == 0
 
 
 def test_strict_fields(spark):
@@ -78,11 +80,86 @@ def test_classification(spark):
     assert found == {1: "INSERTED", 2: "REPLAY", 3: "DUPLICATE", 4: "CONFLICT", 5: "INSERTED"}
 
 
-def test_ledger_dedup_precedes_lateness(spark, monkeypatch):
-    monkeypatch.setattr(watermark, "chunk_of", lambda c: F.floor(c / 2))
+def verdicts(spark, rows, lateness=2, **more):
+    df = spark.createDataFrame(rows, LOG).withColumn("payload", F.lit("sent"))
+    found = ledger.input_ledger(df, lateness, **more)
+    return {r["offset_no"]: (r["status"], r["processing_status"]) for r in found.collect()}, found
+
+
+@pytest.fixture(params=[1_000_000, 2], ids=["one chunk", "chunks"])
+def chunk_rows(request, monkeypatch):
+    monkeypatch.setattr(scan, "CHUNK_ROWS", request.param)
+
+
+def test_ledger_dedup_precedes_lateness(spark, chunk_rows):
     rows = [click("c", 1, 1), click("x", 2, 2, minutes=60), click("c", 3, 3), click("y", 4, 4, minutes=1), click("c", 5, 5, "b")]
-    found = {r["offset_no"]: (r["status"], r["processing_status"]) for r in ledger.input_ledger(spark.createDataFrame(rows, LOG), 2).collect()}
+    found, book = verdicts(spark, rows)
     assert found == {1: ("INSERTED", "PROCESSED"), 2: ("INSERTED", "PROCESSED"), 3: ("DUPLICATE", "PROCESSED"), 4: ("INSERTED", "DROPPED_LATE"), 5: ("CONFLICT", "DEAD_LETTER")}
+    letter = ledger.conflict_letters(book).first()
+    assert (letter["event_key"], letter["payload"], letter["error_type"], letter["event_type"], letter["attempt_count"]) == ("c", "sent", "CLICK_ID_CONFLICT", "ad_clicks", 1)
+
+
+def test_a_late_click_is_not_stored(spark, chunk_rows):
+    rows = [click("x", 1, 1, minutes=60), click("c", 2, 2, minutes=1), click("c", 3, 3, "b", minutes=61), click("c", 4, 4, "b", minutes=61), click("c", 5, 5, minutes=1)]
+    found, _ = verdicts(spark, rows)
+    assert found == {1: ("INSERTED", "PROCESSED"), 2: ("INSERTED", "DROPPED_LATE"), 3: ("INSERTED", "PROCESSED"), 4: ("DUPLICATE", "PROCESSED"), 5: ("CONFLICT", "DEAD_LETTER")}
+
+
+def test_conflicts_do_not_move_watermarks(spark, chunk_rows):
+    # the conflict at offset 2 is far ahead; what comes after it is on time
+    rows = [click("c", 1, 1), click("c", 2, 2, "b", minutes=300), click("d", 3, 3, minutes=1)]
+    found, _ = verdicts(spark, rows)
+    assert found[2] == ("CONFLICT", "DEAD_LETTER") and found[3] == ("INSERTED", "PROCESSED")
+
+
+def test_views_of_an_id(spark):
+    def view(id_, offset, minutes, url="/"):
+        return ("view", id_, "u", T + timedelta(minutes=minutes), None, url, 0, offset, offset)
+
+    rows = [view("v", 1, 0), view("v", 2, 30, "/other"), view("v", 3, 0), view("w", 4, 29)]
+    found, _ = verdicts(spark, rows)
+    assert found == {1: ("INSERTED", "PROCESSED"), 2: ("DUPLICATE", "PROCESSED"), 3: ("DUPLICATE", "DROPPED_LATE"), 4: ("INSERTED", "PROCESSED")}
+    strict, _ = verdicts(spark, rows, view_conflicts=True)
+    assert strict == {1: ("INSERTED", "PROCESSED"), 2: ("CONFLICT", "DEAD_LETTER"), 3: ("DUPLICATE", "PROCESSED"), 4: ("INSERTED", "PROCESSED")}
+
+
+def sequential(rows, lateness):
+    """Verdicts one event after another."""
+    latest, clicks, views, out = {}, {}, {}, {}
+    for kind, id_, user, ts, campaign, url, p, offset, arrival in sorted(rows, key=lambda r: (r[8], r[7])):
+        late = p in latest and ts < latest[p] - timedelta(minutes=lateness)
+        known = (clicks if kind == "click" else views).get(id_)
+        content = (user, ts, campaign or url)
+        status = "INSERTED"
+        if known:
+            status = "CONFLICT" if kind == "click" and known[0] != content else "REPLAY" if known == (content, p, offset) else "DUPLICATE"
+        if kind == "click" and known:
+            out[offset] = (status, "DEAD_LETTER" if status == "CONFLICT" else "PROCESSED")
+            continue
+        out[offset] = (status, "DROPPED_LATE" if late else "PROCESSED")
+        if not late:
+            latest[p] = max(latest.get(p, ts), ts)
+            (clicks if kind == "click" else views).setdefault(id_, (content, p, offset))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_ledger_equals_sequential_model(spark, seed):
+    rng = random.Random(seed)
+    rows = []
+    for n in range(160):
+        kind, id_ = rng.choice(["click", "click", "view"]), f"i{rng.randrange(40)}"
+        detail = rng.choice("ab")
+        rows.append((kind, id_, "u", T + timedelta(minutes=n // 3 + rng.choice([0, 0, -9, 25])), detail if kind == "click" else None, detail if kind == "view" else None, rng.randrange(2), n, n))
+    found, _ = verdicts(spark, rows, 4)
+    assert found == sequential(rows, 4)
+
+
+def test_classification_against_stored_clicks(spark):
+    rows = spark.createDataFrame([click("c", 1, 1), click("c", 9, 2), click("d", 3, 3, "b"), click("e", 4, 4), click("e", 5, 5)], LOG)
+    stored = spark.createDataFrame([("c", 0, 1, "u", T, "a"), ("d", 0, 7, "u", T, "a")], "id string, p long, offset_no long, user_id string, ts timestamp_ntz, campaign_id string")
+    found = {r["offset_no"]: r["status"] for r in dedup.classify(rows, dedup.CLICK_CONTENT, stored=stored).collect()}
+    assert found == {1: "REPLAY", 9: "DUPLICATE", 3: "CONFLICT", 4: "INSERTED", 5: "DUPLICATE"}
 
 
 OUT = "page_view_id string, user_id string, event_time timestamp_ntz, url string, attributed_campaign_id string, attributed_click_id string"
@@ -96,6 +173,25 @@ def test_output_sink(spark):
     assert {r["page_view_id"]: r["problem"] for r in refused.collect()} == {"2": "page_view_id is stored with other content", "4": "attribution is incomplete", "5": "user_id is missing", "6": "event_time is missing"}
 
 
+def test_of_rows_of_one_key_the_first_is_written(spark):
+    stored = spark.createDataFrame([], OUT)
+    rows = [("1", "u", T, url, None, None, n) for n, url in enumerate(["/b", "/a", "/b"])]
+    for step in (1, -1):
+        new = spark.createDataFrame(rows[::step], OUT + ", n int")
+        append, refused = tables.write_output(new, stored, ["n"])
+        assert [r["url"] for r in append.collect()] == ["/b"] and [r["url"] for r in refused.collect()] == ["/a"]
+        letter = ledger.exhausted_letters(refused).first()
+        assert (letter["error_type"], letter["attempt_count"], letter["error_message"]) == ("PROCESSING_RETRY_EXHAUSTED", 4, "page_view_id is stored with other content")
+
+
+def test_archived_counts(spark):
+    rows = [("ad_clicks", 0, i, T - timedelta(hours=i), None) for i in range(30)]
+    book = spark.createDataFrame(rows, "topic string, partition_no long, offset_no long, received_at timestamp_ntz, processed_at timestamp_ntz")
+    move = maintenance.archive_ledger(book, F.lit(T).cast("timestamp_ntz"), batch_size=10)
+    assert tuple(maintenance.archived_counts(move, move.moved, ("topic", "partition_no", "offset_no")).first()) == (10, 10, 0)
+    assert tuple(maintenance.archived_counts(move, move.moved.limit(4), ("topic", "partition_no", "offset_no")).first()) == (10, 4, 0)
+
+
 def test_eviction_keeps_the_cutoff(spark):
     clicks = spark.createDataFrame([("a", T - timedelta(minutes=33), "ACTIVE"), ("b", T - timedelta(minutes=32), "ACTIVE")], "click_id string, ts timestamp_ntz, state_status string")
     cutoff = watermark.eviction_cutoff(F.lit(T).cast("timestamp_ntz"), 2, 30)

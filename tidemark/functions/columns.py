@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import unicodedata
 
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import CLICKS_TOPIC, TIME_FORMAT, VIEWS_TOPIC
@@ -19,6 +20,11 @@ def is_blank(x: str | Column) -> Column:
     return F.coalesce(col(x).rlike("^[\\s\\p{Z}]*$"), F.lit(True))
 
 
+def text_is_blank(x: str | None) -> bool:
+    """The same of a Python string."""
+    return x is None or all(c.isspace() or unicodedata.category(c).startswith("Z") for c in x)
+
+
 def minutes(n: int) -> Column:
     return F.expr(f"INTERVAL '{int(n)}' MINUTE")
 
@@ -66,9 +72,19 @@ def click_archive_cutoff(now: Column, watermark: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; one of our own only
-    where the session names none."""
+    """The folder that the driver and all executors share.  Where a session
+    names none (``spark.checkpoint.dir``), one machine's own folder does for a
+    local master only; on a cluster that is an error."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tidemark-"))
     return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` computed and stored in the shared folder, without its lineage."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

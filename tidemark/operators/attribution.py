@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import minutes
 from .scan import with_min_from
-from .watermark import accepted, chunk_of, final_watermarks
+from .watermark import accepted, final_watermarks
 
 _MICRO = 1_000_000
 
@@ -60,7 +60,7 @@ def with_emission(rows: DataFrame, lateness: int) -> DataFrame:
     the row itself; null while there is none.  The watermark never falls, so
     that is the least place among later times."""
     place = F.struct("arrival", "id")
-    first = with_min_from(rows, "_first", place, F.col("ts") + minutes(lateness), ["p"], chunk_of)
+    first = with_min_from(rows, "_first", place, F.col("ts") + minutes(lateness), ["p"])
     return first.withColumn("emitted_at", F.when(F.col("_first").isNotNull(), F.greatest("_first", place))).drop("_first")
 
 

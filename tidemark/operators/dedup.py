@@ -17,22 +17,31 @@ CLICK_CONTENT = ("user_id", "ts", "campaign_id")
 VIEW_CONTENT = ("user_id", "ts", "url")
 
 
-def classify(rows: DataFrame, content: Sequence[str], order: Sequence[str] = ("arrival", "offset_no")) -> DataFrame:
+def classify(rows: DataFrame, content: Sequence[str], order: Sequence[str] = ("arrival", "offset_no"), stored: DataFrame | None = None) -> DataFrame:
     """Adds ``status``: INSERTED for the first arrival of an id, else REPLAY
-    (same content and place in the log), DUPLICATE (same content) or CONFLICT."""
+    (same content and place in the log), DUPLICATE (same content) or CONFLICT.
+
+    ``stored`` (``id, p, offset_no`` and the content; of state and history) holds
+    ids known before: its row of an id is the first, and none of ``rows`` is.
+    """
     key = [*order, "p"]
     named = dict.fromkeys([*key, "offset_no", *content])
+    kinds = dict(rows.dtypes)
     first = rows.groupBy("id").agg(F.min(F.struct(*named)).alias("first"))
+    if stored is not None:
+        absent = [c for c in order if c not in stored.columns]
+        known = stored.select("id", F.struct(*[F.lit(None).cast(kinds[c]).alias(c) if c in absent else F.col(c).cast(kinds[c]).alias(c) for c in named]).alias("known"))
+        first = first.join(known, "id", "left").select("id", F.coalesce("known", "first").alias("first"), F.col("known").isNotNull().alias("was"))
     joined = rows.join(first, "id")
     same = F.lit(True)
     for c in content:
         same = same & F.col(c).eqNullSafe(F.col(f"first.{c}"))
     place = (F.col("p") == F.col("first.p")) & (F.col("offset_no") == F.col("first.offset_no"))
-    is_first = place
+    is_first = place if stored is None else place & ~F.col("was")
     for c in order:
-        is_first = is_first & (F.col(c) == F.col(f"first.{c}"))
+        is_first = is_first & F.col(c).eqNullSafe(F.col(f"first.{c}"))
     status = F.when(is_first & same, INSERTED).when(~same, CONFLICT).when(place, REPLAY).otherwise(DUPLICATE)
-    return joined.withColumn("status", status).drop("first")
+    return joined.withColumn("status", status).drop("first", "was")
 
 
 def first_arrivals(rows: DataFrame, order: Sequence[str] = ("arrival", "offset_no")) -> DataFrame:

@@ -22,14 +22,14 @@ def _text_fields(topic: str) -> tuple[str, ...]:
 
 def parse(records: DataFrame, strict_fields: bool = False) -> DataFrame:
     """Adds ``event_type, event_key, event_time``, the payload's fields and
-    ``reason``, null for a valid record.  Null records are left out; records of
-    other topics are rejected here and go nowhere.
+    ``reason``, null for a valid record.  A record without a value is blank;
+    records of other topics are left out.
 
     An unparsable payload has no key and no time; one that only lacks a
     required field keeps what could be read.  With ``strict_fields``, unknown
     fields make a record invalid; ``partition`` and ``offset`` are tolerated.
     """
-    known = records.where(F.col("value").isNotNull() & F.col("topic").isin(CLICKS_TOPIC, VIEWS_TOPIC))
+    known = records.where(F.col("topic").isin(CLICKS_TOPIC, VIEWS_TOPIC))
     click = F.col("topic") == CLICKS_TOPIC
     names = sorted({*_text_fields(CLICKS_TOPIC), *_text_fields(VIEWS_TOPIC)})
     shape = StructType([StructField(n, StringType()) for n in (*names, "event_time", "_corrupt")])
@@ -91,4 +91,24 @@ def events(parsed: DataFrame) -> DataFrame:
         F.col("partition").alias("p"),
         F.col("offset").alias("offset_no"),
         F.col("arrival_seq").alias("arrival"),
+        F.col("value").alias("payload"),
+    )
+
+
+def records(parsed: DataFrame) -> DataFrame:
+    """All records of a stream in the shape of ``events``, broken ones with their ``reason``."""
+    click = F.col("topic") == CLICKS_TOPIC
+    return parsed.select(
+        F.when(click, "click").otherwise(F.lit("view")).alias("kind"),
+        F.col("event_key").alias("id"),
+        "user_id",
+        F.col("event_time").alias("ts"),
+        "campaign_id",
+        "url",
+        "topic",
+        F.col("partition").alias("p"),
+        F.col("offset").alias("offset_no"),
+        F.col("arrival_seq").alias("arrival"),
+        F.col("value").alias("payload"),
+        "reason",
     )

@@ -25,6 +25,16 @@ class Move(NamedTuple):
         return self
 
 
+def archived_counts(move: Move, history: DataFrame, key: Sequence[str]) -> DataFrame:
+    """``expected, found, left_behind``: rows to move, those of them that the
+    history holds, and those that the live table still holds.  A move is
+    complete if the first two agree and the last is 0."""
+    keys = move.moved.select(*key)
+    n = lambda df, name: df.agg(F.count("*").alias(name))
+    expected, found = n(keys, "expected"), n(history.join(keys, list(key), "left_semi"), "found")
+    return expected.select("expected", found.scalar().alias("found"), n(move.remaining.join(keys, list(key), "left_semi"), "left_behind").scalar().alias("left_behind"))
+
+
 def _move(live: DataFrame, eligible: Column, order: Sequence, key: Sequence[str], batch_size: int, now: Column) -> Move:
     if batch_size <= 0:
         raise ValueError(f"batch_size must be positive, not {batch_size}")

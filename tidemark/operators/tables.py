@@ -11,9 +11,17 @@ from ..functions.columns import differs, is_blank
 from ..schema import ACTIVE, EMITTED, EVICTED, LEDGER_KEY, OUTPUT, PENDING
 
 
-def insert_if_absent(new: DataFrame, stored: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Rows of ``new`` whose key is not stored; one row for each key."""
-    return new.dropDuplicates(list(key)).join(stored.select(*key), list(key), "left_anti")
+def _first(new: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """One row for each key: the least in ``order``, then by all columns."""
+    rest = [c for c in new.columns if c not in key]
+    least = new.groupBy(*key).agg(F.min(F.struct(F.struct(*order, *[c for c in rest if c not in order]).alias("o"), F.struct(*rest).alias("r"))).alias("f"))
+    return least.select(*key, "f.r.*").select(*new.columns)
+
+
+def insert_if_absent(new: DataFrame, stored: DataFrame, key: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
+    """Rows of ``new`` whose key is not stored; of several with one key the
+    first in ``order``."""
+    return _first(new, key, order).join(stored.select(*key), list(key), "left_anti")
 
 
 def conflicts(new: DataFrame, stored: DataFrame, key: Sequence[str], content: Sequence[str]) -> DataFrame:
@@ -32,12 +40,19 @@ def output_problem() -> Column:
     return F.when(out.isNull() & one, "attribution is incomplete").otherwise(out)
 
 
-def write_output(new: DataFrame, stored: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows to append and rows to refuse (with ``problem``)."""
+def write_output(new: DataFrame, stored: DataFrame, order: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """Rows to append and rows to refuse (with ``problem``): invalid ones, and
+    ones that differ from the stored row of their key or from the one that is
+    appended.  Rows equal to it are neither."""
     checked = new.withColumn("problem", output_problem())
     good = checked.where("problem IS NULL").drop("problem")
-    other = conflicts(good, stored, ["page_view_id"], OUTPUT[1:]).withColumn("problem", F.lit("page_view_id is stored with other content"))
-    return insert_if_absent(good, stored, ["page_view_id"]), checked.where("problem IS NOT NULL").unionByName(other)
+    append = insert_if_absent(good, stored, ["page_view_id"], order)
+    winners = append.select(*OUTPUT).unionByName(stored.select(*OUTPUT))
+    same = F.lit(True)
+    for c in OUTPUT[1:]:
+        same = same & F.col(f"n.{c}").eqNullSafe(F.col(f"w.{c}"))
+    other = good.alias("n").join(winners.alias("w"), F.col("n.page_view_id") == F.col("w.page_view_id")).where(~same).select("n.*")
+    return append, checked.where("problem IS NOT NULL").unionByName(other.withColumn("problem", F.lit("page_view_id is stored with other content")))
 
 
 def pending_status(pending: DataFrame, output: DataFrame) -> DataFrame:

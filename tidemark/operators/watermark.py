@@ -8,6 +8,8 @@ can't move it, so a running maximum over all non-conflicting rows is exact.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,16 +19,14 @@ from .scan import with_running_max
 ORDER = ("arrival", "id")
 
 
-def chunk_of(time: Column) -> Column:
-    return F.date_trunc("DAY", time)
-
-
-def with_watermarks(rows: DataFrame, lateness: int) -> DataFrame:
+def with_watermarks(rows: DataFrame, lateness: int, moves: Column | None = None, order: Sequence[str] = ORDER) -> DataFrame:
     """Adds ``wm_before`` and ``wm_after`` of each row's arrival; ``wm_before``
-    is null before the first event of a partition."""
-    seen = with_running_max(rows, "_max", F.col("ts"), ["p"], ORDER, chunk_of(F.col("arrival")))
+    is null before the first event of a partition.  Rows for which ``moves`` is
+    false don't move the watermark."""
+    time = F.col("ts") if moves is None else F.when(moves, F.col("ts"))
+    seen = with_running_max(rows, "_max", time, ["p"], order)
     late = minutes(lateness)
-    return seen.withColumn("wm_before", F.col("_max") - late).withColumn("wm_after", F.greatest("_max", "ts") - late).drop("_max")
+    return seen.withColumn("wm_before", F.col("_max") - late).withColumn("wm_after", F.greatest(F.col("_max"), time) - late).drop("_max")
 
 
 def is_late() -> Column:

@@ -94,12 +94,26 @@ def input_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def conflict_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ledger.conflict_letters(ledger.input_ledger(events.with_resent(events.load(spark, sf_dir)), L))
+    rows = events.with_resent(events.load(spark, sf_dir))
+    sent = F.to_json(F.struct(F.col("user_id").cast("string").alias("user_id"), format_time("ts").alias("event_time"), "campaign_id", F.col("id").cast("string").alias("click_id")))
+    return ledger.conflict_letters(ledger.input_ledger(rows.withColumn("payload", sent), L))
 
 
-def envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def click_classification_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clicks sent again, against those of state and history and one another."""
+    rows = events.load(spark, sf_dir).where("kind = 'click'")
+    columns = ("id", "p", "offset_no", *dedup.CLICK_CONTENT)
+    state = rows.where("id % 4 = 0").select(*columns)
+    history = rows.where("id % 6 = 0").select(*columns)
+    stored = dedup.lookup_with_history(state, history, "id")
+    again = events.with_resent(rows)
+    return dedup.classify(again, dedup.CLICK_CONTENT, stored=stored).select("id", "offset_no", "arrival", "campaign_id", "status")
+
+
+def envelopes(spark: SparkSession, sf_dir: str, resent: bool = False) -> DataFrame:
     """Log records of the events, some of them broken on purpose."""
     rows = events.load(spark, sf_dir)
+    rows = events.with_resent(rows) if resent else rows
     click = F.col("kind") == "click"
     q = lambda name, v: F.concat(F.lit(f'"{name}":"'), v, F.lit('"'))
     key = F.when(click, q("click_id", F.concat(F.lit("c"), F.col("id")))).otherwise(q("event_id", F.concat(F.lit("v"), F.col("id"))))
@@ -129,6 +143,7 @@ def envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
         user.alias("key"),
         F.when(case != 11, value).alias("value"),
         F.col("id").alias("arrival_seq"),
+        "arrival",
     )
 
 
@@ -148,10 +163,13 @@ def _clicks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clicks.select(F.col("id").alias("click_id"), "user_id", "ts", "campaign_id", "p", "state_status")
 
 
-def evict_clicks(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _evicted(spark: SparkSession, sf_dir: str) -> DataFrame:
     least = watermark.global_minimum(watermark.final_watermarks(events.load(spark, sf_dir)))
-    cutoff = watermark.eviction_cutoff(least.scalar(), L, DAY)
-    return tables.evict(_clicks(spark, sf_dir), cutoff).select("click_id", "ts", "state_status")
+    return tables.evict(_clicks(spark, sf_dir), watermark.eviction_cutoff(least.scalar(), L, DAY))
+
+
+def evict_clicks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _evicted(spark, sf_dir).select("click_id", "ts", "state_status")
 
 
 def click_state_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -159,7 +177,7 @@ def click_state_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def active_clicks_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.active_clicks(evict_clicks(spark, sf_dir).join(_clicks(spark, sf_dir).select("click_id", "user_id", "campaign_id"), "click_id")).select("user_id", "ts", "click_id", "campaign_id").orderBy("user_id", "ts", "click_id")
+    return tables.active_clicks(_evicted(spark, sf_dir)).select("user_id", "ts", "click_id", "campaign_id").orderBy("user_id", "ts", "click_id")
 
 
 def _archived(spark: SparkSession, sf_dir: str) -> maintenance.Move:
@@ -186,6 +204,17 @@ def archive_ledger_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maintenance.archive_ledger(_ledger(spark, sf_dir), F.expr(NOW)).moved
 
 
+def archive_ledger_remaining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maintenance.archive_ledger(_ledger(spark, sf_dir), F.expr(NOW)).remaining.select(*LEDGER_KEY, "received_at", "processed_at")
+
+
+def archive_verified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of a ledger move whose history held some of the rows already."""
+    move = maintenance.archive_ledger(_ledger(spark, sf_dir), F.expr(NOW))
+    history = move.moved.unionByName(_ledger(spark, sf_dir).where("offset_no % 9 = 0").withColumn("archived_at", F.expr(NOW)))
+    return maintenance.archived_counts(move, history.dropDuplicates(list(LEDGER_KEY)), LEDGER_KEY)
+
+
 def ledger_semi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = _ledger(spark, sf_dir).where("offset_no % 7 = 0").select(*LEDGER_KEY)
     return _ledger(spark, sf_dir).join(stored, list(LEDGER_KEY), "left_semi").select(*LEDGER_KEY)
@@ -204,6 +233,38 @@ def output_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.conflicts(changed, _stored(spark, sf_dir), ["page_view_id"], attribution_columns())
 
 
+def _broken_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Output rows, some invalid, some sent twice with other content."""
+    rows = attribution_asof_24h(spark, sf_dir)
+    id_ = F.col("page_view_id")
+    broken = rows.select(
+        "page_view_id",
+        F.when(id_ % 11 == 0, F.lit(" ")).otherwise(F.col("user_id").cast("string")).alias("user_id"),
+        F.when(id_ % 13 != 0, F.col("event_time")).alias("event_time"),
+        F.when(id_ % 17 == 0, F.lit("")).otherwise(F.col("url")).alias("url"),
+        "attributed_campaign_id",
+        F.when(id_ % 5 != 0, F.col("attributed_click_id")).alias("attributed_click_id"),
+    )
+    return broken.unionByName(broken.where("page_view_id % 7 = 0").withColumn("url", F.concat("url", F.lit("/z"))))
+
+
+def output_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _broken_outputs(spark, sf_dir).select("page_view_id", "url", tables.output_problem().alias("problem"))
+
+
+def output_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the validating, emit-once table appends of them."""
+    stored = attribution_asof_24h(spark, sf_dir).where("page_view_id % 3 = 0").withColumn("user_id", F.col("user_id").cast("string"))
+    return tables.write_output(_broken_outputs(spark, sf_dir), stored, ["url"])[0]
+
+
+def retry_exhausted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dead letters of what it refuses."""
+    stored = attribution_asof_24h(spark, sf_dir).where("page_view_id % 3 = 0").withColumn("user_id", F.col("user_id").cast("string"))
+    refused = tables.write_output(_broken_outputs(spark, sf_dir), stored, ["url"])[1]
+    return ledger.exhausted_letters(refused).select("event_type", "event_key", "event_time", "error_type", "error_message", "attempt_count")
+
+
 def attribution_columns() -> tuple[str, ...]:
     return ("user_id", "event_time", "url", "attributed_campaign_id", "attributed_click_id")
 
@@ -239,23 +300,72 @@ def click_archive_cutoffs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lagged.select("p", "lag", click_archive_cutoff(now, F.col("max_event_time")).alias("cutoff"))
 
 
-def stream_exact_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The exact streaming mode over the events in three micro-batches."""
+def _in_three(df: DataFrame, run) -> str:
+    """Writes ``df`` (with ``arrival``) as files in three parts by arrival, and
+    runs a stream over what is there after each; returns the folder."""
     from uuid import uuid4
 
-    from ..schema import Settings
-    from ..streaming import exact, sink
     from ..functions.columns import shared_dir
 
+    spark = df.sparkSession
     root = f"{shared_dir(spark)}/replay-{uuid4().hex}"
+    third = df.select(F.percentile_approx("arrival", [0.33, 0.66]).alias("c")).first()["c"]
+    parts = (df.where(F.col("arrival") <= third[0]), df.where((F.col("arrival") > third[0]) & (F.col("arrival") <= third[1])), df.where(F.col("arrival") > third[1]))
+    for n, part in enumerate(parts):
+        part.write.parquet(f"{root}/in/part={n}")
+        run(spark.readStream.schema(df.schema).parquet(f"{root}/in/part=*"), root).awaitTermination()
+    return root
+
+
+def stream_exact_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exact streaming mode over the events in three micro-batches."""
+    from ..schema import Settings
+    from ..streaming import exact, sink
+
     rows = events.load(spark, sf_dir)
     topic = F.when(F.col("kind") == "click", CLICKS_TOPIC).otherwise(VIEWS_TOPIC)
     sent = rows.withColumn("topic", topic).withColumn("arrival", F.unix_micros(F.col("arrival").cast("timestamp"))).withColumn("ts", F.col("ts").cast("timestamp"))
-    third = sent.select(F.percentile_approx("arrival", [0.33, 0.66]).alias("c")).first()["c"]
-    parts = (sent.where(F.col("arrival") <= third[0]), sent.where((F.col("arrival") > third[0]) & (F.col("arrival") <= third[1])), sent.where(F.col("arrival") > third[1]))
-    for n, part in enumerate(parts):
-        part.coalesce(1).write.mode("append").parquet(f"{root}/in/part={n}")
-        stream = spark.readStream.schema(sent.schema).parquet(f"{root}/in/part=*")
-        records = exact.attribution_records(stream, Settings(allowed_lateness_minutes=L, attribution_window_minutes=DAY))
-        sink.start(records, f"{root}/out", f"{root}/checkpoint", available_now=True).awaitTermination()
+    settings = Settings(allowed_lateness_minutes=L, attribution_window_minutes=DAY)
+
+    def run(stream: DataFrame, root: str):
+        return sink.start(exact.attribution_records(stream, settings), f"{root}/out", f"{root}/checkpoint", available_now=True)
+
+    root = _in_three(sent, run)
     return sink.read_table(spark, f"{root}/out", "output").withColumn("event_time", F.col("event_time").cast("timestamp_ntz"))
+
+
+#: Tables of a stream that this application has run.
+_RUNS: dict[tuple[str, str], str] = {}
+
+
+def _engine(spark: SparkSession, sf_dir: str) -> str:
+    """The whole stream over log records, broken and sent again; returns its
+    tables.  One run serves the three queries that read them."""
+    from ..schema import Settings
+    from ..streaming import engine
+
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key in _RUNS:
+        return _RUNS[key]
+    sent = envelopes(spark, sf_dir, resent=True).withColumn("arrival", F.unix_micros(F.col("arrival").cast("timestamp"))).withColumn("arrival_seq", F.col("arrival"))
+    settings = Settings(allowed_lateness_minutes=L, attribution_window_minutes=DAY)
+    _RUNS[key] = _in_three(sent, lambda stream, root: engine.start(stream, f"{root}/out", f"{root}/checkpoint", settings, available_now=True)) + "/out"
+    return _RUNS[key]
+
+
+def stream_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..streaming import sink
+
+    return sink.read_table(spark, _engine(spark, sf_dir), "ledger").select("topic", "partition_no", "offset_no", "event_type", "event_key", format_time("event_time").alias("event_time"), "status", "processing_status")
+
+
+def stream_dead_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..streaming import sink
+
+    return sink.read_table(spark, _engine(spark, sf_dir), "dead_letter").withColumn("event_time", format_time("event_time"))
+
+
+def stream_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..streaming import sink
+
+    return sink.read_table(spark, _engine(spark, sf_dir), "output").withColumn("event_time", format_time("event_time"))

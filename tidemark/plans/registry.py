@@ -22,6 +22,7 @@ NAMES = (
     "pending_views",
     "pending_status",
     "click_classification",
+    "click_classification_stored",
     "first_arrival_views",
     "input_ledger",
     "conflict_letters",
@@ -33,15 +34,23 @@ NAMES = (
     "archive_clicks_batch",
     "archive_clicks_remaining",
     "archive_ledger_batch",
+    "archive_ledger_remaining",
+    "archive_verified",
     "ledger_semi_join",
     "offset_replay_skip",
     "restored_clicks",
     "click_archive_cutoffs",
     "insert_if_absent",
     "output_conflicts",
+    "output_validity",
+    "output_writes",
+    "retry_exhausted",
     "state_or_history_lookup",
     "output_contract_json",
     "stream_exact_replay",
+    "stream_ledger",
+    "stream_dead_letters",
+    "stream_output",
 )
 
 

@@ -37,7 +37,9 @@ PROCESSED, DROPPED_LATE, DEAD_LETTER = "PROCESSED", "DROPPED_LATE", "DEAD_LETTER
 ACTIVE, EVICTED, PENDING, EMITTED = "ACTIVE", "EVICTED", "PENDING", "EMITTED"
 # dead letters
 INVALID_RECORD, CLICK_CONFLICT, VIEW_CONFLICT = "INVALID_KAFKA_RECORD", "CLICK_ID_CONFLICT", "PAGE_VIEW_ID_CONFLICT"
+RETRY_EXHAUSTED = "PROCESSING_RETRY_EXHAUSTED"
 CLICK_CONFLICT_MESSAGE = "The same click_id already exists with different content"
+VIEW_CONFLICT_MESSAGE = "The same event_id already exists with different content"
 
 #: Text format of event times: whole seconds, offset optional, UTC without one.
 TIME_FORMAT = "yyyy-MM-dd'T'HH:mm:ss[XXX]"
@@ -45,11 +47,19 @@ TIME_FORMAT = "yyyy-MM-dd'T'HH:mm:ss[XXX]"
 
 @dataclass(frozen=True)
 class Settings:
-    """``allowed_lateness_minutes`` is a whole number from 0 to 15."""
+    """``allowed_lateness_minutes`` is a whole number from 0 to 15.
+
+    A second view of an id is processed without effect; with ``view_conflicts``
+    it is judged as clicks are: the first one wins, another content is a dead
+    letter.  ``max_retries`` and ``backoff_seconds`` are of a batch's tables.
+    """
 
     allowed_lateness_minutes: int = 2
     attribution_window_minutes: int = 30
     strict_fields: bool = False
+    view_conflicts: bool = False
+    max_retries: int = 3
+    backoff_seconds: float = 1.0
 
     def __post_init__(self) -> None:
         lateness = self.allowed_lateness_minutes
@@ -57,3 +67,5 @@ class Settings:
             raise ValueError(f"allowed_lateness_minutes must be a whole number from 0 to 15, not {lateness!r}")
         if self.attribution_window_minutes <= 0:
             raise ValueError("attribution_window_minutes must be positive")
+        if self.max_retries < 0 or self.backoff_seconds < 0:
+            raise ValueError("max_retries and backoff_seconds must not be negative")
