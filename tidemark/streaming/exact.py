@@ -5,12 +5,13 @@ order of arrival against its state and emits output rows, ledger rows and
 dead letters as one tagged stream.  All state sits in the state store: the
 partition's latest accepted time, recent clicks by user, pending views, and
 the content of every id seen, without expiry, since the horizon of duplicates
-is unlimited.
+is unlimited.  So many tasks work as there are log partitions.
 
-The first arrival of a view id wins, as for clicks; a later one with other
-content is a dead letter.  Ids are known per partition: a click or view id that
-reappears in another partition is not detected, neither here nor by the sink,
-whereas the batch ledger (``dedup.classify``) compares ids over all partitions.
+A second operator, keyed by id (``guarded``), knows ids over all partitions: an
+output row is passed once, and a dead letter if it is invalid or differs from
+the one that was passed; a click accepted in two partitions becomes a duplicate
+or a conflict in the ledger.  It comes after attribution: a click of such an id
+may have won a view of its own partition.
 """
 
 from __future__ import annotations
@@ -25,13 +26,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from ..schema import CLICK_CONFLICT, CLICK_CONFLICT_MESSAGE, CONFLICT, DEAD_LETTER, DROPPED_LATE, DUPLICATE, INSERTED, PROCESSED, REPLAY, VIEW_CONFLICT, Settings
+from ..functions.columns import text_is_blank
+from ..schema import CLICK_CONFLICT, CLICK_CONFLICT_MESSAGE, CLICKS_TOPIC, CONFLICT, DEAD_LETTER, DROPPED_LATE, DUPLICATE, INSERTED, INVALID_RECORD, PROCESSED, REPLAY, RETRY_EXHAUSTED, VIEW_CONFLICT, VIEW_CONFLICT_MESSAGE, Settings
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 MINUTE = 60_000_000
 
-_TEXT = ("record_kind", "id", "user_id", "url", "campaign_id", "click_id", "topic", "status", "processing_status", "error_type", "error_message")
-_NUMBER = ("ts", "p", "offset_no")
+_TEXT = ("record_kind", "id", "user_id", "url", "campaign_id", "click_id", "topic", "status", "processing_status", "payload", "error_type", "error_message")
+_NUMBER = ("ts", "p", "offset_no", "attempt_count")
 RECORD = StructType([*[StructField(n, StringType()) for n in _TEXT], *[StructField(n, LongType()) for n in _NUMBER]])
 
 
@@ -41,6 +43,7 @@ class Partition:
     def __init__(self, settings: Settings, latest: int | None, pending: dict[str, list], known, clicks):
         self.lateness = settings.allowed_lateness_minutes * MINUTE
         self.window = settings.attribution_window_minutes * MINUTE
+        self.view_conflicts = settings.view_conflicts
         self.latest, self.pending = latest, pending
         self.due = [(v[0], id_) for id_, v in pending.items()]
         heapq.heapify(self.due)
@@ -52,42 +55,52 @@ class Partition:
         return None if self.latest is None else self.latest - self.lateness
 
     def handle(self, e: dict) -> None:
+        if e.get("reason") is not None:
+            self._letter(e, INVALID_RECORD, e["reason"])
+            return
         click = e["kind"] == "click"
         content = [e["user_id"], e["ts"], e["campaign_id"] if click else e["url"]]
         key = f"{e['kind']}:{e['id']}"
         stored = self.known.get(key)
+        late = self.watermark is not None and e["ts"] < self.watermark
+        strict = click or self.view_conflicts
         status = INSERTED
         if stored is not None:
             same = stored[:3] == content
-            status = CONFLICT if not same else REPLAY if stored[3:] == [e["topic"], e["offset_no"]] else DUPLICATE
+            status = CONFLICT if strict and not same else REPLAY if same and stored[3:] == [e["topic"], e["offset_no"]] else DUPLICATE
         if status == CONFLICT:
-            self._record(e, "dead_letter", status=status, error_type=CLICK_CONFLICT if click else VIEW_CONFLICT, error_message=CLICK_CONFLICT_MESSAGE if click else "The same event_id already exists with different content")
-        late = status == INSERTED and self.watermark is not None and e["ts"] < self.watermark
-        result = DEAD_LETTER if status == CONFLICT else DROPPED_LATE if late else PROCESSED
+            self._letter(e, CLICK_CONFLICT if click else VIEW_CONFLICT, CLICK_CONFLICT_MESSAGE if click else VIEW_CONFLICT_MESSAGE)
+        # the id comes before lateness for clicks, after it for views
+        dropped = late and (status == INSERTED or not strict)
+        result = DEAD_LETTER if status == CONFLICT else DROPPED_LATE if dropped else PROCESSED
         self._record(e, "ledger", status=status, processing_status=result)
-        if status != INSERTED or late:
+        if dropped or status != INSERTED and strict:
             return
-        self.known.put(key, [*content, e["topic"], e["offset_no"]])
         self.latest = e["ts"] if self.latest is None else max(self.latest, e["ts"])
-        if click:
-            self.clicks.add(e["user_id"], [e["ts"], e["id"], e["campaign_id"]])
-        else:
-            self.pending[e["id"]] = [e["ts"], e["user_id"], e["url"]]
-            heapq.heappush(self.due, (e["ts"], e["id"]))
+        if status == INSERTED:
+            self.known.put(key, [*content, e["topic"], e["offset_no"]])
+            if click:
+                self.clicks.add(e["user_id"], [e["ts"], e["id"], e["campaign_id"]])
+            else:
+                self.pending[e["id"]] = [e["ts"], e["user_id"], e["url"], e["topic"], e["p"], e["offset_no"]]
+                heapq.heappush(self.due, (e["ts"], e["id"]))
         self.finalize()
 
     def finalize(self) -> None:
         while self.due and self.due[0][0] <= self.watermark:
             ts, id_ = heapq.heappop(self.due)
-            _, user, url = self.pending.pop(id_)
+            _, user, url, topic, p, offset = self.pending.pop(id_)
             near = [c for c in self.clicks.of(user) if ts - self.window <= c[0] <= ts]
             won = max(near, default=[None, None, None])
-            self.out.append({"record_kind": "output", "id": id_, "user_id": user, "ts": ts, "url": url, "click_id": won[1], "campaign_id": won[2]})
+            self.out.append({"record_kind": "output", "id": id_, "user_id": user, "ts": ts, "url": url, "click_id": won[1], "campaign_id": won[2], "topic": topic, "p": p, "offset_no": offset})
 
     def _record(self, e: dict, kind: str, **more) -> None:
         own = {k: e[k] for k in ("id", "user_id", "url", "campaign_id", "topic", "ts", "p", "offset_no")}
         self.out.append({"record_kind": kind, **own, **more})
 
+    def _letter(self, e: dict, error: str, message: str) -> None:
+        self._record(e, "dead_letter", payload=e.get("payload"), error_type=error, error_message=message, attempt_count=1)
+
 
 class _Known:
     """Contents of ids, read once and written at the end of a batch."""
@@ -140,6 +153,17 @@ class _Clicks:
                 self.state.updateValue((user,), (json.dumps(kept),))
 
 
+def _frame(records: list[dict]) -> pd.DataFrame:
+    # plain objects: numbers with nulls stay whole numbers
+    return pd.DataFrame({n: pd.Series([r.get(n) for r in records], dtype=object) for n in RECORD.names})
+
+
+def _rows(frames: Iterator[pd.DataFrame], order: list[str]) -> list[dict]:
+    """Rows of a key in order; they may come in several chunks."""
+    batch = pd.concat(list(frames)).sort_values(order, kind="stable")
+    return batch.astype(object).where(batch.notna(), None).to_dict("records")
+
+
 class AttributionProcessor(StatefulProcessor):
     def __init__(self, settings: Settings):
         self.settings = settings
@@ -151,15 +175,13 @@ class AttributionProcessor(StatefulProcessor):
         self.clicks = handle.getMapState("clicks", "user_id string", "clicks string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        # a key's rows may come in several chunks: order holds over all of them
-        batch = pd.concat(list(rows)).sort_values(["arrival", "offset_no"], kind="stable")
         latest, swept = self.latest.get() if self.latest.exists() else (None, None)
         held = {id_: json.loads(view) for (id_,), (view,) in self.pending.iterator()}
         before = set(held)
         known, clicks = _Known(self.known), _Clicks(self.clicks)
         state = Partition(self.settings, latest, held, known, clicks)
-        for e in batch.astype(object).where(batch.notna(), None).to_dict("records"):
-            e.update(ts=int(e["ts"]), p=int(e["p"]), offset_no=int(e["offset_no"]))
+        for e in _rows(rows, ["arrival", "offset_no"]):
+            e.update({k: None if e[k] is None else int(e[k]) for k in ("ts", "p", "offset_no")})
             state.handle(e)
         known.save()
         for id_ in before - set(held):
@@ -171,8 +193,7 @@ class AttributionProcessor(StatefulProcessor):
             sweep = swept is None or cutoff - swept >= state.window
             clicks.save(cutoff, sweep)
             self.latest.update((state.latest, cutoff if sweep else swept))
-        # plain objects: numbers with nulls stay whole numbers
-        yield pd.DataFrame({n: pd.Series([r.get(n) for r in state.out], dtype=object) for n in RECORD.names})
+        yield _frame(state.out)
 
     def close(self) -> None:
         pass
@@ -180,9 +201,11 @@ class AttributionProcessor(StatefulProcessor):
 
 def attribution_records(events: DataFrame, settings: Settings | None = None) -> DataFrame:
     """The tagged stream (``RECORD``) of ``events``: a stream of ``kind, id,
-    user_id, ts (timestamp), campaign_id, url, topic, p, offset_no, arrival``.
-    One shuffle, by log partition."""
+    user_id, ts (timestamp), campaign_id, url, topic, p, offset_no, arrival`` and,
+    where there are any, ``payload`` and ``reason`` (of broken records).  One
+    shuffle, by log partition."""
     events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    given = lambda c: F.col(c) if c in events.columns else F.lit(None).cast("string").alias(c)
     typed = events.select(
         "kind",
         F.col("id").cast("string").alias("id"),
@@ -194,7 +217,69 @@ def attribution_records(events: DataFrame, settings: Settings | None = None) ->
         F.col("p").cast("long").alias("p"),
         F.col("offset_no").cast("long").alias("offset_no"),
         F.col("arrival").cast("long").alias("arrival"),
+        given("payload"),
+        given("reason"),
     )
     return typed.groupBy("p").transformWithStateInPandas(AttributionProcessor(settings or Settings()), RECORD, "Append", "None")
 
 
+def output_problem(r: dict) -> str | None:
+    """Why an output record may not be written; as ``tables.output_problem``."""
+    for name, key in (("page_view_id", "id"), ("user_id", "user_id"), ("url", "url")):
+        if text_is_blank(r[key]):
+            return f"{name} is missing"
+    if r["ts"] is None:
+        return "event_time is missing"
+    return "attribution is incomplete" if text_is_blank(r["campaign_id"]) != text_is_blank(r["click_id"]) else None
+
+
+class GuardProcessor(StatefulProcessor):
+    """What was first passed for an id, over all log partitions."""
+
+    def __init__(self, settings: Settings):
+        self.settings = settings
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.first = handle.getValueState("first", "content string")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        out, first = [], json.loads(self.first.get()[0]) if self.first.exists() else None
+        before = first
+        for r in _rows(rows, ["p", "offset_no"]):
+            r.update({n: None if r[n] is None else int(r[n]) for n in _NUMBER})
+            click = r["record_kind"] == "ledger" and r["topic"] == CLICKS_TOPIC and r["status"] == INSERTED and r["processing_status"] == PROCESSED
+            if r["record_kind"] == "output":
+                content, problem = [r["user_id"], r["ts"], r["url"], r["campaign_id"], r["click_id"]], output_problem(r)
+                if problem is None and first is not None and first != content:
+                    problem = "page_view_id is stored with other content"
+                if problem is not None:
+                    out.append({**r, "record_kind": "dead_letter", "error_type": RETRY_EXHAUSTED, "error_message": problem, "attempt_count": self.settings.max_retries + 1})
+                elif first is None:
+                    first = content
+                    out.append(r)
+                continue
+            if click:
+                content = [r["user_id"], r["ts"], r["campaign_id"]]
+                if first is None:
+                    first = content
+                elif first != content:
+                    out.append({**r, "record_kind": "dead_letter", "error_type": CLICK_CONFLICT, "error_message": CLICK_CONFLICT_MESSAGE, "attempt_count": 1})
+                    r.update(status=CONFLICT, processing_status=DEAD_LETTER)
+                else:
+                    r.update(status=DUPLICATE)
+            out.append(r)
+        if first is not None and before is None:
+            self.first.update((json.dumps(first),))
+        yield _frame(out)
+
+    def close(self) -> None:
+        pass
+
+
+def guarded(records: DataFrame, settings: Settings | None = None) -> DataFrame:
+    """``records`` with ids known over all log partitions.  One shuffle, by id;
+    records without such an id are spread by their place in the log."""
+    click = (F.col("record_kind") == "ledger") & (F.col("topic") == CLICKS_TOPIC) & (F.col("status") == INSERTED) & (F.col("processing_status") == PROCESSED)
+    place = F.concat_ws("|", F.lit("place"), "topic", "p", "offset_no")
+    key = F.when(F.col("record_kind") == "output", F.concat(F.lit("view|"), F.coalesce("id", F.lit("")))).when(click, F.concat(F.lit("click|"), "id")).otherwise(place)
+    return records.withColumn("guard", key).groupBy("guard").transformWithStateInPandas(GuardProcessor(settings or Settings()), RECORD, "Append", "None")
