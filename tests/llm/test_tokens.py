@@ -144,3 +144,28 @@ def test_separator_scan_of_raw_blocks(spark):
     blocks = spark.createDataFrame([(s, b, 2, bytearray(np.array(x, "<u2").tobytes())) for s, b, x in data], "shard int, block int, width int, ids binary")
     found = [tuple(r) for r in separators.count_tokens(blocks, end_id=e).orderBy("shard", "ordinal").collect()]
     assert found == [(0, 0, 0, 2, True), (0, 1, 3, 0, True), (0, 2, 4, 4, True), (0, 3, 9, 1, False), (1, 0, 0, 1, False)]
+
+
+def test_raw_id_files(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    expected = {}
+    for name in ("a", "b", "empty"):
+        ids = rng.integers(0, 6, 0 if name == "empty" else 1000).astype("<u4")
+        (tmp_path / f"{name}.bin").write_bytes(ids.tobytes())
+        sizes, n = [], 0
+        for x in ids.tolist():
+            if x == 5:
+                sizes.append((n, True))
+                n = 0
+            else:
+                n += 1
+        expected[name] = sizes + [(n, False)] * bool(n)
+    for block in (7, 1 << 18):
+        found = separators.count_tokens(separators.read_id_files(spark, str(tmp_path), 4, block), end_id=5).orderBy("shard", "ordinal").collect()
+        by = {}
+        for r in found:
+            by.setdefault(r.shard.rsplit("/", 1)[1].removesuffix(".bin"), []).append((r.n_tokens, r.closed))
+        assert by == {k: v for k, v in expected.items() if v}
+    (tmp_path / "odd.bin").write_bytes(b"123")
+    with pytest.raises(Exception, match="no whole number of ids"):
+        separators.read_id_files(spark, str(tmp_path), 4).count()

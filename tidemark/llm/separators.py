@@ -74,21 +74,45 @@ def write_flat_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = E
     rows.mapInArrow(encode, f"{_DDL}, doc_ids array<{dict(docs.dtypes)[doc_id]}>").write.option("compression", "zstd").option("parquet.enable.dictionary", "false").option("parquet.block.size", str(16 << 20)).parquet(path)
 
 
+def read_id_files(spark: SparkSession, path: str, width: int, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """Blocks (``shard, block, width, ids``) of raw id files, little-endian ids of
+    ``width`` bytes and nothing else; a file is a shard, named by its path.
+
+    A task holds a file at a time, so files should be shards of some hundred
+    megabytes; Spark's reader refuses those beyond two gigabytes.  Bytes after
+    the last whole id are an error.
+    """
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                data = batch.column(1)[k].as_buffer()
+                if data.size % width:
+                    raise ValueError(f"{batch.column(0)[k].as_py()} has {data.size} bytes, no whole number of ids")
+                for n, at in enumerate(range(0, data.size, block_tokens * width)):
+                    own = memoryview(data)[at : at + block_tokens * width]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), pa.array([n], pa.int32()), pa.array([width], pa.int32()), pa.array([own], pa.binary())], ["shard", "block", "width", "ids"])
+
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return files.mapInArrow(split, "shard string, block int, width int, ids binary")
+
+
 def count_tokens(blocks: DataFrame, end_id: int = END_ID) -> DataFrame:
     """``shard, ordinal, start, n_tokens, closed`` of each document in
     ``blocks`` (``shard, block, width, ids``); ``start`` counts ids of the
     shard before it, ends included, and ``n_tokens`` leaves the end out."""
     small_batches(blocks.sparkSession)
-    schema = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("size", pa.int64()), ("ends", pa.list_(pa.int64()))])
+    shard_kind = blocks.schema["shard"].dataType
+    schema = pa.schema([("shard", to_arrow_type(shard_kind)), ("block", pa.int32()), ("size", pa.int64()), ("ends", pa.list_(pa.int64()))])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             shard, block, width, data = batch.columns
             ids = [np.frombuffer(data[i].as_buffer(), f"<u{width[i].as_py()}") for i in range(batch.num_rows)]
             ends = [np.flatnonzero(x == end_id) for x in ids]
-            yield pa.RecordBatch.from_arrays([shard, block, pa.array([len(x) for x in ids], pa.int64()), pa.array(ends, pa.list_(pa.int64()))], schema=schema)
+            yield pa.RecordBatch.from_arrays([shard.cast(schema.field("shard").type), block, pa.array([len(x) for x in ids], pa.int64()), pa.array(ends, pa.list_(pa.int64()))], schema=schema)
 
-    found = blocks.select("shard", "block", "width", "ids").mapInArrow(scan, "shard int, block int, size long, ends array<long>")
+    found = blocks.select("shard", "block", "width", "ids").mapInArrow(scan, f"shard {shard_kind.simpleString()}, block int, size long, ends array<long>")
     order = Window.partitionBy("shard").orderBy("block")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     zero = F.lit(0).cast("long")
