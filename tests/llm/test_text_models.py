@@ -294,7 +294,7 @@ def plain_toxicity(rows):
     def evidence(text):
         s = score(text)
         bits = [low * z - math.log(max(1.0, k * len(s))) for _, _, z in brute_segments(s)]
-        return math.log1p(sum(b for b in bits if b > 0))
+        return sum(b for b in bits if b > 0)
 
     held = [(evidence(text), label) for text, label, fold in rows if not fold]
     a, b = toxicity._logistic(np.array([x for x, _ in held]), np.array([float(y) for _, y in held]))

@@ -119,7 +119,7 @@ class Model:
         return self.scale * segment_score - math.log(max(1.0, self.k * n))
 
     def evidence(self, passages: list[tuple[int, int, float]]) -> float:
-        return math.log1p(sum(b for _, _, b in passages))
+        return float(sum(b for _, _, b in passages))
 
     def score(self, passages: list[tuple[int, int, float]]) -> float:
         a, b = self.curve
