@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate, mixing, simhash, token_files, toxicity
-from tidemark.llm.common import scratch_path, table
+from tidemark.llm.common import remove, scratch_path, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,10 +61,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, each written as Parquet and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages, each written as Parquet and read again; a stage's table goes
+    when the next one is written.  The last stage writes its files before it
+    returns, so it needs its input no longer."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         path = scratch_path(spark, f"stage-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
-    return STAGES[-1][1](spark, docs, sf_dir)
+        if before:
+            remove(spark, before)
+        before = path
+    found = STAGES[-1][1](spark, docs, sf_dir)
+    remove(spark, before)
+    return found

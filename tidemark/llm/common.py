@@ -2,14 +2,14 @@
 reading and Arrow batch plumbing.
 
 Scratch tables live below the checkpoint folder of the session
-(``spark.checkpoint.dir``), which every executor and the driver can reach.  A
-folder of our own is chosen only where that setting is unset, as in tests.
+(``spark.checkpoint.dir``), which every executor and the driver can reach.
+Tables that a result reads belong to whoever holds the result; those of the
+pipeline's stages are removed when the next stage is written.
 """
 
 from __future__ import annotations
 
 import re
-import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -17,6 +17,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.columns import cut, shared_dir
+
+__all__ = ["BATCH_ROWS", "SPACES", "bounded_sample", "columns", "cut", "id_bucket", "map_rows", "remove", "rows_of", "scratch_path", "shared_dir", "small_batches", "table", "to_batch"]
+
 #: Rows of an Arrow batch sent to Python.  Texts may be long, so the default
 #: of ten thousand rows could be gigabytes.
 BATCH_ROWS = 500
@@ -25,23 +29,14 @@ BATCH_ROWS = 500
 SPACES = " \t\n\x0b\x0c\r"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-"))
-    return sc.getCheckpointDir()
-
-
 def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared folder and forget its lineage.  The
-    files go when the last reference to the result does."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a scratch table that nothing reads any more."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
 def small_batches(spark: SparkSession) -> None:
