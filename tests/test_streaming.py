@@ -174,3 +174,21 @@ def test_kafka_options():
 def test_sample_is_in_order_of_arrival(spark):
     df = sample.envelopes(spark)
     assert df.count() == 12 and df.select(F.countDistinct("partition")).first()[0] == 3
+
+
+def test_output_as_json_lines(spark, tmp_path):
+    rows = [(f"v{n}", "u", datetime(2024, 1, 1, 12, n), "/", *w) for n, w in enumerate([("a", "c"), (None, None)])]
+    df = spark.createDataFrame(rows, "page_view_id string, user_id string, event_time timestamp, url string, attributed_campaign_id string, attributed_click_id string")
+    df.write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in")
+    query = sink.start_json_lines(stream, f"{tmp_path}/out", f"{tmp_path}/c")
+    query.processAllAvailable()
+    query.stop()
+    found = sorted((json.loads(r[0]) for r in spark.read.text(f"{tmp_path}/out").collect()), key=lambda r: r["page_view_id"])
+    assert found[1] == {"page_view_id": "v1", "user_id": "u", "event_time": "2024-01-01T12:01:00Z", "url": "/", "attributed_campaign_id": None, "attributed_click_id": None}
+    assert found[0]["attributed_click_id"] == "c"
+
+
+def test_kafka_needs_its_connector(spark):
+    with pytest.raises(Exception, match="(?i)kafka"):
+        streams.from_kafka(spark, "localhost:9092")

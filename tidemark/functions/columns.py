@@ -42,6 +42,11 @@ def epoch_ms(x: str | Column) -> Column:
     return F.unix_millis(col(x).cast("timestamp"))
 
 
+def from_epoch_ms(x: str | Column) -> Column:
+    """The time that ``epoch_ms`` stored, to the millisecond."""
+    return F.timestamp_millis(col(x))
+
+
 def differs(left: str, right: str, columns: tuple[str, ...]) -> Column:
     """Whether any of ``columns`` differs, nulls being equal to nulls."""
     out = F.lit(False)

@@ -89,6 +89,13 @@ def pending_views(rows: DataFrame, lateness: int) -> DataFrame:
     return accepted(rows, lateness).where("kind = 'view'").join(ends, "p").where("ts > wm")
 
 
+def flush_pending(rows: DataFrame, lateness: int, window: int) -> DataFrame:
+    """Views that no watermark has passed yet, with their winners among what was
+    accepted so far: for the end of a log, or of a partition that went idle."""
+    ends = final_watermarks(rows).withColumn("wm", F.col("max_event_time") - minutes(lateness)).select("p", "wm")
+    return attribute(accepted(rows, lateness), window).join(ends, "p").where("ts > wm").drop("wm")
+
+
 def output_rows(attributed: DataFrame) -> DataFrame:
     """Output columns from views with ``click``."""
     return attributed.select(

@@ -55,6 +55,11 @@ def write_output(new: DataFrame, stored: DataFrame, order: Sequence[str] = ()) -
     return append, checked.where("problem IS NOT NULL").unionByName(other.withColumn("problem", F.lit("page_view_id is stored with other content")))
 
 
+def output_by_id(output: DataFrame, ids: DataFrame) -> DataFrame:
+    """Stored output rows of the ids in ``page_view_id``."""
+    return output.join(ids.select("page_view_id").distinct(), "page_view_id", "left_semi")
+
+
 def pending_status(pending: DataFrame, output: DataFrame) -> DataFrame:
     """``pending`` with its status derived from the output table."""
     done = output.select(F.col("page_view_id").alias("id")).distinct().withColumn("_done", F.lit(True))

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import minutes
+from ..functions.columns import epoch_ms, from_epoch_ms, minutes
 from .scan import with_running_max
 
 ORDER = ("arrival", "id")
@@ -43,6 +43,16 @@ def final_watermarks(rows: DataFrame) -> DataFrame:
     return rows.groupBy("p").agg(F.max("ts").alias("max_event_time"))
 
 
+def stored_watermarks(state: DataFrame) -> DataFrame:
+    """``partition_no, max_event_time, max_event_time_epoch_ms`` of ``p, max_event_time``."""
+    return state.select(F.col("p").alias("partition_no"), "max_event_time", epoch_ms("max_event_time").alias("max_event_time_epoch_ms"))
+
+
+def restored_watermarks(stored: DataFrame) -> DataFrame:
+    """The state of a restart, from the stored numbers."""
+    return stored.select(F.col("partition_no").alias("p"), from_epoch_ms("max_event_time_epoch_ms").alias("max_event_time"))
+
+
 def upsert_watermarks(state: DataFrame, observed: DataFrame) -> DataFrame:
     """Monotone upsert: both have ``p, max_event_time``."""
     return state.select("p", "max_event_time").unionByName(observed.select("p", "max_event_time")).groupBy("p").agg(F.max("max_event_time").alias("max_event_time"))

@@ -198,6 +198,12 @@ def oracle_sql() -> dict[str, str]:
         "global_min_watermark": sql(rows, select="SELECT min(m) AS min_event_time FROM (SELECT max(ts) AS m FROM rows GROUP BY p)"),
         "watermark_upsert": sql(rows, select="SELECT p, max(ts) AS max_event_time FROM rows GROUP BY p"),
         "pending_views": sql(rows, marked, select="SELECT id, p, user_id, ts, url FROM accepted a WHERE kind = 'view' AND ts > (SELECT max(ts) FROM rows r WHERE r.p = a.p) - INTERVAL 15 MINUTE"),
+        "pending_flush": sql(rows, marked, select="""SELECT id AS page_view_id, user_id, ts AS event_time, url, won AS attributed_campaign_id, click_id AS attributed_click_id FROM (
+  SELECT v.*, c.id AS click_id, c.campaign_id AS won, row_number() OVER (PARTITION BY v.id ORDER BY c.ts DESC NULLS LAST, c.id DESC) AS n
+  FROM (SELECT * EXCLUDE (campaign_id) FROM accepted a WHERE kind = 'view' AND ts > (SELECT max(ts) FROM rows r WHERE r.p = a.p) - INTERVAL 15 MINUTE) v
+  LEFT JOIN accepted c ON c.kind = 'click' AND c.user_id = v.user_id AND c.ts BETWEEN v.ts - INTERVAL 24 HOUR AND v.ts) WHERE n = 1"""),
+        "restored_watermarks": sql(rows, select="SELECT p, strftime(max(ts), '%Y-%m-%dT%H:%M:%SZ') AS max_event_time FROM rows GROUP BY p"),
+        "output_lookup": sql(rows, day, select="SELECT * FROM output WHERE page_view_id % 10 = 0"),
         "pending_status": sql(rows, watermarked(15), select="SELECT id, user_id, ts, CASE WHEN id IN (SELECT page_view_id FROM output) THEN 'EMITTED' ELSE 'PENDING' END AS pending_status FROM accepted WHERE kind = 'view'"),
         "click_classification": sql(rows, RESENT, select="SELECT id, offset_no, arrival, campaign_id, status FROM classed WHERE kind = 'click'"),
         "first_arrival_views": sql(rows, RESENT, select="SELECT id, user_id, ts, url, offset_no, arrival FROM firsts WHERE kind = 'view'"),

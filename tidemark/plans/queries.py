@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import epoch_ms, format_time
+from ..functions.columns import format_time
 from ..operators import attribution, dedup, ingest, ledger, maintenance, tables, watermark
 from ..schema import ACTIVE, CLICKS_TOPIC, EVICTED, LEDGER_KEY, VIEWS_TOPIC
 from ..sources import events
@@ -52,8 +52,12 @@ def late_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def partition_watermarks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = watermark.final_watermarks(events.load(spark, sf_dir))
-    return found.select(F.col("p").alias("partition_no"), "max_event_time", epoch_ms("max_event_time").alias("max_event_time_epoch_ms")).orderBy("partition_no")
+    return watermark.stored_watermarks(watermark.final_watermarks(events.load(spark, sf_dir))).orderBy("partition_no")
+
+
+def restored_watermarks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = watermark.restored_watermarks(watermark.stored_watermarks(watermark.final_watermarks(events.load(spark, sf_dir))))
+    return found.select("p", format_time("max_event_time").alias("max_event_time"))
 
 
 def global_min_watermark(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,6 +75,10 @@ def pending_views(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("id", "p", "user_id", "ts", "url").orderBy("ts", "id")
 
 
+def pending_flush(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _attributed(attribution.flush_pending(events.load(spark, sf_dir), L, DAY))
+
+
 def pending_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = events.load(spark, sf_dir)
     views = watermark.accepted(rows, L).where("kind = 'view'").select("id", "user_id", "ts")
@@ -233,6 +241,12 @@ def output_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.conflicts(changed, _stored(spark, sf_dir), ["page_view_id"], attribution_columns())
 
 
+def output_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored output of every click's id and of every tenth view's."""
+    asked = events.load(spark, sf_dir).where("kind = 'click' OR id % 10 = 0").select(F.col("id").alias("page_view_id"))
+    return tables.output_by_id(attribution_asof_24h(spark, sf_dir), asked)
+
+
 def _broken_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Output rows, some invalid, some sent twice with other content."""
     rows = attribution_asof_24h(spark, sf_dir)

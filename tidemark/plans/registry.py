@@ -17,9 +17,11 @@ NAMES = (
     "running_watermark",
     "late_events",
     "partition_watermarks",
+    "restored_watermarks",
     "global_min_watermark",
     "watermark_upsert",
     "pending_views",
+    "pending_flush",
     "pending_status",
     "click_classification",
     "click_classification_stored",
@@ -42,6 +44,7 @@ NAMES = (
     "click_archive_cutoffs",
     "insert_if_absent",
     "output_conflicts",
+    "output_lookup",
     "output_validity",
     "output_writes",
     "retry_exhausted",

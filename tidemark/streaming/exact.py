@@ -5,7 +5,9 @@ order of arrival against its state and emits output rows, ledger rows and
 dead letters as one tagged stream.  All state sits in the state store: the
 partition's latest accepted time, recent clicks by user, pending views, and
 the content of every id seen, without expiry, since the horizon of duplicates
-is unlimited.  So many tasks work as there are log partitions.
+is unlimited.  So many tasks work as there are log partitions.  Clicks leave
+the state by their own partition's watermark, which no view of it can need; the
+batch form evicts by the least watermark of all partitions.
 
 A second operator, keyed by id (``guarded``), knows ids over all partitions: an
 output row is passed once, and a dead letter if it is invalid or differs from
