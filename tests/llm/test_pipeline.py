@@ -29,7 +29,7 @@ def tables(spark, tmp_path_factory):
     rows += [(1100 + i, t.upper() if i % 2 else t) for i, t in enumerate(base)]
     rows += [(1200 + i, base[0]) for i in range(30)]
     rows += [(1300 + i, f"{rng.choice(rows[1:90])[1]} {items[i % 5][1][:60 + i]} the end") for i in range(10)]
-    rows += [(1400, None), (1401, ""), (None, "a text without an id " * 3), (1000, base[0])]
+    rows += [(1400, None), (1401, ""), (1402, " ".join(f"long{i % 977} tail{i % 13}" for i in range(8000))), (None, "a text without an id " * 3), (1000, base[0])]
     docs = [(i, t, "en", "hot" if n % 3 else f"s{n % 7}", len(t or ""), "x") for n, (i, t) in enumerate(rows)]
     at = str(tmp_path_factory.mktemp("tables"))
     spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long, size string").write.parquet(f"{at}/documents.parquet")

@@ -22,7 +22,7 @@ def brute(text):
 
 def test_base_counts_equal_brute_force(make_docs, odd):
     rng = random.Random(3)
-    rows = odd[:5] + odd[6:] + [(100 + i, "".join(rng.choice(["a ", "b ", "c\n", "é ", "# ", "a b c d e f "]) for _ in range(rng.randrange(60)))) for i in range(60)]
+    rows = odd + [(100 + i, "".join(rng.choice(["a ", "b ", "c\n", "é ", "# ", "a b c d e f "]) for _ in range(rng.randrange(60)))) for i in range(60)]
     found = quality.quality_filter(make_docs(rows)).collect()
     expected = Counter((i, *brute(t)) for i, t in rows)
     assert Counter((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in found) == expected
@@ -59,3 +59,16 @@ def test_sample_of_files_and_of_anything_else(spark, make_docs, tmp_path):
 
 def test_empty(make_docs):
     assert quality.quality_filter(make_docs([])).count() == 0
+
+
+def test_only_texts_that_enter_the_cascade_are_measured(make_docs, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(quality, "order_rules", lambda masks, seconds, names: seen.update(n=sum(n for _, n in masks)) or names)
+    rows = [(i, "too short") for i in range(5)] + [(9, "one two three four five six seven eight nine ten eleven")]
+    quality.plan_cascade(make_docs(rows))
+    assert seen["n"] == 1
+
+
+def test_ids_keep_their_type(spark):
+    docs = spark.createDataFrame([("x", "a b"), (None, None)], "doc_id string, text string")
+    assert {r.doc_id for r in quality.quality_filter(docs).collect()} == {"x", None}

@@ -169,3 +169,12 @@ def test_raw_id_files(spark, tmp_path):
     (tmp_path / "odd.bin").write_bytes(b"123")
     with pytest.raises(Exception, match="no whole number of ids"):
         separators.read_id_files(spark, str(tmp_path), 4).count()
+
+
+def test_ids_keep_their_type(spark, tmp_path):
+    docs = spark.createDataFrame([("y", "a b"), (None, None), ("x", "c")], "doc_id string, text string")
+    token_files.write_token_files(docs, f"{tmp_path}/t", PATH)
+    assert [r.doc_id for r in token_files.read_token_files(spark, f"{tmp_path}/t").orderBy("start").collect()] == [None, "x", "y"]
+    separators.write_flat_files(docs, f"{tmp_path}/f", PATH)
+    blocks, names = separators.read_flat_files(spark, f"{tmp_path}/f")
+    assert {(r.doc_id, r.n_tokens) for r in names.join(separators.count_tokens(blocks), ["shard", "ordinal"]).collect()} == {("y", 2), (None, 0), ("x", 1)}

@@ -25,6 +25,9 @@ __all__ = ["BATCH_ROWS", "SPACES", "bounded_sample", "columns", "cut", "id_bucke
 #: of ten thousand rows could be gigabytes.
 BATCH_ROWS = 500
 
+#: Tables of long texts.
+TEXTS = ("documents", "conversations")
+
 #: Separators of words, in the sense of ``[^\x20\x09-\x0D]+``.
 SPACES = " \t\n\x0b\x0c\r"
 
@@ -48,7 +51,11 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; one of texts that has fewer splits than the cluster has cores,
+    such as a single file, is dealt over all of them."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if name in TEXTS and df.rdd.getNumPartitions() < cores else df
 
 
 def columns(df: DataFrame, *names: str) -> DataFrame:
