@@ -178,3 +178,16 @@ def test_ids_keep_their_type(spark, tmp_path):
     separators.write_flat_files(docs, f"{tmp_path}/f", PATH)
     blocks, names = separators.read_flat_files(spark, f"{tmp_path}/f")
     assert {(r.doc_id, r.n_tokens) for r in names.join(separators.count_tokens(blocks), ["shard", "ordinal"]).collect()} == {("y", 2), (None, 0), ("x", 1)}
+
+
+def test_equal_rows_spread_over_shards(spark, tmp_path):
+    docs = spark.range(4000).selectExpr("7L AS doc_id", "'the same text' AS text").repartition(4)
+    key = "spark.sql.adaptive.coalescePartitions.enabled"  # this little would be one partition
+    spark.conf.set(key, "false")
+    try:
+        token_files.write_token_files(docs, f"{tmp_path}/t", PATH)
+    finally:
+        spark.conf.unset(key)
+    assert spark.read.parquet(f"{tmp_path}/t").select("shard").distinct().count() > 1
+    found = token_files.read_token_files(spark, f"{tmp_path}/t").orderBy("start").collect()
+    assert [r.start for r in found] == [k * found[0].n_tokens for k in range(4000)]

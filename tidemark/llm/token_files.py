@@ -110,8 +110,9 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
     """Encode every text of ``docs`` and write blocks in ascending id order.
 
     One range shuffle of the texts by id; shard ``k`` holds the ``k``-th range.
-    The ranges come from Spark's bounded sample of keys, and a second key, the
-    hash of the text, lets rows with one id spread over several shards.
+    The ranges come from Spark's bounded sample of keys; two more keys, the hash
+    of the text and the row's place in the input, let rows of one id, and equal
+    rows too, spread over several shards.
     """
     small_batches(docs.sparkSession)
     schema = _BLOCK.append(pa.field("doc_ids", pa.list_(to_arrow_type(docs.schema[doc_id].dataType))))
@@ -138,8 +139,9 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
 
     rows = columns(docs, doc_id, text).toDF("doc_id", "text")
     tie = F.xxhash64("text")
-    ordered = rows.repartitionByRange("doc_id", tie).sortWithinPartitions("doc_id", tie, "text")
-    blocks = ordered.mapInArrow(encode, f"{_DDL}, doc_ids array<{dict(docs.dtypes)[doc_id]}>")
+    placed = rows.withColumn("place", F.monotonically_increasing_id())
+    ordered = placed.repartitionByRange("doc_id", tie, "place").sortWithinPartitions("doc_id", tie, "text")
+    blocks = ordered.drop("place").mapInArrow(encode, f"{_DDL}, doc_ids array<{dict(docs.dtypes)[doc_id]}>")
     blocks.write.option("compression", "zstd").option("parquet.enable.dictionary", "false").option("parquet.block.size", str(16 << 20)).parquet(path)
 
 
