@@ -119,7 +119,9 @@ def test_slots(make_docs, spark):
     assert {r.first_slot for r in found if r.taken} <= {s.slot for s in slots}
 
 
-def test_output_is_in_the_order_of_the_schedule(make_docs):
+@pytest.mark.parametrize("part_slots", [1 << 15, 50])
+def test_output_is_in_the_order_of_the_schedule(make_docs, monkeypatch, part_slots):
+    monkeypatch.setattr(mixing, "PART_SLOTS", part_slots)
     rows = [r for r in documents(4) if r[0] not in (5, None)]
     slot = {r.doc_id: r.first_slot for r in mixing.mix(make_docs(rows), block_words=16).collect()}
     seen, firsts = set(), []
