@@ -5,9 +5,9 @@ The lines of a text, and its paragraphs of more than one line, are normalised
 to lower-case words.  A unit can reach the threshold ``t`` with a template of
 ``m`` bigrams only if it has between ``t m / (2 - t)`` and ``m (2 - t) / t``
 bigrams and shares at least ``t m / (2 - t)`` of them; so it must hold one of
-any ``m - ceil(t m / (2 - t)) + 1`` bigrams of the template, and the longer
-word of it.  Units without such a word are dropped before bigrams are made,
-templates of other sizes before bigrams are compared.  Nothing is lost.
+any ``m - ceil(t m / (2 - t)) + 1`` bigrams of the template, and the rarer
+word of it.  Texts without such a word aren't cut into units at all, units
+without one are dropped before bigrams are made, templates of other sizes before bigrams are compared.  Nothing is lost.
 
 Notices inside longer lines or blocks are found in windows over the words of
 the whole text, line ends and comment marks being gaps like any other; lines
@@ -76,12 +76,17 @@ def template_bigrams(text: str) -> list[str]:
     return list(dict.fromkeys(f"{a} {b}" for a, b in zip(words, words[1:], strict=False)))
 
 
+#: Words that most English texts hold: the last to be looked for.
+COMMON = frozenset("a all an and any are as at be by for from in is it may not of on or that the this to was were which with you".split())
+
+
 def gate_words(bigrams: list[str], threshold: float) -> set[str]:
     """A word for each of enough bigrams that a match can't miss them all,
-    taken where the longer word is longest: such words are rare in prose."""
+    long ones where there is a choice: such words are rare in prose."""
     needed = math.ceil(threshold * len(bigrams) / (2 - threshold) - 1e-9)
-    longer = sorted((max(b.split(), key=len) for b in bigrams), key=lambda w: (-len(w), w))
-    return set(longer[: len(bigrams) - needed + 1])
+    rank = lambda w: (w in COMMON, -len(w), w)
+    rarer = sorted((min(b.split(), key=rank) for b in bigrams), key=rank)
+    return set(rarer[: len(bigrams) - needed + 1])
 
 
 def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, threshold: float = THRESHOLD, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -128,7 +133,10 @@ def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, threshold: f
         return F.transform(F.filter(F.array(best), lambda b: b["dice"] >= threshold), lambda b: F.struct(t["license"].alias("license"), b["dice"].alias("dice"), cut_(-b["at"], b["n"]).alias("bigrams")))
 
     rows = columns(docs, doc_id, text).toDF("doc_id", "text")
-    rows = rows.select("doc_id", "text", F.filter(words, lambda w: F.arrays_overlap(w, gates)).alias("gated"))
+    # most texts hold no such word: only the others are cut into units
+    rows = rows.select("doc_id", "text", F.arrays_overlap(F.split(plain(body), " "), gates).alias("hopeful"))
+    no_units = F.array().cast("array<array<string>>")
+    rows = rows.select("doc_id", "text", F.when(F.col("hopeful"), F.filter(words, lambda w: F.arrays_overlap(w, gates))).otherwise(no_units).alias("gated"))
     rows = rows.select("doc_id", bigrams.alias("units"), F.when(F.size("gated") > 0, rest).alias("rest"))
     rows = rows.select("doc_id", F.flatten(F.transform("units", against)).alias("matches"), F.when((F.size("rest") >= fewest) & F.arrays_overlap("rest", gates), pairs(F.col("rest"))).alias("run"))
     rows = rows.select("doc_id", "matches", "run", F.array_intersect("run", every).alias("hits"))
