@@ -235,43 +235,58 @@ def output_problem(r: dict) -> str | None:
     return "attribution is incomplete" if text_is_blank(r["campaign_id"]) != text_is_blank(r["click_id"]) else None
 
 
+#: Groups of ids in the state of the second operator; fixed for a stream's life.
+GUARDS = 256
+
+
+def _guarded_id(r: dict) -> str | None:
+    """What the second operator knows a record by, or None if it just passes."""
+    if r["record_kind"] == "output":
+        return f"view|{r['id']}"
+    if r["record_kind"] == "ledger" and r["topic"] == CLICKS_TOPIC and (r["status"], r["processing_status"]) == (INSERTED, PROCESSED):
+        return f"click|{r['id']}"
+    return None
+
+
 class GuardProcessor(StatefulProcessor):
-    """What was first passed for an id, over all log partitions."""
+    """What was first passed for each id, over all log partitions."""
 
     def __init__(self, settings: Settings):
         self.settings = settings
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.first = handle.getValueState("first", "content string")
+        self.first = handle.getMapState("first", "id string", "content string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        out, first = [], json.loads(self.first.get()[0]) if self.first.exists() else None
-        before = first
+        out, known = [], _Known(self.first)
         for r in _rows(rows, ["p", "offset_no"]):
-            r.update({n: None if r[n] is None else int(r[n]) for n in _NUMBER})
-            click = r["record_kind"] == "ledger" and r["topic"] == CLICKS_TOPIC and r["status"] == INSERTED and r["processing_status"] == PROCESSED
-            if r["record_kind"] == "output":
-                content, problem = [r["user_id"], r["ts"], r["url"], r["campaign_id"], r["click_id"]], output_problem(r)
+            r = {n: r[n] if n in _TEXT or r[n] is None else int(r[n]) for n in RECORD.names}
+            id_ = _guarded_id(r)
+            if id_ is None:
+                out.append(r)
+                continue
+            output = r["record_kind"] == "output"
+            content = [r["user_id"], r["ts"], r["campaign_id"], *([r["url"], r["click_id"]] if output else [])]
+            first = known.get(id_)
+            letter = {**r, "record_kind": "dead_letter"}
+            if output:
+                problem = output_problem(r)
                 if problem is None and first is not None and first != content:
                     problem = "page_view_id is stored with other content"
                 if problem is not None:
-                    out.append({**r, "record_kind": "dead_letter", "error_type": RETRY_EXHAUSTED, "error_message": problem, "attempt_count": self.settings.max_retries + 1})
-                elif first is None:
-                    first = content
-                    out.append(r)
-                continue
-            if click:
-                content = [r["user_id"], r["ts"], r["campaign_id"]]
-                if first is None:
-                    first = content
-                elif first != content:
-                    out.append({**r, "record_kind": "dead_letter", "error_type": CLICK_CONFLICT, "error_message": CLICK_CONFLICT_MESSAGE, "attempt_count": 1})
-                    r.update(status=CONFLICT, processing_status=DEAD_LETTER)
-                else:
-                    r.update(status=DUPLICATE)
+                    out.append({**letter, "error_type": RETRY_EXHAUSTED, "error_message": problem, "attempt_count": self.settings.max_retries + 1})
+                    continue
+                if first is not None:
+                    continue
+            elif first is not None and first != content:
+                out.append({**letter, "error_type": CLICK_CONFLICT, "error_message": CLICK_CONFLICT_MESSAGE, "attempt_count": 1})
+                r.update(status=CONFLICT, processing_status=DEAD_LETTER)
+            elif first is not None:
+                r.update(status=DUPLICATE)
+            if first is None:
+                known.put(id_, content)
             out.append(r)
-        if first is not None and before is None:
-            self.first.update((json.dumps(first),))
+        known.save()
         yield _frame(out)
 
     def close(self) -> None:
@@ -279,9 +294,7 @@ class GuardProcessor(StatefulProcessor):
 
 
 def guarded(records: DataFrame, settings: Settings | None = None) -> DataFrame:
-    """``records`` with ids known over all log partitions.  One shuffle, by id;
-    records without such an id are spread by their place in the log."""
-    click = (F.col("record_kind") == "ledger") & (F.col("topic") == CLICKS_TOPIC) & (F.col("status") == INSERTED) & (F.col("processing_status") == PROCESSED)
-    place = F.concat_ws("|", F.lit("place"), "topic", "p", "offset_no")
-    key = F.when(F.col("record_kind") == "output", F.concat(F.lit("view|"), F.coalesce("id", F.lit("")))).when(click, F.concat(F.lit("click|"), "id")).otherwise(place)
-    return records.withColumn("guard", key).groupBy("guard").transformWithStateInPandas(GuardProcessor(settings or Settings()), RECORD, "Append", "None")
+    """``records`` with ids known over all log partitions.  One shuffle, by
+    groups of ids."""
+    group = F.pmod(F.xxhash64(F.coalesce("id", F.concat_ws("|", "topic", "p", "offset_no"))), F.lit(GUARDS))
+    return records.withColumn("guard", group).groupBy("guard").transformWithStateInPandas(GuardProcessor(settings or Settings()), RECORD, "Append", "None")
