@@ -44,6 +44,8 @@ STRETCH = 1 << 14
 CELLS = 1 << 12
 BUCKETS = 1 << 12
 BLOCK_WORDS = 256
+#: Slots of a partition of the resampled table: eight million words.
+PART_SLOTS = 1 << 15
 
 WORD = "[^\\x20\\x09-\\x0D]+"
 
@@ -179,7 +181,8 @@ def _mixed(docs: DataFrame, doc_id: str, text: str, source: str, max_repeats: in
 
 def resample(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", max_repeats: int = 3, block_words: int = BLOCK_WORDS, seed: int = 0) -> DataFrame:
     """Rows of ``docs`` as often as the mix takes them, whole, all columns, in
-    the order of the schedule (ranges of slots, sorted inside).
+    the order of the schedule: partitions are stretches of ``PART_SLOTS`` slots,
+    which play about as many words each, sorted inside.
 
     Copies are the words taken over the row's size, rounded; they differ from
     the mix by one document for each source at most.  Rows equal in id, text
@@ -190,9 +193,12 @@ def resample(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source
     per_key = mixed.where("size > 0").groupBy("doc_id", "source", "digest").agg(F.round(F.sum("taken") / F.sum("size")).cast("int").alias("copies"), slots.alias("slots")).where("copies > 0")
     kept = per_key.select(F.col("doc_id").alias("_kept_id"), F.col("source").alias("_kept_source"), F.col("digest").alias("_kept_text"), F.slice("slots", F.lit(1), F.col("copies")).alias("_slots"))
     body = F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary")
+    kept = cut(kept)
+    last = kept.agg(F.max(F.array_max("_slots"))).first()[0] or 0
     same = F.col(f"`{doc_id}`").eqNullSafe(F.col("_kept_id")) & F.col(f"`{source}`").eqNullSafe(F.col("_kept_source")) & (F.md5(body) == F.col("_kept_text"))
     played = docs.join(kept, same).withColumn("_slot", F.explode("_slots"))
-    return played.repartitionByRange("_slot").sortWithinPartitions("_slot").select(*[F.col(f"`{c}`") for c in docs.columns])
+    dealt = played.repartitionById(last // PART_SLOTS + 1, F.floor(F.col("_slot") / PART_SLOTS).cast("int"))
+    return dealt.sortWithinPartitions("_slot").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
