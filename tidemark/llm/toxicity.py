@@ -129,7 +129,7 @@ class Model:
 class Scorer(dict):
     """Word scores of a model, remembered up to a bound."""
 
-    MEMO = 400_000
+    MEMO = 100_000
 
     def __init__(self, model: Model):
         super().__init__()
@@ -214,7 +214,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
                 words = words_of(text)
                 for pair in set(zip(words, [b"", *words], strict=False)):
                     seen[pair] = seen.get(pair, 0) | 1 + toxic
-                if len(seen) > 300_000:
+                if len(seen) > 150_000:
                     yield flush()
         if seen:
             yield flush()
