@@ -59,8 +59,9 @@ def with_min_from(rows: DataFrame, name: str, value: Column, at: Column, keys: S
     steps = rows.select(*keys, F.col("ts").alias("_at"), value.alias("_v")).groupBy(*keys, "_at").agg(F.min("_v").alias("_v"))
     both = probes.withColumn("_v", F.lit(None).cast(steps.schema["_v"].dataType)).withColumn("_row", F.lit(True)).unionByName(steps.withColumn("_row", F.lit(False)), allowMissingColumns=True)
     both = both.withColumn("_chunk", chunks(rows, "ts")(both, "_at"))
-    after = Window.partitionBy(*keys, "_chunk").orderBy("_at").rangeBetween(Window.currentRow, Window.unboundedFollowing)
-    later = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(1, Window.unboundedFollowing)
+    # backwards: a frame that grows with the rows is one pass, one that shrinks is a pass for each row
+    after = Window.partitionBy(*keys, "_chunk").orderBy(F.desc("_at")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    later = Window.partitionBy(*keys).orderBy(F.desc("_chunk")).rowsBetween(Window.unboundedPreceding, -1)
     carry = both.groupBy(*keys, "_chunk").agg(F.min("_v").alias("_m")).select(*keys, "_chunk", F.min("_m").over(later).alias("_carry"))
     out = both.withColumn("_local", F.min("_v").over(after)).where("_row").join(carry, [*keys, "_chunk"])
     return out.withColumn(name, F.least("_local", "_carry")).drop("_at", "_v", "_row", "_chunk", "_local", "_carry")
